@@ -163,15 +163,15 @@ _VERDICT = {
 _PIECES = {
     "pieces": r"SELECT facility_id, unnest(regexp_extract_all(notes, '[^.!?\n]+[.!?\n]*|[.!?\n]+')) AS piece, "
     r"generate_subscripts(regexp_extract_all(notes, '[^.!?\n]+[.!?\n]*|[.!?\n]+'), 1) AS i FROM fx_notes",
-    "placed": "SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY facility_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM pieces",
+    "placed": "SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY facility_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM pieces",
     "sents": "SELECT facility_id, i, trim(piece) AS sentence, lower(trim(piece)) AS low, "
-    "CAST(at + length(piece) - length(ltrim(piece)) AS INT) AS start FROM placed WHERE trim(piece) <> ''",
+    "CAST(off + length(piece) - length(ltrim(piece)) AS INT) AS start FROM placed WHERE trim(piece) <> ''",
 }
 _LEX = {
     **_PIECES,
-    "hits": "SELECT DISTINCT facility_id, category, sentence, start, CASE WHEN contains(low, 'no ') OR contains(low, 'not ') OR "
+    "hits": "SELECT DISTINCT facility_id, category, sentence, start, CAST(CASE WHEN contains(low, 'no ') OR contains(low, 'not ') OR "
     "contains(low, 'under construction') OR contains(low, 'under repair') OR contains(low, 'limited') THEN 0.4 "
-    "WHEN contains(low, replace(category, '_', ' ')) THEN 0.9 ELSE 0.65 END AS confidence "
+    "WHEN contains(low, replace(category, '_', ' ')) THEN 0.9 ELSE 0.65 END AS DOUBLE) AS confidence "
     "FROM sents JOIN fx_category_keywords ON contains(low, keyword)",
 }
 

@@ -164,7 +164,7 @@ ORACLE = {
         "(PARTITION BY pin_code ORDER BY distance_km, capability) AS r FROM lookup WHERE regexp_matches(pin_code, '^[0-9]{6}$')) WHERE r = 1"
     ),
     "pin_region": ctes(["fx_facilities_raw"])
-    + "SELECT pin_code, coalesce(lat, 22.5) AS region_lat, coalesce(lon, 78.5) AS region_lon, "
+    + "SELECT pin_code, CAST(coalesce(lat, 22.5) AS DOUBLE) AS region_lat, CAST(coalesce(lon, 78.5) AS DOUBLE) AS region_lon, "
     "regexp_matches(pin_code, '^[0-9]{6}$') AS is_pin FROM (SELECT DISTINCT pin_code FROM fx_facilities_raw) LEFT JOIN "
     "(VALUES ('1', 28.6, 77.2), ('2', 26.9, 80.9), ('3', 26.8, 75.8), ('4', 19.0, 72.8), ('5', 17.4, 78.5), ('6', 13.0, 77.5), "
     "('7', 22.6, 88.4), ('8', 23.0, 72.6)) t(d, lat, lon) ON d = left(pin_code, 1)",

@@ -4,10 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalog import claim_keys, geo_keys, ingest_keys
+from catalog import claim_keys, geo_keys, ingest_keys, search_keys
 from catalog.views import Views
 
-_PARTS = [geo_keys, ingest_keys, claim_keys]
+_PARTS = [geo_keys, ingest_keys, claim_keys, search_keys]
 
 
 def _bound(fn) -> Callable[[SparkSession, str], DataFrame]:

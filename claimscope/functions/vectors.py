@@ -3,8 +3,6 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from claimscope.functions.text import words
-
 
 def dot(a: Column, b: Column) -> Column:
     prods = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -20,15 +18,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def hashed_terms(text: Column, dims: int = 64) -> Column:
-    """Offline embedding: word counts folded into ``dims`` buckets by a fixed hash, unit length."""
-    buckets = F.transform(
-        words(F.lower(text)),
-        lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int"), F.lit(dims)),
+def hashed_terms(text: str, dims: int = 64) -> Column:
+    """Offline embedding: word counts folded into ``dims`` buckets by a fixed hash, unit length.
+
+    Each step is bound once through a one-element array, since a lambda evaluates
+    whatever it mentions again for every element.
+    """
+    buckets = (
+        f"transform(filter(split(lower({text}), '\\\\s+'), w -> w <> ''), "
+        f"w -> cast(conv(substring(md5(w), 1, 6), 16, 10) as int) % {dims})"
     )
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"),
+    counts = f"transform(sequence(0, {dims - 1}), i -> cast(size(filter(b, x -> x = i)) as double))"
+    counted = f"get(transform(array({buckets}), b -> {counts}), 0)"
+    scaled = (
+        "transform(zip_with(c, array_repeat(sqrt(aggregate(c, 0D, (s, v) -> s + v * v)), "
+        f"{dims}), (v, l) -> v / l), v -> cast(v as float))"
     )
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.when(length > 0, F.transform(counts, lambda v: (v / length).cast("float")))
+    return F.expr(f"get(transform(array({counted}), c -> if(exists(c, v -> v > 0), {scaled}, null)), 0)")

@@ -185,12 +185,12 @@ def rule_contradictions(profiles: DataFrame, notes: str = "notes") -> DataFrame:
     ``profiles`` holds facility_id, notes, staff and equipment. Each rule looks at one
     row, so all rules run in one pass without a join. Impacts and severities are ours.
     """
-    sents = profiles.select("facility_id", "staff", "equipment", text.sentences(F.col(notes)).alias("sents"))
 
-    def pick(*terms: str, unless: tuple = ()) -> str:
-        yes = " and ".join(f"contains(lower(s.sentence), '{t}')" for t in terms)
-        no = "".join(f" and not contains(lower(s.sentence), '{t}')" for t in unless)
-        return f"element_at(filter(sents, s -> {yes}{no}), 1).sentence"
+    def first(*terms: str, unless: str = "") -> str:
+        """First sentence with all terms and without ``unless``."""
+        yes = " and ".join(f"contains(s.low, '{t}')" for t in terms)
+        no = f" and not contains(s.low, '{unless}')" if unless else ""
+        return f"get(filter(sents, s -> {yes}{no}), 0).sentence"
 
     def rule(claim: str, gap: str, impact: int, severity: str, sentence: str, when: str) -> str:
         return (
@@ -198,33 +198,40 @@ def rule_contradictions(profiles: DataFrame, notes: str = "notes") -> DataFrame:
             f"'severity', '{severity}', 'source_sentence', {sentence}), null)"
         )
 
-    surgery = pick("surgery", unless=("no ",))
-    always = pick("24/7", unless=("no ",))
-    building = pick("under construction")
-    repair = pick("under repair")
-    weekend = pick("limited staff")
     rules = [
         rule(
-            "surgery", "no anesthesiologist listed", -15, "high", surgery,
-            f"{surgery} is not null and not exists(staff, m -> contains(lower(m.role), 'anesthe')) "
-            f"and {pick('anesthesiologist', unless=('no ',))} is null",
+            "surgery", "no anesthesiologist listed", -15, "high", "surgery",
+            "surgery is not null and anesthesia is null and not exists(staff, m -> contains(lower(m.role), 'anesthe'))",
         ),
         rule(
-            "24/7 service", "staff on weekdays only", -10, "high", always,
-            f"{always} is not null and exists(staff, m -> m.availability_hours = 'Mon-Fri')",
+            "24/7 service", "staff on weekdays only", -10, "high", "always_open",
+            "always_open is not null and exists(staff, m -> m.availability_hours = 'Mon-Fri')",
         ),
         rule(
-            "24/7 service", "limited staff at times", -15, "high", weekend,
-            f"{always} is not null and {weekend} is not null",
+            "24/7 service", "limited staff at times", -15, "high", "short_staff",
+            "always_open is not null and short_staff is not null",
         ),
-        rule("department", "under construction", -10, "high", building, f"{building} is not null"),
+        rule("department", "under construction", -10, "high", "building", "building is not null"),
         rule(
-            "equipment", "listed as not functional or under repair", -15, "medium", f"coalesce({repair}, '')",
-            f"{repair} is not null or exists(equipment, e -> not e.functional)",
+            "equipment", "listed as not functional or under repair", -15, "medium", "coalesce(repair, '')",
+            "repair is not null or exists(equipment, e -> not e.functional)",
         ),
     ]
+    marked = (
+        profiles.select("facility_id", "staff", "equipment", text.sentences(F.col(notes)).alias("sents"))
+        .withColumn("sents", F.expr("transform(sents, s -> named_struct('sentence', s.sentence, 'low', lower(s.sentence)))"))
+        .selectExpr(
+            "facility_id", "staff", "equipment",
+            f"{first('surgery', unless='no ')} as surgery",
+            f"{first('anesthesiologist', unless='no ')} as anesthesia",
+            f"{first('24/7', unless='no ')} as always_open",
+            f"{first('limited staff')} as short_staff",
+            f"{first('under construction')} as building",
+            f"{first('under repair')} as repair",
+        )
+    )
     return (
-        sents.selectExpr("facility_id", f"explode(array_compact(array({', '.join(rules)}))) as c")
+        marked.selectExpr("facility_id", f"explode(array_compact(array({', '.join(rules)}))) as c")
         .selectExpr("md5(concat_ws('|', facility_id, c.claim, c.evidence_gap)) as contradiction_id", "facility_id", "c.*")
     )
 

@@ -42,7 +42,7 @@ def search_profiles(raw: DataFrame, structured: DataFrame) -> DataFrame:
 
 def embed(profiles: DataFrame, dims: int = 64) -> DataFrame:
     """Profiles with the built-in hashed-terms vector: no model, no Python."""
-    return profiles.withColumn("embedding", vectors.hashed_terms(F.col("profile_text"), dims))
+    return profiles.withColumn("embedding", vectors.hashed_terms("profile_text", dims))
 
 
 def embed_with(profiles: DataFrame, fn: infer.BatchVector, batch_size: int = 20) -> DataFrame:
@@ -55,7 +55,8 @@ def with_similarity(stored: DataFrame, query_vector, vec_col: str = "embedding")
     """Cosine similarity of each row with one query vector (a list, or a Column such as
     a scalar subquery). Rows without a similarity are dropped."""
     q = F.lit([float(v) for v in query_vector]) if isinstance(query_vector, (list, tuple)) else query_vector
-    return stored.withColumn("similarity", vectors.cosine(F.col(vec_col), q)).where(F.col("similarity").isNotNull())
+    sim = vectors.cosine(F.col(vec_col), F.col("_query"))
+    return stored.withColumn("_query", q).withColumn("similarity", sim).drop("_query").where(F.col("similarity").isNotNull())
 
 
 def topk(stored: DataFrame, query_vector, k: int = 10, id_col: str = "facility_id", vec_col: str = "embedding") -> DataFrame:

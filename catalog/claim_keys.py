@@ -15,9 +15,9 @@ def _good(v: Views):
     return extract.succeeded(_profiles(v))
 
 
-def _length_of(texts: list[str]) -> list[str]:
-    """Offline stand-in for a model."""
-    return [f'{{"trust_score": {len(t) % 101}, "reasoning": "by length"}}' for t in texts]
+def _by_length():
+    """Offline stand-in for a model; made here so that it travels to tasks by value."""
+    return lambda texts: [f'{{"trust_score": {len(t) % 101}, "reasoning": "by length"}}' for t in texts]
 
 
 def _validate(v):
@@ -66,7 +66,7 @@ def _grounding(v):
 QUERIES = {
     "notes_truncate": lambda v: extract.prepare_notes(v.raw).select("facility_id", "notes", "error"),
     "render_prompts": _render,
-    "batch_infer": lambda v: infer.batch_infer(_render(v), _length_of),
+    "batch_infer": lambda v: infer.batch_infer(_render(v), _by_length()),
     "clean_response": lambda v: v.profile_output.select("facility_id", extract.cleaned_response(F.col("response")).alias("cleaned")),
     "parse_profile": lambda v: _profiles(v).select(
         "facility_id", F.size("verified_capabilities").alias("n_capabilities"), F.size("staff").alias("n_staff"),

@@ -12,9 +12,9 @@ def _profiles(v: Views):
     return vectors.search_profiles(v.raw, v.structured)
 
 
-def _terms(texts: list[str]) -> list[list[float]]:
-    """Offline stand-in for an embedding model: letter counts."""
-    return [[float(t.lower().count(c)) for c in "abcdefgh"] for t in texts]
+def _letters():
+    """Offline stand-in for an embedding model; made here so that it travels to tasks by value."""
+    return lambda texts: [[float(t.lower().count(c)) for c in "abcdefgh"] for t in texts]
 
 
 def _query_vector(v: Views):
@@ -101,7 +101,7 @@ QUERIES = {
     "embed_profiles": lambda v: vectors.embed(_profiles(v)).select(
         "facility_id", F.expr("array_join(transform(embedding, x -> cast(round(cast(x as double) * 10000) as int)), ',')").alias("vector")
     ),
-    "embed_profiles_model": lambda v: vectors.embed_with(_profiles(v), _terms),
+    "embed_profiles_model": lambda v: vectors.embed_with(_profiles(v), _letters()),
     "cosine_similarity": lambda v: vectors.with_similarity(v.embeddings, _query_vector(v)).select(
         "vec_id", F.round("similarity", 6).alias("similarity")
     ),

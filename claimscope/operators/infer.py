@@ -4,12 +4,17 @@ Parallelism is the number of partitions. A task can run twice, so the function m
 give the same answer for the same text; retries and pauses are its own business.
 """
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Tasks receive these helpers with their closure, so executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BatchText = Callable[[list[str]], list[str]]
 BatchVector = Callable[[list[str]], list[list[float]]]
 

@@ -1,9 +1,11 @@
 """Search profiles, embeddings and similarity search."""
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ from claimscope.functions import text, vectors
 from claimscope.operators import infer
 from claimscope.operators.trust import profile_lines
 
+# Tasks receive these helpers with their closure, so executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 QUERY_BLOCK = 4096   # query vectors held by a task at once
 _ROWS = 1024         # stored vectors scored at once
 

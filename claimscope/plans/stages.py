@@ -1,7 +1,7 @@
 """The five stages over named tables, each in three steps: scan, transform, save.
 
-Every stage returns its statistics as a one-row DataFrame read from what it saved, so a
-stage is computed once. Models are functions from texts to answers, given by the caller.
+Every stage returns its statistics as a one-row DataFrame over what it saved: answers and
+lookups are computed once, only parsing may run again. Models are functions from texts to answers, given by the caller.
 """
 
 import datetime as dt
@@ -36,11 +36,12 @@ def extraction(
 ) -> DataFrame:
     """Notes -> model answers (saved first) -> typed profiles and citations.
 
-    Parsing reads the saved answers, so it can be repeated without the model.
+    Parsing reads the saved answers, so it can be repeated without the model. The answers
+    table holds the last run only, also when the targets are appended to.
     """
     raw = tables.require_rows(ingest.head(tables.scan(spark, source), sample_size), source)
     answers = infer.batch_infer(extract.prompts(raw), model, partitions=partitions)
-    tables.save(answers, responses_target, overwrite, fmt)
+    tables.save(answers, responses_target, True, fmt)
     saved = tables.scan(spark, responses_target)
     profiles = extract.parse_profiles(saved.where(F.col("error").isNull()).drop("error"))
     at = extracted_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
@@ -67,7 +68,7 @@ def trust_debate(
 
     def ask(prompts: DataFrame, name: str) -> DataFrame:
         where = f"{responses_target}_{name}"
-        tables.save(infer.batch_infer(prompts, model, partitions=partitions), where, overwrite, fmt)
+        tables.save(infer.batch_infer(prompts, model, partitions=partitions), where, True, fmt)
         return tables.scan(spark, where).where(F.col("error").isNull()).select("facility_id", F.col("response").alias(name))
 
     advocate = ask(trust.debate_prompts(facts, trust.ADVOCATE_PROMPT), "advocate_argument")
@@ -82,7 +83,7 @@ def trust_debate(
     contras = trust.contradictions(skeptic.join(judge, "facility_id", "left_semi"), column="skeptic_argument")
     tables.save(scores, target, overwrite, fmt)
     tables.save(contras, contradictions_target, overwrite, fmt)
-    return trust.debate_stats(tables.scan(spark, target), tables.scan(spark, contradictions_target), facts)
+    return trust.debate_stats(scores, contras, facts)
 
 
 def geographic(

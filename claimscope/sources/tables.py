@@ -5,18 +5,21 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 
-def read_tabular(spark: SparkSession, path: str, fmt: str | None = None, columns: list[str] | None = None) -> DataFrame:
+def read_tabular(
+    spark: SparkSession, path: str, fmt: str | None = None, columns: list[str] | None = None, multi_line: bool = True
+) -> DataFrame:
     """A header-bearing sheet as text columns: csv, tsv, json lines or parquet.
 
     csv is read with every column as text, so nothing is inferred and no value is lost;
     ``columns`` gives the header when the caller already knows it, which saves a look at
-    the file. Quoted fields may hold line breaks.
+    the file. Quoted fields may hold line breaks; a csv file is then read by one task, so a
+    large source should come as many files, or with ``multi_line=False``.
     """
     fmt = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns]) if columns else None
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt in ("csv", "tsv"):
-        return reader.options(header=True, multiLine=True, escape='"', sep="\t" if fmt == "tsv" else ",").csv(path)
+        return reader.options(header=True, multiLine=multi_line, escape='"', sep="\t" if fmt == "tsv" else ",").csv(path)
     if fmt in ("json", "jsonl"):
         return reader.option("primitivesAsString", True).json(path)
     if fmt == "orc":

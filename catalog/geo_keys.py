@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.views import Views, ctes
 from claimscope.functions import classify, geo as G
+from claimscope.functions.text import each
 from claimscope.operators import geo
 
 _BASE = ["fx_facilities_raw", "fx_claims", "fx_trust_scores", "fx_category_keywords"]
@@ -56,7 +57,7 @@ def _pin_region(v):
 
 
 def _category(v):
-    return v.structured.select("facility_id", F.explode(classify.categories_of_claims("verified_capabilities")).alias("category"))
+    return each(v.structured, classify.categories_of_claims("verified_capabilities"), "category").select("facility_id", "category")
 
 
 QUERIES = {

@@ -30,24 +30,27 @@ def clamp_score(score: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), score))
 
 
-def _any_keyword(text: str, keywords: list[str]) -> str:
-    return " or ".join(f"contains({text}, '{k}')" for k in keywords)
+def _categories(test) -> str:
+    cases = [f"if({test(kws)}, '{c}', null)" for c, kws in CATEGORY_KEYWORDS.items()]
+    return f"array_compact(array({', '.join(cases)}))"
+
+
+def _any_keyword(name: str, keywords: list[str]) -> str:
+    return " or ".join(f"contains({name}, '{k}')" for k in keywords)
 
 
 def categories_of(text: str) -> Column:
     """Categories with a keyword inside the column ``text``, as an array, in lexicon order.
 
-    The lexicon is fixed and small, so it is inlined: no join, no shuffle.
+    The lexicon is fixed and small, so it is inlined: no join, no shuffle. The lower-cased
+    text is bound once through a one-element array.
     """
-    cases = [f"if({_any_keyword(f'lower({text})', kws)}, '{c}', null)" for c, kws in CATEGORY_KEYWORDS.items()]
-    return F.expr(f"array_compact(array({', '.join(cases)}))")
+    found = _categories(lambda kws: _any_keyword("t", kws))
+    return F.expr(f"get(transform(array(lower({text})), t -> {found}), 0)")
 
 
 def categories_of_claims(claims: str, min_confidence: float | None = None) -> Column:
     """Categories hit by any claim of a facility's claim array column."""
-    sure = "" if min_confidence is None else f"c.confidence >= {min_confidence}D and "
-    cases = [
-        f"if(exists({claims}, c -> {sure}({_any_keyword('lower(c.capability)', kws)})), '{cat}', null)"
-        for cat, kws in CATEGORY_KEYWORDS.items()
-    ]
-    return F.expr(f"array_compact(array({', '.join(cases)}))")
+    sure = claims if min_confidence is None else f"filter({claims}, c -> c.confidence >= {min_confidence}D)"
+    found = _categories(lambda kws: f"exists(names, n -> {_any_keyword('n', kws)})")
+    return F.expr(f"get(transform(array(transform({sure}, c -> lower(c.capability))), names -> {found}), 0)")

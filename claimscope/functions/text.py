@@ -1,9 +1,21 @@
 """Text expressions."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def each(df: DataFrame, array: Column | str, name: str, pos: str | None = None) -> DataFrame:
+    """One row per element of a computed array, in column ``name`` (and its position in ``pos``).
+
+    Plain ``explode`` makes the optimizer test the array for emptiness below the explode,
+    which computes it twice; the outer form with a filter above does not.
+    """
+    arr = F.expr(array) if isinstance(array, str) else array
+    if pos is None:
+        return df.select("*", F.explode_outer(arr).alias(name)).where(F.col(name).isNotNull())
+    return df.select("*", F.posexplode_outer(arr).alias(pos, name)).where(F.col(pos).isNotNull())
+
+
 def is_blank(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) == ""
 

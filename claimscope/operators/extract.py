@@ -111,7 +111,7 @@ def counts(profiles: DataFrame) -> DataFrame:
 
 def citations(profiles: DataFrame) -> DataFrame:
     """One row per claim, pointing at its sentence. Ids are digests, the same on every run."""
-    one = profiles.select("facility_id", F.posexplode("verified_capabilities").alias("pos", "c"))
+    one = text.each(profiles.select("facility_id", "verified_capabilities"), "verified_capabilities", "c", "pos")
     return one.select(
         F.md5(F.concat_ws("|", "facility_id", F.col("pos").cast("string"))).alias("citation_id"),
         "facility_id",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from claimscope import constants as K
 from claimscope.functions import classify, geo
+from claimscope.functions.text import each
 from claimscope.operators import nearest as N
 
 CATEGORIES = list(K.CATEGORY_KEYWORDS)
@@ -40,10 +41,9 @@ def verified(
     min_confidence: float | None = None,
 ) -> DataFrame:
     """One row per verified facility and category. All of it narrow: no join, no shuffle."""
-    return (
-        located.where(F.col("trust_score") >= min_trust_score)
-        .withColumn("category", F.explode(classify.categories_of_claims("verified_capabilities", min_confidence)))
-        .select("category", "facility_id", "latitude", "longitude", "trust_score")
+    found = classify.categories_of_claims("verified_capabilities", min_confidence)
+    return each(located.where(F.col("trust_score") >= min_trust_score), found, "category").select(
+        "category", "facility_id", "latitude", "longitude", "trust_score"
     )
 
 
@@ -199,7 +199,7 @@ def capability_list(structured: DataFrame) -> DataFrame:
 def extracted_capabilities(structured: DataFrame) -> DataFrame:
     """Distinct claimed capability names with the number of claims."""
     return (
-        structured.select(F.explode("verified_capabilities").alias("c"))
+        each(structured, "verified_capabilities", "c")
         .groupBy(F.lower("c.capability").alias("capability")).agg(F.count(F.lit(1)).alias("n_claims"))
     )
 

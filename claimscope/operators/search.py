@@ -30,9 +30,9 @@ def contained(texts: DataFrame, terms: DataFrame, text_col: str = "text", term_c
     lengths = t.agg(F.collect_set(key_len).alias("ls")).scalar()  # at most LONGEST_KEY numbers
     x = texts.select(F.col(text_col).alias("text")).where(F.length("text") > 0).distinct()
     cut = x.select("text", F.explode(lengths).alias("n")).where(F.col("n") <= F.length("text"))
-    pieces = cut.select(
-        "text", F.expr("explode(array_distinct(transform(sequence(1, length(text) - n + 1), i -> substring(text, i, n))))").alias("key")
-    )
+    pieces = text.each(
+        cut, "array_distinct(transform(sequence(1, length(text) - n + 1), i -> substring(text, i, n)))", "key"
+    ).select("text", "key")
     keyed = t.select("term", F.substring("term", 1, LONGEST_KEY).alias("key"))
     return pieces.join(keyed, "key").where(F.col("text").contains(F.col("term"))).select("text", "term").distinct()
 
@@ -50,10 +50,9 @@ def words_in_notes(notes: DataFrame, words: DataFrame) -> DataFrame:
     n = notes.select("facility_id", F.lower("unstructured_notes").alias("n")).where("n is not null")
     if len(few) <= FEW_WORDS:
         found = F.filter(F.lit(few), lambda word: F.contains(F.col("n"), word))
-        return n.select("facility_id", F.explode(found).alias("word"))
-    grams = n.selectExpr(
-        "facility_id", "n",
-        "explode(if(length(n) < 4, array(), array_distinct(transform(sequence(1, length(n) - 3), i -> substring(n, i, 4))))) as gram",
+        return text.each(n, found, "word").select("facility_id", "word")
+    grams = text.each(
+        n.where("length(n) >= 4"), "array_distinct(transform(sequence(1, length(n) - 3), i -> substring(n, i, 4)))", "gram"
     )
     keyed = w.select("word", F.substring("word", 1, 4).alias("gram"))
     return grams.join(keyed, "gram").where(F.col("n").contains(F.col("word"))).select("facility_id", "word")
@@ -88,7 +87,9 @@ def lexical_search(
 
     # Terms that stand in a query.
     places = fac.select(F.col("s").alias("term")).union(fac.select("d")).union(fac.select("t"))
-    names = structured.select(F.explode("verified_capabilities").alias("c")).select(F.lower("c.capability").alias("cap")).where("cap <> ''")
+    claims = text.each(structured, "verified_capabilities", "c").select("facility_id", F.lower("c.capability").alias("cap"))
+    per_claim = claims.where("cap <> ''").groupBy("facility_id", "cap").agg(F.count(F.lit(1)).alias("n"))
+    names = per_claim.select("cap").distinct()
     in_query = q.select("query_id", F.col("ql").alias("text")).join(
         contained(q.select(F.col("ql").alias("text")), places.union(names)), "text"
     ).select("query_id", "term")
@@ -100,17 +101,13 @@ def lexical_search(
     ]
 
     # Claims: the name in the query, or a query word in the name.
-    word_rows = q.select("query_id", F.explode(text.words(F.col("ql"))).alias("word"))
+    word_rows = text.each(q, text.words(F.col("ql")), "word").select("query_id", "word")
     word_in_name = contained(names.select(F.col("cap").alias("text")), word_rows.select(F.col("word").alias("term")))
     query_caps = (
-        in_query.join(names.distinct().withColumnRenamed("cap", "term"), "term", "left_semi").select("query_id", F.col("term").alias("cap"))
+        in_query.join(names.withColumnRenamed("cap", "term"), "term", "left_semi").select("query_id", F.col("term").alias("cap"))
         .union(word_rows.join(word_in_name.withColumnRenamed("term", "word"), "word").select("query_id", F.col("text").alias("cap")))
         .distinct()
     )
-    claims = structured.select(
-        "facility_id", F.explode("verified_capabilities").alias("c")
-    ).select("facility_id", F.lower("c.capability").alias("cap"))
-    per_claim = claims.groupBy("facility_id", "cap").agg(F.count(F.lit(1)).alias("n"))
     hits.append(points(query_caps.join(per_claim, "cap"), caps=F.col("n") * 25))
 
     # Words of the notes; a word repeated in the query counts again.
@@ -187,16 +184,13 @@ def rule_intents(queries: DataFrame, raw: DataFrame, longest_name: int = 4) -> D
     category keywords and timing words.
     """
     low = F.lower("query")
-    q = queries.select("query_id", "query", text.words(low).alias("w"))
-    runs = q.select(
-        "query_id",
-        F.explode(
-            F.expr(
-                f"array_distinct(flatten(transform(sequence(1, {longest_name}), n -> if(size(w) < n, array(), "
-                "transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' '))))))"
-            )
-        ).alias("run"),
-    )
+    runs = text.each(
+        queries,
+        "get(transform(array(filter(split(lower(query), '\\\\s+'), x -> x <> '')), w -> "
+        f"array_distinct(flatten(transform(sequence(1, {longest_name}), n -> if(size(w) < n, array(), "
+        "transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' '))))))), 0)",
+        "run",
+    ).select("query_id", "run")
     places = (
         raw.select(F.lit("s").alias("kind"), F.col("state").alias("place")).distinct()
         .union(raw.select(F.lit("d"), "district").distinct()).withColumn("run", F.lower("place"))
@@ -246,17 +240,19 @@ def retrieve(intents: DataFrame, raw: DataFrame, trust: DataFrame, keep: int = 1
     rn = F.row_number().over(W.partitionBy("level", "place", "within").orderBy(*_best_first()))
     heads = groups.withColumn("rn", rn).where(F.col("rn") <= keep).drop("rn")
 
-    i = intents.select("query_id", "location_state", "location_district", "min_trust_score").withColumn(
+    # Intents that ask the same share one answer.
+    floor = F.coalesce("min_trust_score", F.lit(0)).alias("floor")
+    asked = intents.select(
+        "query_id", F.coalesce("location_state", F.lit("")).alias("ls"), F.coalesce("location_district", F.lit("")).alias("ld"), floor
+    )
+    i = asked.select("ls", "ld", "floor").distinct().withColumn(
         "level",
         F.expr(
-            "case when location_state is null and location_district is null then 'all' "
-            "when location_district is null then 'state' when location_state is null then 'district' else 'both' end"
+            "case when ls = '' and ld = '' then 'all' when ld = '' then 'state' when ls = '' then 'district' else 'both' end"
         ),
-    ).withColumn("term", F.coalesce("location_state", "location_district", F.lit("")))
-    states = contained(raw.select(F.col("state").alias("text")), i.where("location_state is not null"))
-    districts = contained(
-        raw.select(F.col("district").alias("text")), i.where("location_state is null and location_district is not null")
-    )
+    ).withColumn("term", F.expr("if(ls = '', ld, ls)"))
+    states = contained(raw.select(F.col("state").alias("text")), i.where("ls <> ''"))
+    districts = contained(raw.select(F.col("district").alias("text")), i.where("ls = '' and ld <> ''"))
     spots = (
         states.selectExpr("'state' as level", "term", "text as place")
         .union(states.selectExpr("'both'", "term", "text"))
@@ -266,11 +262,13 @@ def retrieve(intents: DataFrame, raw: DataFrame, trust: DataFrame, keep: int = 1
         i.where("level = 'all'").withColumn("place", F.lit(""))
     )
     pairs = placed.join(heads, ["level", "place"]).where(
-        "(level <> 'both' or contains(within, location_district)) "
-        "and (coalesce(min_trust_score, 0) = 0 or trust_score >= min_trust_score)"
+        "(level <> 'both' or contains(within, ld)) and (floor = 0 or trust_score >= floor)"
+    )
+    best = F.row_number().over(W.partitionBy("ls", "ld", "floor").orderBy(*_best_first()))
+    answers = pairs.withColumn("rank", best).where(F.col("rank") <= keep)
+    return asked.join(answers.select("ls", "ld", "floor", "rank", "facility_id", "trust_score"), ["ls", "ld", "floor"]).select(
+        "query_id", "rank", "facility_id", "trust_score"
     )
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(*_best_first()))
-    return pairs.withColumn("rank", best).where(F.col("rank") <= keep).select("query_id", "rank", "facility_id", "trust_score")
 
 
 def explain(ranked: DataFrame, raw: DataFrame, structured: DataFrame, queries: DataFrame | None = None) -> DataFrame:
@@ -371,30 +369,33 @@ def broadened(
         raw.select("facility_id", "state")
         .join(structured.select("facility_id", classify.categories_of_claims("verified_capabilities").alias("cats")), "facility_id")
         .join(trust.select("facility_id", "trust_score"), "facility_id", "left")
-        .select("facility_id", "trust_score", "state", F.explode("cats").alias("category"))
     )
+    f = text.each(f, "cats", "category")
     groups = f.select("facility_id", "trust_score", "category", F.explode(F.array(F.col("state"), F.lit(""))).alias("place"))
     rn = F.row_number().over(W.partitionBy("category", "place").orderBy(*_best_first()))
     heads = groups.withColumn("rn", rn).where(F.col("rn") <= keep).drop("rn")
 
-    q = intents.where(F.size("categories") > 0).select(
-        "query_id", "min_trust_score", F.explode("categories").alias("category"),
-        F.coalesce("location_state", F.lit("")).alias("place"),
+    # Queries that ask the same share one answer.
+    asked = intents.select(
+        "query_id", F.array_join(F.array_sort("categories"), "|").alias("wanted"),
+        F.coalesce("location_state", F.lit("")).alias("ls"), F.coalesce("min_trust_score", F.lit(0)).alias("least"),
     )
+    q = text.each(asked.select("wanted", "ls", "least").distinct().where("wanted <> ''"), "split(wanted, '[|]')", "category")
     tiers = q.selectExpr(
-        "query_id", "category",
-        "inline(array(named_struct('tier', 1, 'place', place, 'floor', coalesce(min_trust_score, 0)), "
-        "named_struct('tier', 2, 'place', place, 'floor', 0), named_struct('tier', 3, 'place', '', 'floor', 0)))",
+        "wanted", "ls", "least", "category",
+        "inline(array(named_struct('tier', 1, 'place', ls, 'floor', least), "
+        "named_struct('tier', 2, 'place', ls, 'floor', 0), named_struct('tier', 3, 'place', '', 'floor', 0)))",
     )
+    same = ["wanted", "ls", "least"]
     hits = (
         tiers.join(heads, ["category", "place"]).where("floor = 0 or trust_score >= floor")
-        .select("query_id", "tier", "facility_id", "trust_score").distinct()
+        .select(*same, "tier", "facility_id", "trust_score").distinct()
     )
-    per_tier = W.partitionBy("query_id", "tier")
+    per_tier = W.partitionBy(*same, "tier")
     ranked = hits.withColumn("rank", F.row_number().over(per_tier.orderBy(*_best_first()))).where(F.col("rank") <= keep)
     sized = ranked.withColumn("n", F.count(F.lit(1)).over(per_tier))
-    chosen = F.min(F.when((F.col("n") >= enough) | (F.col("tier") == 3), F.col("tier"))).over(W.partitionBy("query_id"))
-    return (
-        sized.withColumn("chosen", chosen).where((F.col("tier") == F.col("chosen")) & (F.col("rank") <= max_results))
-        .select("query_id", "tier", "rank", "facility_id", "trust_score")
+    chosen = F.min(F.when((F.col("n") >= enough) | (F.col("tier") == 3), F.col("tier"))).over(W.partitionBy(*same))
+    answers = sized.withColumn("chosen", chosen).where((F.col("tier") == F.col("chosen")) & (F.col("rank") <= max_results))
+    return asked.join(answers.select(*same, "tier", "rank", "facility_id", "trust_score"), same).select(
+        "query_id", "tier", "rank", "facility_id", "trust_score"
     )

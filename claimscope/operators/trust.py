@@ -96,7 +96,7 @@ def contradiction_lists(responses: DataFrame, key: str = "facility_id", column:
 
 def contradictions(responses: DataFrame, key: str = "facility_id", column: str = "skeptic_raw") -> DataFrame:
     """Contradiction rows of skeptic answers; ids are digests, the same on every run."""
-    rows = contradiction_lists(responses, key, column).select(key, F.posexplode("contradictions").alias("pos", "c"))
+    rows = text.each(contradiction_lists(responses, key, column), "contradictions", "c", "pos")
     return rows.select(
         F.md5(F.concat_ws("|", F.col(key), F.col("pos").cast("string"))).alias("contradiction_id"),
         key, "c.*", F.lit("").alias("source_sentence"),
@@ -231,7 +231,7 @@ def rule_contradictions(profiles: DataFrame, notes: str = "notes") -> DataFrame:
         )
     )
     return (
-        marked.selectExpr("facility_id", f"explode(array_compact(array({', '.join(rules)}))) as c")
+        text.each(marked, f"array_compact(array({', '.join(rules)}))", "c")
         .selectExpr("md5(concat_ws('|', facility_id, c.claim, c.evidence_gap)) as contradiction_id", "facility_id", "c.*")
     )
 

@@ -6,6 +6,7 @@ from catalog.claim_keys import _CONTRA, _PROFILE
 from catalog.views import Views, ctes
 from claimscope.functions import vectors as VF
 from claimscope.operators import extract, geo, lookup, search, trust, vectors
+from claimscope.sources.settle import settle
 
 
 def _profiles(v: Views):
@@ -62,7 +63,7 @@ def _hybrid(v: Views):
 
 def _filtered(v: Views):
     """The hard filters over the best 20 facilities of every logged query's places."""
-    intents = _log_intents(v)
+    intents = settle(_log_intents(v))
     return search.hard_filter(
         search.retrieve(intents, v.raw, v.trust, 20).select("query_id", "facility_id"),
         intents, v.raw, v.structured, v.trust, geo.pins(v.raw),

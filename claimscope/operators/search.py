@@ -13,6 +13,7 @@ from claimscope import constants as K
 from claimscope.functions import classify, text
 from claimscope.functions.geo import haversine_km
 from claimscope.schemas import INTENT_TEXT
+from claimscope.sources.settle import settle
 
 LONGEST_KEY = 40      # join on at most this many leading characters of a term
 FEW_WORDS = 256       # up to here query words are tried in place, beyond it by 4-grams
@@ -242,8 +243,10 @@ def retrieve(intents: DataFrame, raw: DataFrame, trust: DataFrame, keep: int = 1
 
     # Intents that ask the same share one answer.
     floor = F.coalesce("min_trust_score", F.lit(0)).alias("floor")
-    asked = intents.select(
-        "query_id", F.coalesce("location_state", F.lit("")).alias("ls"), F.coalesce("location_district", F.lit("")).alias("ld"), floor
+    asked = settle(
+        intents.select(
+            "query_id", F.coalesce("location_state", F.lit("")).alias("ls"), F.coalesce("location_district", F.lit("")).alias("ld"), floor
+        )
     )
     i = asked.select("ls", "ld", "floor").distinct().withColumn(
         "level",
@@ -290,8 +293,8 @@ def explain(ranked: DataFrame, raw: DataFrame, structured: DataFrame, queries: D
 def intent_rank(
     intents: DataFrame, raw: DataFrame, trust: DataFrame, structured: DataFrame, max_results: int = 5
 ) -> DataFrame:
-    """The first ``max_results`` of twice as many retrieved facilities, explained."""
-    kept = retrieve(intents, raw, trust, 2 * max_results).where(F.col("rank") <= max_results)
+    """The first ``max_results`` of the retrieved facilities, explained."""
+    kept = retrieve(intents, raw, trust, max_results)  # the head of the 2 x max_results candidates
     return explain(kept, raw, structured)
 
 
@@ -376,9 +379,11 @@ def broadened(
     heads = groups.withColumn("rn", rn).where(F.col("rn") <= keep).drop("rn")
 
     # Queries that ask the same share one answer.
-    asked = intents.select(
-        "query_id", F.array_join(F.array_sort("categories"), "|").alias("wanted"),
-        F.coalesce("location_state", F.lit("")).alias("ls"), F.coalesce("min_trust_score", F.lit(0)).alias("least"),
+    asked = settle(
+        intents.select(
+            "query_id", F.array_join(F.array_sort("categories"), "|").alias("wanted"),
+            F.coalesce("location_state", F.lit("")).alias("ls"), F.coalesce("min_trust_score", F.lit(0)).alias("least"),
+        )
     )
     q = text.each(asked.select("wanted", "ls", "least").distinct().where("wanted <> ''"), "split(wanted, '[|]')", "category")
     tiers = q.selectExpr(

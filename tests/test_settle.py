@@ -1,0 +1,23 @@
+import tempfile
+from types import SimpleNamespace
+
+from claimscope.sources import settle
+
+
+def session(**conf):
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k.replace(".", "_"), d)))
+
+
+def test_folder_choice():
+    assert settle.shared_folder(session(spark_checkpoint_dir="hdfs:/x", spark_master="yarn")) == "hdfs:/x"
+    assert settle.shared_folder(session(spark_master="yarn")) is None
+    assert settle.shared_folder(session(spark_master="local[2]")).startswith(tempfile.gettempdir())
+
+
+def test_named_folder_is_used(spark, monkeypatch):
+    folder = tempfile.mkdtemp(prefix="claimscope-shared-")
+    monkeypatch.setattr(settle, "shared_folder", lambda _: folder)
+    df = settle.settle(spark.range(5).selectExpr("id", "array(id) as a"))
+    assert df.count() == 5 and folder in df.inputFiles()[0]
+    monkeypatch.setattr(settle, "shared_folder", lambda _: None)
+    assert settle.settle(df) is df

@@ -113,7 +113,7 @@ QUERIES = {
         "query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity")
     ),
     "search_snippets": lambda v: vectors.search(
-        vectors.embed(_profiles(v)), v.queries.where("query_id = 1").select(VF.hashed_terms("query")).scalar()
+        vectors.embed(_profiles(v)), VF.hashed_terms("'dialysis in NATION_3'")
     ).select("facility_id", F.round("similarity", 6).alias("similarity"), "snippet"),
     "embedding_stats": lambda v: vectors.stats(v.embeddings),
     "lexical_search": lambda v: _flat(search.lexical_search(v.queries, v.raw, v.structured, v.trust)),

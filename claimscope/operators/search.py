@@ -16,7 +16,7 @@ from claimscope.schemas import INTENT_TEXT
 from claimscope.sources.settle import settle
 
 LONGEST_KEY = 40      # join on at most this many leading characters of a term
-FEW_WORDS = 256       # up to here query words are tried in place, beyond it by 4-grams
+FEW_WORDS = 256       # up to here query words are tried on each note in place
 
 
 # --- Substring joins ----------------------------------------------------------
@@ -31,8 +31,12 @@ def contained(texts: DataFrame, terms: DataFrame, text_col: str = "text", term_c
     lengths = t.agg(F.collect_set(key_len).alias("ls")).scalar()  # at most LONGEST_KEY numbers
     x = texts.select(F.col(text_col).alias("text")).where(F.length("text") > 0).distinct()
     cut = x.select("text", F.explode(lengths).alias("n")).where(F.col("n") <= F.length("text"))
+    # Cut from an array of characters: substring() would walk the text from its start each time.
     pieces = text.each(
-        cut, "array_distinct(transform(sequence(1, length(text) - n + 1), i -> substring(text, i, n)))", "key"
+        cut,
+        "get(transform(array(split(text, '')), ch -> array_distinct(transform(sequence(1, length(text) - n + 1), "
+        "i -> array_join(slice(ch, i, n), '')))), 0)",
+        "key",
     ).select("text", "key")
     keyed = t.select("term", F.substring("term", 1, LONGEST_KEY).alias("key"))
     return pieces.join(keyed, "key").where(F.col("text").contains(F.col("term"))).select("text", "term").distinct()
@@ -41,8 +45,9 @@ def contained(texts: DataFrame, terms: DataFrame, text_col: str = "text", term_c
 def words_in_notes(notes: DataFrame, words: DataFrame) -> DataFrame:
     """``(facility_id, word)`` for every query word that occurs in a facility's whole notes.
 
-    A short word list is tried on each note in place. A longer one is joined on the first
-    four characters (shorter words never come here), against the 4-grams of each note.
+    A short word list is tried on each note in place. Beyond that, a word holds no blanks, so
+    it lies within one blank-free piece of the note: words are matched against the distinct
+    pieces of all notes, and the matches joined back.
     """
     w = words.select("word").distinct()
     few = [r["word"] for r in w.limit(FEW_WORDS + 1).collect()]
@@ -52,11 +57,11 @@ def words_in_notes(notes: DataFrame, words: DataFrame) -> DataFrame:
     if len(few) <= FEW_WORDS:
         found = F.filter(F.lit(few), lambda word: F.contains(F.col("n"), word))
         return text.each(n, found, "word").select("facility_id", "word")
-    grams = text.each(
-        n.where("length(n) >= 4"), "array_distinct(transform(sequence(1, length(n) - 3), i -> substring(n, i, 4)))", "gram"
-    )
-    keyed = w.select("word", F.substring("word", 1, 4).alias("gram"))
-    return grams.join(keyed, "gram").where(F.col("n").contains(F.col("word"))).select("facility_id", "word")
+    pieces = text.each(n, "array_distinct(split(n, '\\\\s+'))", "piece").select("facility_id", "piece")
+    hits = contained(pieces, w, "piece", "word")
+    return pieces.join(hits.select(F.col("text").alias("piece"), F.col("term").alias("word")), "piece").select(
+        "facility_id", "word"
+    ).distinct()
 
 
 # --- Lexical search -----------------------------------------------------------

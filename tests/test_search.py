@@ -65,8 +65,8 @@ def test_lexical_search_equals_brute_force(spark, few, monkeypatch):
 def test_contained_equals_brute_force(spark):
     rng = random.Random(1)
     word = lambda n: "".join(rng.choices("ab ", k=n))
-    texts = {word(rng.randrange(1, 12)) for _ in range(60)} | {"x" * 60}
-    terms = {word(rng.randrange(1, 4)) for _ in range(30)} | {"x" * 41, "x" * 61, ""}
+    texts = {word(rng.randrange(1, 12)) for _ in range(60)} | {"x" * 60, "né \U0001f600ab", "日本語a"}
+    terms = {word(rng.randrange(1, 4)) for _ in range(30)} | {"x" * 41, "x" * 61, "", "\U0001f600a", "本語"}
     got = search.contained(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(t,) for t in terms], "term string"))
     assert {(r.text, r.term) for r in got.collect()} == {(a, b) for a in texts for b in terms if b and b in a}
     assert got.count() == got.distinct().count()

@@ -5,7 +5,7 @@ per cube at a few levels (``geo.LEVELS``); a search walks from coarse cubes to
 fine ones and drops every cube that cannot hold an answer:
 
 1. the cubes a location lies in give a first upper bound on its distance;
-2. at most 2 x 2 x 2 cubes cover the ball of that radius;
+2. at most 3 x 3 x 3 cubes cover the ball of that radius, most of them empty;
 3. a crowded cube is replaced by its non-empty children, a bounded number, and
    cubes farther than the best representative are dropped;
 4. what is left is joined with its points.
@@ -81,12 +81,12 @@ def _located(locations: DataFrame, key: str) -> DataFrame:
 def _cover(df: DataFrame, radius: str) -> DataFrame:
     """Add the cubes that meet the ball of ``radius`` (a chord) around each location.
 
-    The level is the finest whose side is at least the ball's diameter, hence at
-    most two cubes per axis (three at the top level).
+    The level is the finest whose side is at least the ball's radius, hence at most
+    three cubes per axis.
     """
     level = str(geo.LEVELS[0])
     for lv in geo.LEVELS[1:]:
-        level = f"if({radius} * 2.000002D <= {1.0 / (1 << lv)!r}D, {lv}, {level})"
+        level = f"if({radius} * 1.000002D + 1e-12D <= {1.0 / (1 << lv)!r}D, {lv}, {level})"
 
     def axis(p: str) -> str:
         reach = f"({radius} * 1.000001D + 1e-12D)"

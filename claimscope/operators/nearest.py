@@ -178,13 +178,13 @@ def nearest(
         live = drop_far(_split(live, cubes, ids, f"n > {crowded}"))
 
     # 4. The points of the cubes that are left; a lone point is its own representative.
-    members = levelled.selectExpr("category", "level", "cell as _at", "point")
+    # An inner join, so that adaptive execution may split either side of a large cube.
+    shown = [*ids, "plat", "plon"]
+    opened = live.where("n > 1").join(levelled.select("category", "level", "cell", "point"), ["category", "level", "cell"])
+    found = opened.selectExpr(*shown, "point as p").unionByName(live.where("n = 1").selectExpr(*shown, "rep as p"))
     km = geo.haversine_sql("plat", "plon", "p.latitude", "p.longitude")
     return (
-        live.selectExpr("*", _or_private_key("n > 1", ids))
-        .join(members, ["category", "level", "_at"], "left")
-        .selectExpr(*ids, "plat", "plon", "coalesce(point, rep) as p")
-        .selectExpr(*ids, f"struct({km} as km, p.facility_id, p.trust_score) as hit")
+        found.selectExpr(*ids, f"struct({km} as km, p.facility_id, p.trust_score) as hit")
         .groupBy(*ids)
         .agg(F.expr("min_by(hit, struct(hit.km, hit.facility_id))").alias("b"))
         .select(*ids, "b.facility_id", "b.trust_score", "b.km")
@@ -219,14 +219,12 @@ def count_within(
     for _ in range(rounds):
         live = _split(live, cubes, ids, f"n > {crowded} and {rim}").where(touches)
 
-    members = levelled.selectExpr(
-        "category", "level", "cell as _at", "point", "copies as point_copies"
-    )
+    whole = live.where(f"not ({rim})").selectExpr(*ids, "copies as adds")
+    members = levelled.selectExpr("category", "level", "cell", "point", "copies as point_copies")
     km = geo.haversine_sql("plat", "plon", "point.latitude", "point.longitude")
+    opened = live.where(rim).select(*ids, "level", "cell", "plat", "plon").join(members, ["category", "level", "cell"])
     return (
-        live.selectExpr("*", _or_private_key(rim, ids))
-        .join(members, ["category", "level", "_at"], "left")
-        .selectExpr(*ids, f"case when point is null then copies when {km} <= {radius_km!r}D then point_copies end as adds")
+        whole.unionByName(opened.where(f"{km} <= {radius_km!r}D").selectExpr(*ids, "point_copies as adds"))
         .groupBy(*ids)
         .agg(F.sum("adds").alias("n_within"))
         .where("n_within > 0")

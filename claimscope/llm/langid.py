@@ -126,13 +126,14 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE, families: dict[str, lis
     """A model from ``doc_id, text, lang``, from at most ``per_language`` different texts of each language.
 
     The sample is bounded by that parameter and chosen by a hash of the text, so that it does not depend on
-    partitions and copies count once. Rows without text, letters or language are not used. No rows, or no labels:
+    partitions and copies count once; being bounded, it is broadcast. Rows without text, letters or language are not
+    used. No rows, or no labels:
     a model that answers ``und``.
     """
     rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
     first = Window.partitionBy("lang").orderBy("h")
     chosen = rows.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).drop("r")
-    texts = rows.join(chosen, ["doc_id", "lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "h", "text")
+    texts = rows.join(F.broadcast(chosen), ["doc_id", "lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "h", "text")
 
     def profiles(b: pa.RecordBatch) -> pa.RecordBatch:
         kept = [(x, h, profile(t).tobytes()) for x, h, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) if has_letter(t)]

@@ -1,16 +1,32 @@
 """Registered queries of this package: one thin query for each operator, and the DuckDB counterparts."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import langid
+from claimscope.llm import bpe, langid, packing, secrets
 from claimscope.llm.shared import read
 
 
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed_digests(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip_digests(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_report(read(spark, folder, "documents"))
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.language_report(read(spark, folder, "documents"))
 
 
 QUERIES = {
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
 }
 ORACLE: dict[str, str] = {}

@@ -3,10 +3,18 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import bpe, langid, packing, secrets
+from claimscope.llm import bpe, langid, packing, quality, secrets, topk
 from claimscope.llm.shared import read
 
 
+def op1_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.embedding_search(read(spark, folder, "embeddings"))
+
+
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_report(read(spark, folder, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_digests(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -24,9 +32,22 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_top_k": op1_exact_top_k,
+    "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_exact_top_k": """
+        WITH v AS (
+            SELECT CAST(vec_id AS BIGINT) id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.id query_id, c.id vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) score
+            FROM v q JOIN v c ON c.id <> q.id AND len(c.v) = len(q.v) WHERE q.id % 100 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        QUALIFY rank <= 10""",
+}

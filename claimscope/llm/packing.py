@@ -22,7 +22,9 @@ from claimscope.llm.shared import map_batches, settled
 
 CAPACITY = 2048
 #: Chunks that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 700_000
+#: Punctuation that may follow a word; not the apostrophe, which can begin a token with letters.
+MARKS = ".,;:!?#*$%&|<>()[]{}\"+=/\\~^_@`-"
 #: Rows of one rank partition, about.
 RANK_ROWS = 20_000
 
@@ -31,7 +33,7 @@ class Splitter:
     """Token ids of whole texts by a lower-casing word-level BPE file, through the ids of their white-space separated chunks.
 
     The vocabulary's pre-tokenizer never crosses white space and drops it, so a text's ids are those of its chunks.
-    Chunks are lower-cased first, and a full stop or comma after letters is a token of its own. Where that might not
+    Chunks are lower-cased first, and punctuation after letters is a token of its own. Where that might not
     hold (special token strings, information separators, at which Python also splits, a capital sigma, texts that
     normalization changes) the text is encoded whole.
     """
@@ -49,19 +51,21 @@ class Splitter:
     def _learn(self, chunks: set[str]) -> None:
         """Remembers the ids of chunks: words of letters many at a time, everything else by itself."""
         known = self._known
-        marked = [c for c in chunks if c[-1] in ".," and c[:-1].isalpha()]
-        words = [w for w in {c for c in chunks if c.isalpha()}.union(c[:-1] for c in marked) if w not in known]
+        marked = [(c, w) for c in chunks if (w := c.rstrip(MARKS)).isalpha() and len(w) < len(c)]
+        words = [w for w in {c for c in chunks if c.isalpha()}.union(w for _, w in marked) if w not in known]
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids, of = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
             ends = np.searchsorted(of, np.arange(len(part)), side="right")
             if len(ids) and of[-1] == len(part) - 1:
-                known.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, [0, *ends[:-1]], ends, strict=True))
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                known.update((w, raw[a:b]) for w, a, b in zip(part, [0, *ends[:-1]], ends, strict=True))
             else:
                 known.update((w, self._ids(w)) for w in part)
-        marks = {m: self._ids(m) for m in ".,"}
-        known.update((c, known[c[:-1]] + marks[c[-1]]) for c in marked)
+        for m in {c[len(w) :] for c, w in marked}.difference(known):
+            known[m] = self._ids(m)
+        known.update((c, known[w] + known[c[len(w) :]]) for c, w in marked)
         known.update((c, self._ids(c)) for c in chunks if c not in known)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -183,7 +187,7 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 3000) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 1000) -> list[tuple[tuple[int, ...], int]]:
     """``(lengths of a sequence, how many such sequences)`` covering all ``counts``, by bin completion.
 
     The first descent takes the best fit at every step and becomes the incumbent. Backtracking then tries other

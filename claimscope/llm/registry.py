@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import bpe, langid, packing, quality, secrets, topk
+from claimscope.llm import bpe, langid, licenses, packing, quality, secrets, topk
 from claimscope.llm.shared import read
 
 
@@ -23,6 +23,10 @@ def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(read(spark, folder, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_report(read(spark, folder, "documents"))
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op7_license_scan": op7_license_scan,
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
 }
@@ -50,4 +55,5 @@ ORACLE: dict[str, str] = {
         )
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
         QUALIFY rank <= 10""",
+    "op7_license_scan": licenses.oracle(),
 }

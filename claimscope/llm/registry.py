@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import bpe, langid, licenses, packing, quality, secrets, topk
+from claimscope.llm import bpe, langid, licenses, linededup, packing, quality, secrets, topk
 from claimscope.llm.shared import read
 
 
@@ -35,6 +35,10 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.language_report(read(spark, folder, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.dedup_report(read(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op3_quality_rules": op3_quality_rules,
@@ -43,6 +47,7 @@ QUERIES = {
     "op7_license_scan": op7_license_scan,
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE: dict[str, str] = {
     "op1_exact_top_k": """
@@ -56,4 +61,5 @@ ORACLE: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
         QUALIFY rank <= 10""",
     "op7_license_scan": licenses.oracle(),
+    "op10_line_dedup": linededup.ORACLE,
 }

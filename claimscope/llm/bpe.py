@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from claimscope.llm.shared import map_batches
 
 #: Words that a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -161,10 +161,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def back(b: pa.RecordBatch) -> pa.RecordBatch:
         v = vocabulary(path)
-        texts = [v.decode(ids or ()) for ids in b.column(1).to_pylist()]
+        texts = [v.decode(ids.values.to_numpy().tolist() if ids.is_valid else ()) for ids in b.column(1)]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return map_batches(encoded.select("doc_id", "ids"), back, "doc_id long, ids array<int>, text string")
+    return map_batches(encoded.select("doc_id", "ids"), back, "doc_id long, ids array<int>, text string", block=128)
 
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:

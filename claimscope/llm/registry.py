@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import bpe, langid, licenses, linededup, packing, quality, secrets, topk
+from claimscope.llm import bpe, langid, licenses, linededup, packing, quality, secrets, topk, wrappers
 from claimscope.llm.shared import read
 
 
@@ -23,6 +23,10 @@ def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.main_text(read(spark, folder, "pages"))
+
+
 def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(read(spark, folder, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_html_extraction": op6_html_extraction,
     "op7_license_scan": op7_license_scan,
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import bpe, langid, licenses, linededup, packing, quality, secrets, topk, wrappers
+from claimscope.llm import bpe, jaccard, langid, licenses, linededup, packing, quality, secrets, topk, wrappers
 from claimscope.llm.shared import read
 
 
@@ -11,6 +11,10 @@ def op1_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.embedding_search(read(spark, folder, "embeddings"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.links(read(spark, folder, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(read(spark, folder, "documents"))
 
@@ -45,6 +49,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_bpe_round_trip": op5_bpe_round_trip,
@@ -65,6 +70,7 @@ ORACLE: dict[str, str] = {
         )
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
         QUALIFY rank <= 10""",
+    "op2_ngram_jaccard_join": jaccard.ORACLE,
     "op7_license_scan": licenses.oracle(),
     "op10_line_dedup": linededup.ORACLE,
 }

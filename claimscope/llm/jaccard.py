@@ -353,10 +353,17 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, r
 
 
 def first_of_each(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class, that of its smallest id; rows without words or id stay."""
-    classes = links(docs.select("doc_id", "text"), **how).select(F.col("doc_id").alias("_doc"), "class_id").where("_doc = class_id").distinct()
-    with_id = docs.join(classes, F.col("doc_id").cast("long") == F.col("_doc"), "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where(F.col("doc_id").isNull()))
+    """``docs`` with one document of each near-duplicate class, that of its smallest id.
+
+    Documents without words and rows without id are classes of their own and stay. An id is one document: repeated
+    rows leave one, and of several texts the one with the smallest hash stays.
+    """
+    first = links(docs.select("doc_id", "text"), **how).where("doc_id = class_id").select(F.col("doc_id").alias("_doc")).distinct()
+    rows = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_row")).where("doc_id is not null")
+    first = first.join(rows.groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.min("_row").alias("_row")), "_doc")
+    named = docs.where("doc_id is not null").withColumns({"_doc": F.col("doc_id").cast("long"), "_row": F.coalesce(F.xxhash64("text"), F.lit(0))})
+    kept = named.join(first, ["_doc", "_row"], "left_semi").dropDuplicates(["_doc", "_row"]).select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 #: DuckDB SQL for ``links``' rows: all pairs that share a shingle, compared exactly, and their components.

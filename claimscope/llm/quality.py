@@ -11,11 +11,10 @@ import math
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimscope.llm.shared import map_batches, settled
+from claimscope.llm.shared import settled
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -66,19 +65,24 @@ def counts(text: str | None) -> tuple[int, int, int, int, int, int]:
     )
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, source``, the counts, ``base_failed`` and the transformed vector ``x0..x4`` of every row."""
+def _measured(texts: pd.Series) -> pd.DataFrame:
+    c = np.array([counts(t) for t in texts], dtype=np.int64).reshape(-1, 6)
+    words, chars, symbols, dup, rep, lines = c.T
+    some, per = np.maximum(words, 1), lambda a, n: np.log1p(100.0 * a / np.maximum(n, 1))
+    x = [np.log1p(words), np.log(np.maximum(chars, 1) / some), per(symbols, chars), per(dup, lines), per(rep, words)]
+    failed = (words < LEAST_WORDS) | (100 * rep > MOST_REPEATED * words)
+    return pd.DataFrame(dict(zip((*COUNTS, "base_failed", *FEATURES), (words, chars, symbols, dup, rep, failed, *x), strict=True)))
+
 
-    def measure(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = np.array([counts(t) for t in b.column(3).to_pylist()], dtype=np.int64).reshape(-1, 6)
-        words, chars, symbols, dup, rep, lines = c.T
-        some, per = np.maximum(words, 1), lambda a, n: np.log1p(100.0 * a / np.maximum(n, 1))
-        x = [np.log1p(words), np.log(np.maximum(chars, 1) / some), per(symbols, chars), per(dup, lines), per(rep, words)]
-        failed = (words < LEAST_WORDS) | (100 * rep > MOST_REPEATED * words)
-        return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *map(pa.array, (words, chars, symbols, dup, rep)), pa.array(failed), *map(pa.array, x)], ["doc_id", "lang", "source", *COUNTS, "base_failed", *FEATURES])
+def measured(text: str = "text") -> F.Column:
+    """A struct of the counts, ``base_failed`` and the transformed vector ``x0..x4`` of a text column."""
+    kind = ", ".join([*(f"{c} long" for c in COUNTS), "base_failed boolean", *(f"{x} double" for x in FEATURES)])
+    return F.pandas_udf(_measured, kind)(F.col(text))
 
-    schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, " + ", ".join(f"{x} double" for x in FEATURES)
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), "text"), measure, schema)
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """``doc_id, lang, source`` and the fields of ``measured`` for every row."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), measured().alias("s")).select("doc_id", "lang", "source", "s.*")
 
 
 def chi2_cdf(x: float, p: int) -> float:
@@ -198,25 +202,47 @@ def estimates(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFr
     return e
 
 
+def limits(stats: DataFrame) -> DataFrame:
+    """``lang, source, n, center, inverse``: the estimate that holds for each language and source of ``stats``.
+
+    Estimates come from all documents that pass the fixed rules; null is a value of its own. Groups of fewer than 60
+    documents are estimated together with the other small sources of their language, or with all small languages.
+    """
+    groups = settled(_grouped(stats))
+    same = F.col("s.lang").eqNullSafe(F.col("g.lang")) & F.col("s.source").eqNullSafe(F.col("g.source"))
+    rows = stats.alias("s").where("not base_failed").join(groups.alias("g"), same).select("g.grp", *FEATURES)
+    return settled(groups.join(estimates(rows), "grp").select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "n", "center", "inverse"))
+
+
+def _judged(rows: DataFrame, limit: DataFrame, tail: float) -> DataFrame:
+    """``rows`` (``lang, source, base_failed, x0..x4`` and more) with ``distance`` and ``kept``."""
+    same = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
+    near = (_distance() <= chi2_quantile(tail, DIMS)) | (F.col("n") < LEAST_ROWS)
+    return rows.join(limit.alias("e"), same, "left").withColumns({
+        "distance": F.when(~F.col("base_failed"), F.sqrt(_distance())), "kept": ~F.col("base_failed") & F.coalesce(near, F.lit(True)),
+    })
+
+
 def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """``doc_id``, the counts, ``base_failed``, ``distance`` and ``kept`` for every row of ``docs``.
 
-    Estimates come from all documents that pass the fixed rules. A null text is an empty one and fails them; a null
-    language or source is a value of its own. Groups of fewer than 60 documents are estimated together with the
-    other small sources of their language, or with all small languages; if even those are fewer, nothing is
-    rejected. Repeated rows count repeatedly and get the same verdict; an empty table gives an empty one.
+    A null text is an empty one and fails the fixed rules; documents that fail have no distance. Where too few
+    documents are left even together, the estimate rejects nothing. Repeated rows count repeatedly and get the same
+    verdict; other columns take no part; an empty table gives an empty one.
     """
     stats = settled(statistics(docs))
-    groups = settled(_grouped(stats))
-    same = F.col("s.lang").eqNullSafe(F.col("g.lang")) & F.col("s.source").eqNullSafe(F.col("g.source"))
-    rows = stats.alias("s").where("not base_failed").join(groups.alias("g"), same).select("s.*", "g.grp")
-    e = estimates(rows.select("grp", *FEATURES))
-    good = rows.join(e.alias("e"), "grp", "left").select(
-        "doc_id", *COUNTS, "base_failed", F.sqrt(_distance()).alias("distance"),
-        F.coalesce((_distance() <= chi2_quantile(tail, DIMS)) | (F.col("e.n") < LEAST_ROWS), F.lit(True)).alias("kept"),
-    )
-    bad = stats.where("base_failed").select("doc_id", *COUNTS, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
-    return good.unionByName(bad)
+    return _judged(stats, limits(stats), tail).select("doc_id", *COUNTS, "base_failed", "distance", "kept")
+
+
+def keep(docs: DataFrame, tail: float = TAIL) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+
+    Texts are not shuffled: they are measured once for the estimates and once more where they are filtered.
+    """
+    limit = limits(settled(statistics(docs)))
+    lang, source = F.col("lang").cast("string"), F.col("source").cast("string")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), lang.alias("lang"), source.alias("source"), measured().alias("s")).select("doc", "lang", "source", "s.*")
+    return _judged(rows, limit, tail).where("kept").select("doc.*")
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

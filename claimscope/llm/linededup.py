@@ -30,17 +30,25 @@ def line_words(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, line, toks`` of every line with words; ``row`` tells rows of one document id apart by their text.
-
-    ``toks`` are the hashes of a line's different shingles.
-    """
+    """``doc_id, row, line, t`` of every line with words; ``row`` tells rows of one document id apart by their text."""
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    rows = rows.where(F.trim(F.translate("t", "\t\x0b\x0c\r", "    ")) != "")
+    return rows.where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _hashed(lines: DataFrame) -> DataFrame:
+    """``doc_id, row, line, h``: the hashes of a line's words."""
+    return lines.select("doc_id", "row", "line", F.transform(line_words(F.col("t")), lambda w: F.xxhash64(w)).alias("h"))
+
+
+def _shingle(i: Column) -> Column:
+    return F.xxhash64(*(F.get("h", i + k) for k in range(SHINGLE)))
+
+
+def tokenized(lines: DataFrame) -> DataFrame:
+    """``doc_id, row, line, toks``: the hashes of a line's different shingles."""
     # One column for each step: an expression that a later one names several times would be computed as often.
-    rows = rows.select("doc_id", "row", "line", F.transform(line_words(F.col("t")), lambda w: F.xxhash64(w)).alias("h"))
     last = F.greatest(F.size("h") - SHINGLE, F.lit(0))
-    one = lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(SHINGLE)))
-    return rows.select("doc_id", "row", "line", F.array_distinct(F.transform(F.sequence(F.lit(0), last), one)).alias("toks"))
+    return _hashed(lines).select("doc_id", "row", "line", F.array_distinct(F.transform(F.sequence(F.lit(0), last), _shingle)).alias("toks"))
 
 
 def _class(token: Column) -> Column:
@@ -49,7 +57,10 @@ def _class(token: Column) -> Column:
 
 def rarity(docs: DataFrame) -> Column:
     """A function's table: for each hash class a grade, higher for classes with more tokens in the corpus."""
-    seen = lines_of(docs).select(F.explode_outer("toks").alias("t")).groupBy(_class(F.col("t")).alias("c")).count().collect()
+    # Places are exploded and hashed as rows, which is compiled; only counts by class leave a task.
+    places = _hashed(lines_of(docs)).select("h", F.posexplode_outer("h").alias("i", "w"))
+    places = places.where((F.col("i") == 0) | (F.col("i") <= F.size("h") - SHINGLE))
+    seen = places.groupBy(_class(_shingle(F.col("i"))).alias("c")).count().collect()
     grade = [0] * CLASSES
     for r in seen:
         grade[r.c] = min(126, int(6 * math.log2(r["count"])))
@@ -85,29 +96,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, row, line`` of every line of ``docs`` that an earlier one matches."""
     grades = rarity(docs)
-    lines = lines_of(docs).select(*_AT, ordered(F.col("toks"), grades).alias("toks"))
+    lines = tokenized(lines_of(docs)).select(*_AT, ordered(F.col("toks"), grades).alias("toks"))
     n = F.size("toks")
-    # Equal sets: the earliest stays. Two hashes and the size stand for the set.
-    kinds = settled(lines.select(*_AT, n.alias("n"), F.xxhash64("toks").alias("k1"), F.xxhash64(F.lit(1), F.reverse("toks")).alias("k2")))
-    first = kinds.groupBy("n", "k1", "k2").agg(F.min(F.struct(*_AT)).alias("f"), F.count("*").alias("copies"))
-    again = settled(kinds.join(first.where("copies > 1"), ["n", "k1", "k2"]).where(F.struct(*_AT) > F.col("f")).select(*_AT))
+    # Equal lines: the earliest stays. Two hashes stand for the line.
+    kinds = settled(lines_of(docs).select(*_AT, F.xxhash64("t").alias("k1"), F.hash("t").alias("k2")))
+    first = kinds.groupBy("k1", "k2").agg(F.min(F.struct(*_AT)).alias("f"), F.count("*").alias("copies"))
+    again = settled(kinds.join(first.where("copies > 1"), ["k1", "k2"]).where(F.struct(*_AT) > F.col("f")).select(F.struct(*_AT).alias("a")))
     rows = lines.select(F.struct(*_AT).alias("a"), n.alias("n"), F.posexplode_outer(F.slice("toks", F.lit(1), _prefix(n).cast("int"))).alias("i", "token"))
-    earliest = rows.groupBy("token").agg(F.min(F.struct("a", "n", "i")).alias("b"), F.min("n").alias("n0"), F.max("a").alias("z"))
-    earliest = earliest.where("z > b.a").select("token", "b")
+    earliest = rows.groupBy("token").agg(F.min(F.struct("a", "n", "i")).alias("b"), F.count("*").alias("lines")).where("lines > 1").drop("lines")
     # Every line of a token that several have, with the token's earliest line.
-    shared = settled(rows.join(earliest, "token").select("token", "a", "n", "i", "b").join(again.select(F.struct(*_AT).alias("a")), "a", "left_anti"))
+    shared = settled(rows.join(earliest, "token"))
     led = shared.where((F.col("a") > F.col("b.a")) & _fits(F.col("n"), F.col("i"), F.col("b.n"), F.col("b.i"))).select("a", F.col("b.a").alias("b")).distinct()
-    wanted = settled(led)
+    wanted = settled(led.join(again, "a", "left_anti"))
     needed = wanted.select("a").unionByName(wanted.select(F.col("b").alias("a"))).distinct()
     sets = lambda of: lines.withColumn("a", F.struct(*_AT)).join(of, "a", "left_semi").select(*_AT, "toks")
-    done = settled(_verified(wanted, sets(needed)))
+    done = settled(_verified(wanted, sets(needed)).unionByName(again))
     # What is still open meets the other earlier lines of its tokens.
     open_ = shared.select("token", "a", "n", "i", "b").join(done, "a", "left_anti").where(F.col("a") > F.col("b.a"))
-    other = shared.where(F.col("a") > F.col("b.a")).select("token", F.col("a").alias("c"), F.col("n").alias("m"), F.col("i").alias("j"))
+    # Later copies of a line cannot be the first to match another.
+    other = shared.where(F.col("a") > F.col("b.a")).join(again, "a", "left_anti").select("token", F.col("a").alias("c"), F.col("n").alias("m"), F.col("i").alias("j"))
     rest = settled(open_.join(other, "token").where((F.col("c") < F.col("a")) & _fits(F.col("n"), F.col("i"), F.col("m"), F.col("j"))).select("a", F.col("c").alias("b")).distinct())
     needed = rest.select("a").unionByName(rest.select(F.col("b").alias("a"))).distinct()
     more = _verified(rest, sets(needed))
-    return again.unionByName(done.unionByName(more).select("a.*"))
+    return done.unionByName(more).select("a.*")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

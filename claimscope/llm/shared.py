@@ -1,5 +1,6 @@
 """What the operators share: intermediate tables, byte-exact batches, connected components."""
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +13,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Puts the folder of this package on the path of Python workers, for sessions started elsewhere."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    workers_find_package(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 

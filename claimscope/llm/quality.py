@@ -148,7 +148,7 @@ def _estimate(core: float):
     q = chi2_quantile(1 - core, DIMS) if core < 1 else math.inf
     factor = core / chi2_cdf(q, DIMS + 2) if core < 1 else 1.0
 
-    def fit(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("cls")
         n = int(rows["n"].sum())
         if core < 1:

@@ -62,10 +62,13 @@ def best_of_block(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, lists:
         return out
     barred = own[:, None] == ids[None, :]
     plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-    open_, depth = np.arange(len(queries)), max(1, math.ceil(n * FIRST))
+    # Integers that may not fit are read whole and clipped, so that they tie as their results do.
+    large = lists.x.dtype == object
+    clipped = lambda x: np.maximum(np.minimum(x, 2**63 - 1), -(2**63)) if large else x
+    open_, depth = np.arange(len(queries)), n if large else max(1, math.ceil(n * FIRST))
     while len(open_):
         if depth >= n:  # everything is read: the bounds are the scores
-            lower = upper = queries[open_] @ lists.x.T
+            lower = upper = clipped(queries[open_] @ lists.x.T)
         else:
             lower, upper = lists.bounds(plus[open_], minus[open_], depth)
         low = np.where(barred[open_], -np.inf, lower)
@@ -76,10 +79,10 @@ def best_of_block(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, lists:
         done = (can.sum(axis=1) <= max(4 * k, n // 64)) | (depth >= n)
         for q, row in zip(open_[done], can[done], strict=True):
             at = np.flatnonzero(row)
-            scores = lists.x[at] @ queries[q]
+            scores = clipped(lists.x[at] @ queries[q])
             out += [(int(q), t, s) for s, t in heapq.nsmallest(k, ((-int(s), int(t)) for s, t in zip(scores, ids[at], strict=True)))]
         open_, depth = open_[~done], min(n, depth * 2)
-    return [(q, t, max(-(2**63), min(2**63 - 1, -s))) for q, t, s in out]
+    return [(q, t, -s) for q, t, s in out]
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> bool:

@@ -269,7 +269,7 @@ def infer(pages: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    def whole(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         w: list[list] | None = None
         for x in sorted(rows["wrapper"]):
             w = json.loads(x) if w is None else aligned(w, json.loads(x))

@@ -32,8 +32,8 @@ BLOCK = 256
 #: Least share of links that must be found.
 RECALL = 0.999999
 #: Bytes of a sketch, and the share of equal bytes below which two sets are not compared. At the threshold a sketch
-#: agrees in 80 % of its bytes with a standard deviation of 3.5 %; 58 % is more than six of them away.
-SKETCH, NEAR = 128, 0.58
+#: agrees in 80 % of its bytes with a standard deviation of 5 %; half is six of them away.
+SKETCH, NEAR = 64, 0.5
 
 
 def meeting(fan: float, depth: int) -> float:
@@ -82,16 +82,16 @@ def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
     n = max(len(h) - width + 1, 1)
     out = np.full(n, len(h) if len(h) < width else width, dtype=np.uint64)
     for k in range(min(width, len(h))):
-        out = mix(out * _MIX + h[k : k + n])
-    return np.unique(out)
+        out = out * _MIX + h[k : k + n]
+    return np.unique(mix(out))
 
 
 def chosen(x: np.ndarray, node: int, fan: float, threshold: float) -> np.ndarray:
     """Children of ``node`` that a set goes to, one for each shingle it chose there."""
-    h = mix(x ^ np.uint64(node))
+    h = x * np.uint64(node | 1)  # elements are well mixed: the high bits of a product are a hash of their own
     limit = min(fan / (threshold * len(x)), 1.0) * 2.0**64
     picked = x[h <= np.uint64(min(limit, 2.0**64 - 2048))] if limit < 2.0**64 - 2048 else x
-    return mix(mix(picked * _MIX + np.uint64(node)) + np.uint64(1))
+    return mix(picked * _MIX + np.uint64(node))
 
 
 _SALTS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * _MIX) | np.uint64(1)
@@ -169,7 +169,7 @@ def leaves(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, w
         level = settled(_children(large, texts, threshold, width))
         if level.isEmpty():
             break
-    return settled(done)
+    return done
 
 
 def _block(block: int) -> F.Column:
@@ -191,6 +191,8 @@ def _work(rows: DataFrame, block: int) -> DataFrame:
 
 def _sketch_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of equal bytes of every pair of sketches."""
+    if len(a) * len(b) <= 4096:
+        return (a[:, None, :] == b[None, :, :]).mean(axis=2)
     out = np.zeros((len(a), len(b)), dtype=np.int16)
     for k in range(a.shape[1]):
         out += a[:, k, None] == b[None, :, k]
@@ -219,54 +221,70 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray], want: np.ndarray) -> np.
     return out
 
 
-def _candidates(group: pa.Table, threshold: float) -> tuple[np.ndarray, list[int], list[int], bool]:
-    """Of one pair of blocks: the pairs to compare here, and the rows of either side.
-
-    A pair is compared only in the first of the leaves that both sets have, and only if sizes and sketches allow it.
-    """
-    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-    mine = group.column("mine").to_numpy()
-    ids, n, node = group.column("id").to_numpy(), group.column("n").to_numpy(), group.column("node")[0].as_py()
-    left, right = (np.flatnonzero(mine == k) for k in (i, j))
-    if not len(left) or not len(right):
-        return np.zeros((0, 0), bool), [], [], False
-    want = ids[left][:, None] < ids[right][None, :] if i == j else ids[left][:, None] != ids[right][None, :]
-    small, big = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
-    want &= small >= threshold * big - 1e-9
-    if want.any():
-        s = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-        want &= _sketch_pairs(s[left], s[right]) >= NEAR
-    if want.any():
-        own = [set(x) for x in group.column("leaves").to_pylist()]
-        for a, b in np.argwhere(want):
-            if min(own[left[a]] & own[right[b]]) != node:
-                want[a, b] = False
-    return want, left.tolist(), right.tolist(), True
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of equal ``node, i, j`` in sorted batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
+class _Rows:
+    """Columns of a run of rows sorted by ``node, i, j``, and where its groups begin and end."""
+
+    def __init__(self, t: pa.Table):
+        t = t.combine_chunks()
+        self.node, self.i, self.j, self.mine, self.id, self.n = (t.column(c).to_numpy() for c in ("node", "i", "j", "mine", "id", "n"))
+        self.sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(t.num_rows, SKETCH)
+        leaves = t.column("leaves").combine_chunks()
+        self._leaf, self._at = leaves.values.to_numpy(), leaves.offsets.to_numpy()
+        self.shingles = t.column("shingles") if "shingles" in t.column_names else None
+        new = np.flatnonzero((self.node[1:] != self.node[:-1]) | (self.i[1:] != self.i[:-1]) | (self.j[1:] != self.j[:-1])) + 1
+        self.cuts = np.concatenate([[0], new, [t.num_rows]])
+
+    def leaves(self, row: int) -> np.ndarray:
+        return self._leaf[self._at[row] : self._at[row + 1]]
+
+    def first_common(self, a: int, b: int) -> bool:
+        """Whether the leaf of these rows is the first that both sets have."""
+        return np.intersect1d(self.leaves(a), self.leaves(b)).min() == self.node[a]
+
+    def pairs_of_two(self, threshold: float) -> np.ndarray:
+        """Rows of candidate pairs in groups of just two sets, all such groups at once."""
+        a = self.cuts[:-1][(np.diff(self.cuts) == 2) & (self.i[self.cuts[:-1]] == self.j[self.cuts[:-1]])]
+        n, m = self.n[a], self.n[a + 1]
+        a = a[np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9]
+        a = a[(self.sketch[a] == self.sketch[a + 1]).mean(axis=1) >= NEAR]
+        return np.array([x for x in a if self.first_common(x, x + 1)], dtype=np.int64)
+
+    def candidates(self, s: int, e: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of one pair of blocks: the pairs to compare here, and the rows of either side.
+
+        A pair is compared only in the first of the leaves that both sets have, and only if sizes and sketches allow it.
+        """
+        i, j, mine = self.i[s], self.j[s], self.mine[s:e]
+        left, right = np.flatnonzero(mine == i) + s, np.flatnonzero(mine == j) + s
+        x, y = self.id[left][:, None], self.id[right][None, :]
+        n, m = self.n[left][:, None], self.n[right][None, :]
+        want = (x < y if i == j else x != y) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
+        if want.any():
+            want &= _sketch_pairs(self.sketch[left], self.sketch[right]) >= NEAR
+            for a, b in np.argwhere(want):
+                want[a, b] = self.first_common(left[a], right[b])
+        return want, left, right
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
+    """Sorted batches as runs of whole groups."""
+    held: pa.Table | None = None
     for b in batches:
         if not b.num_rows:
             continue
-        k = np.stack([b.column(c).to_numpy() for c in ("node", "i", "j")])
-        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            key = tuple(k[:, s])
-            if last is not None and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(s, e - s))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _forest(pairs: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect what ``pairs`` of positions connect, fewer than positions."""
-    parent = list(range(len(ids)))
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        k = np.stack([t.column(c).to_numpy() for c in ("node", "i", "j")])
+        last = int(np.flatnonzero((k[:, :-1] != k[:, 1:]).any(axis=0)).max(initial=-1)) + 1  # where the last group begins
+        if last:
+            yield _Rows(t.slice(0, last))
+        held = t.slice(last)
+    if held is not None and held.num_rows:
+        yield _Rows(held)
+
+
+def _stars(pairs: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """Edges from every row in ``pairs`` to the smallest id that its pairs connect it with."""
+    parent = {int(x): int(x) for x in np.unique(pairs)}
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -274,13 +292,14 @@ def _forest(pairs: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    out = []
     for a, b in pairs.tolist():
         x, y = find(a), find(b)
         if x != y:
             parent[x] = y
-            out.append((int(ids[a]), int(ids[b])))
-    return out
+    least: dict[int, int] = {}
+    for x in parent:
+        least[find(x)] = min(least.get(find(x), int(ids[x])), int(ids[x]))
+    return [(int(ids[x]), least[find(x)]) for x in parent if int(ids[x]) != least[find(x)]]
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -296,26 +315,27 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, r
     are answered repeatedly; if an id has several texts, the one with the smallest hash stands for it; rows without id are a class of their own without links. An empty table gives an empty one.
     """
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    told = settled(describe(known, runs_needed(recall), threshold, width))
-    told = told.join(told.groupBy("doc_id").agg(F.min("row").alias("row")), ["doc_id", "row"])
-    kinds = told.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"))
-    copies = settled(told.where("n > 0").select("doc_id", "key").join(kinds, "key").select("doc_id", "id").distinct())
+    told = describe(known, runs_needed(recall), threshold, width)
+    told = settled(told.groupBy("doc_id").agg(F.min_by(F.struct("row", "n", "key", "sketch", "nodes"), "row").alias("d")).select("doc_id", "d.*"))
     # One description for each different set: that of its smallest id.
-    members = told.where("n > 0").join(kinds, "key").where("doc_id = id").dropDuplicates(["key"]).select("id", "row", "n", "sketch", "nodes")
-    members = settled(members)
+    first = told.where("n > 0").groupBy("key").agg(F.min_by(F.struct(F.col("doc_id").alias("id"), "row", "n", "sketch", "nodes"), "doc_id").alias("d"))
+    members = settled(first.select("key", "d.*"))
+    copies = told.where("n > 0").select("doc_id", "key").join(members.select("key", "id"), "key").select("doc_id", "id")
     found = leaves(members, known, threshold, width, leaf)
     where = found.groupBy("id").agg(F.collect_list("node").alias("leaves"))
     light = members.select("id", "row", "n", "sketch").join(where, "id")
     rows = _work(found.join(light, "id"), block).select("node", "i", "j", "mine", "id", "n", "sketch", "leaves")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches):
-            want, left, right, _ = _candidates(g, threshold)
-            if want.any():
-                ids = g.column("id").to_numpy()
-                hit = np.unique(np.concatenate([ids[np.array(left)[want.any(axis=1)]], ids[np.array(right)[want.any(axis=0)]]]))
-                head = [pa.array(np.full(len(hit), g.column(c)[0].as_py(), dtype=t)) for c, t in (("node", np.int64), ("i", np.int32), ("j", np.int32))]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(hit)], ["node", "i", "j", "id"])
+        for r in _runs(batches):
+            two = r.pairs_of_two(threshold)
+            hit = [two, two + 1]
+            for s, e in zip(r.cuts, r.cuts[1:], strict=False):
+                if e - s > 2 or e - s == 2 and r.i[s] != r.j[s]:
+                    want, left, right = r.candidates(s, e, threshold)
+                    hit += [left[want.any(axis=1)], right[want.any(axis=0)]]
+            rows = np.unique(np.concatenate(hit))
+            yield pa.RecordBatch.from_arrays([pa.array(c[rows]) for c in (r.node, r.i, r.j, r.id)], ["node", "i", "j", "id"])
 
     kept = settled(_dealt(rows).mapInArrow(near, "node long, i int, j int, id long"))
     of_set = kept.select("id").distinct().join(light, "id").join(known.withColumnRenamed("doc_id", "id"), ["id", "row"]).dropDuplicates(["id"])
@@ -328,21 +348,22 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, r
     full = kept.join(found.select("node", "id", "m"), ["node", "id"]).withColumn("mine", _block(block)).join(sets, "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches):
-            want, left, right, _ = _candidates(g, threshold)
-            if not want.any():
-                continue
-            ids, n = g.column("id").to_numpy(), g.column("n").to_numpy()
-            x = [np.frombuffer(s, dtype=np.uint64) for s in g.column("shingles").to_pylist()]
-            common = _overlaps([x[k] for k in left], [x[k] for k in right], want)
-            union = n[left][:, None] + n[right][None, :] - common
-            good = want & (common >= threshold * union - 1e-9)
-            count = np.bincount(np.concatenate([np.array(left)[np.nonzero(good)[0]], np.array(right)[np.nonzero(good)[1]]]), minlength=len(ids))
-            at = np.flatnonzero(count)
-            pairs = np.argwhere(good)
-            edges = _forest(np.stack([np.array(left)[pairs[:, 0]], np.array(right)[pairs[:, 1]]], axis=1), ids) if len(pairs) else []
-            a = [*ids[at].tolist(), *(e[0] for e in edges)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([None] * len(at) + [e[1] for e in edges], pa.int64()), pa.array([*count[at].tolist(), *[0] * len(edges)], pa.int64())], ["a", "b", "links"])
+        for r in _runs(batches):
+            out: list[tuple[int, int | None, int]] = []
+            for s, e in zip(r.cuts, r.cuts[1:], strict=False):
+                want, left, right = r.candidates(s, e, threshold)
+                if not want.any():
+                    continue
+                x, y = ([np.frombuffer(r.shingles[int(k)].as_py(), dtype=np.uint64) for k in side] for side in (left, right))
+                common = _overlaps(x, y, want)
+                union = r.n[left][:, None] + r.n[right][None, :] - common
+                a, b = np.nonzero(want & (common >= threshold * union - 1e-9))
+                pairs = np.stack([left[a], right[b]], axis=1)
+                rows, count = np.unique(pairs, return_counts=True)
+                out += [(int(r.id[k]), None, int(c)) for k, c in zip(rows, count, strict=True)]
+                out += [(u, v, 0) for u, v in _stars(pairs, r.id)]
+            columns = zip(*out, strict=True) if out else ((),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "links"])
 
     linked = settled(_dealt(full.select("node", "i", "j", "mine", "id", "n", "sketch", "leaves", "shingles")).mapInArrow(compare, "a long, b long, links long"))
     counts = linked.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("n_links"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.views import Views, ctes
+from claimscope import constants as K
 from claimscope.functions import classify
 from claimscope.operators import extract, infer, trust
 
@@ -11,6 +12,12 @@ def _profiles(v: Views):
     return extract.parse_profiles(v.profile_output)
 
 
+def _outcomes(v: Views):
+    """What became of every facility: blank notes, and a model that fails for every 13th, are among them."""
+    failing = F.expr("if(cast(substring(facility_id, 2) as bigint) % 13 = 0, 'model error', null)")
+    return extract.outcomes(v.raw, v.profile_output.withColumn("error", failing))
+
+
 def _good(v: Views):
     return extract.succeeded(_profiles(v))
 
@@ -64,7 +71,7 @@ def _grounding(v):
 
 
 QUERIES = {
-    "notes_truncate": lambda v: extract.prepare_notes(v.raw).select("facility_id", "notes", "error"),
+    "notes_truncate": lambda v: extract.prepare_notes(v.raw, K.NOTES_PROMPT_CHARS).select("facility_id", "notes", "error"),
     "render_prompts": _render,
     "batch_infer": lambda v: infer.batch_infer(_render(v), _by_length()),
     "clean_response": lambda v: v.profile_output.select("facility_id", extract.cleaned_response(F.col("response")).alias("cleaned")),
@@ -75,8 +82,8 @@ QUERIES = {
     "validate_claims": _validate,
     "profile_counts": lambda v: extract.counts(_good(v)),
     "citations": lambda v: extract.citations(_good(v)),
-    "extraction_stats": lambda v: extract.stats(_profiles(v)),
-    "extraction_errors": lambda v: extract.failed(_profiles(v)).select("facility_id"),
+    "extraction_stats": lambda v: extract.stats(_outcomes(v)),
+    "extraction_errors": lambda v: _outcomes(v).where("error is not null").select("facility_id", "step"),
     "profile_json_roundtrip": lambda v: extract.from_json_columns(extract.to_json_columns(v.structured)).select(
         "facility_id", F.size("verified_capabilities").alias("n_capabilities"), F.size("staff").alias("n_staff"),
         F.size("equipment").alias("n_equipment"),
@@ -169,8 +176,7 @@ _PIECES = {
 }
 _LEX = {
     **_PIECES,
-    "hits": "SELECT DISTINCT facility_id, category, sentence, start, CAST(CASE WHEN contains(low, 'no ') OR contains(low, 'not ') OR "
-    "contains(low, 'under construction') OR contains(low, 'under repair') OR contains(low, 'limited') THEN 0.4 "
+    "hits": "SELECT DISTINCT facility_id, category, sentence, start, CAST(CASE WHEN regexp_matches(low, '\\b(no|not|under construction|under repair|limited)\\b') THEN 0.4 "
     "WHEN contains(low, replace(category, '_', ' ')) THEN 0.9 ELSE 0.65 END AS DOUBLE) AS confidence "
     "FROM sents JOIN fx_category_keywords ON contains(low, keyword)",
 }
@@ -178,15 +184,15 @@ _LEX = {
 
 def _first(*terms: str, unless: str = "") -> str:
     yes = " AND ".join(f"contains(low, '{t}')" for t in terms)
-    no = f" AND NOT contains(low, '{unless}')" if unless else ""
+    no = f" AND NOT regexp_matches(low, '\\b{unless}\\b')" if unless else ""
     return f"arg_min(sentence, i) FILTER ({yes}{no})"
 
 
 _RULES = {
     **_PIECES,
-    "picked": f"SELECT facility_id, {_first('surgery', unless='no ')} AS surgery, {_first('24/7', unless='no ')} AS always, "
+    "picked": f"SELECT facility_id, {_first('surgery', unless='no')} AS surgery, {_first('24/7', unless='no')} AS always, "
     f"{_first('under construction')} AS building, {_first('under repair')} AS repair, {_first('limited staff')} AS weekend, "
-    f"{_first('anesthesiologist', unless='no ')} AS anes FROM sents GROUP BY facility_id",
+    f"{_first('anesthesiologist', unless='no')} AS anes FROM sents GROUP BY facility_id",
     "facts": "SELECT n.facility_id, p.* EXCLUDE (facility_id), s.role, s.availability_hours, e.functional FROM fx_notes n "
     "LEFT JOIN picked p ON p.facility_id = n.facility_id LEFT JOIN fx_staff s ON s.facility_id = n.facility_id "
     "LEFT JOIN fx_equipment e ON e.facility_id = n.facility_id",
@@ -202,6 +208,11 @@ _RULES = {
 }
 _RULE_VIEWS = ["fx_notes", "fx_staff", "fx_equipment"]
 
+_BECAME = {
+    "became": "SELECT facility_id, n_capabilities, CASE WHEN trim(coalesce(unstructured_notes, '')) = '' THEN 'notes' "
+    "WHEN CAST(facility_id[2:] AS BIGINT) % 13 = 0 THEN 'model' WHEN NOT valid THEN 'parse' END AS step FROM fx_facilities_raw JOIN per USING (facility_id)",
+}
+
 ORACLE = {
     "notes_truncate": ctes(["fx_facilities_raw"])
     + "SELECT facility_id, CASE WHEN trim(coalesce(unstructured_notes, '')) = '' THEN NULL WHEN length(unstructured_notes) > 4000 "
@@ -209,12 +220,12 @@ ORACLE = {
     "CASE WHEN trim(coalesce(unstructured_notes, '')) = '' THEN 'Empty unstructured_notes' END AS error FROM fx_facilities_raw",
     "render_prompts": ctes(["fx_facilities_raw"])
     + "SELECT facility_id, concat('Name: ', facility_name, chr(10), 'Type: ', facility_type, chr(10), 'Notes: ', "
-    "CASE WHEN length(unstructured_notes) > 4000 THEN concat(left(unstructured_notes, 4000), '...') ELSE unstructured_notes END) AS prompt "
+    "unstructured_notes) AS prompt "
     "FROM fx_facilities_raw WHERE trim(coalesce(unstructured_notes, '')) <> ''",
     "batch_infer": ctes(["fx_facilities_raw"])
     + "SELECT facility_id, concat('{\"trust_score\": ', length(prompt) % 101, ', \"reasoning\": \"by length\"}') AS response, "
     "CAST(NULL AS VARCHAR) AS error FROM (SELECT facility_id, concat('Name: ', facility_name, chr(10), 'Type: ', facility_type, chr(10), 'Notes: ', "
-    "CASE WHEN length(unstructured_notes) > 4000 THEN concat(left(unstructured_notes, 4000), '...') ELSE unstructured_notes END) AS prompt "
+    "unstructured_notes) AS prompt "
     "FROM fx_facilities_raw WHERE trim(coalesce(unstructured_notes, '')) <> '')",
     "clean_response": _profile("SELECT facility_id, cleaned FROM span"),
     "parse_profile": _profile(
@@ -234,10 +245,10 @@ ORACLE = {
         "CAST(evidence_offset + length(evidence_sentence) AS INT) AS source_offset_end FROM goodcaps"
     ),
     "extraction_stats": _profile(
-        "SELECT count(*) AS total_facilities, count(*) FILTER (valid) AS successful_extractions, "
-        "count(*) FILTER (NOT valid) AS failed_extractions, CAST(sum(n_capabilities) FILTER (valid) AS BIGINT) AS total_citations FROM per"
-    ),
-    "extraction_errors": _profile("SELECT facility_id FROM per WHERE NOT valid"),
+        "SELECT count(*) AS total_facilities, count(*) FILTER (step IS NULL) AS successful_extractions, "
+        "count(*) FILTER (step IS NOT NULL) AS failed_extractions, CAST(coalesce(sum(n_capabilities) FILTER (step IS NULL), 0) AS BIGINT) AS total_citations FROM became",
+        ["fx_facilities_raw"], _BECAME),
+    "extraction_errors": _profile("SELECT facility_id, step FROM became WHERE step IS NOT NULL", ["fx_facilities_raw"], _BECAME),
     "profile_json_roundtrip": ctes(["fx_claims", "fx_staff", "fx_equipment"])
     + "SELECT f AS facility_id, CAST((SELECT count(*) FROM fx_claims c WHERE c.facility_id = f) AS INT) AS n_capabilities, "
     "CAST((SELECT count(*) FROM fx_staff c WHERE c.facility_id = f) AS INT) AS n_staff, "

@@ -48,7 +48,7 @@ QUERIES = {
     "ingest_rejects": lambda v: ingest.rejects(_clean(v)).select(
         "facility_id", F.array_join("missing_fields", ",").alias("missing_fields")
     ),
-    "ingest_stats": lambda v: ingest.stats(_clean(v)),
+    "ingest_stats": lambda v: ingest.stats(_clean(v), ingest.head(_clean(v), 100)),
     "dq_null_counts": lambda v: quality.null_counts(v.raw),
     "dq_uniqueness": lambda v: quality.uniqueness(_clean(v)),
     "dq_coverage": lambda v: quality.coverage(v.raw),
@@ -73,8 +73,8 @@ ORACLE = {
         "AS missing_fields FROM cleaned WHERE no_name OR no_notes"
     ),
     "ingest_stats": _sql(
-        "SELECT count(*) AS original_row_count, count(*) FILTER (NOT no_name AND NOT no_notes) AS valid_row_count, "
-        "count(*) FILTER (no_name OR no_notes) AS skipped_row_count, count(*) FILTER (id_generated) AS generated_id_count FROM cleaned"
+        "SELECT (SELECT count(*) FROM cleaned) AS original_row_count, count(*) AS sampled_row_count, count(*) FILTER (NOT no_name AND NOT no_notes) AS valid_row_count, "
+        "count(*) FILTER (no_name OR no_notes) AS skipped_row_count, count(*) FILTER (id_generated) AS generated_id_count FROM (SELECT * FROM cleaned ORDER BY facility_id LIMIT 100)"
     ),
     "dq_null_counts": ctes(["fx_facilities_raw"])
     + " UNION ALL ".join(

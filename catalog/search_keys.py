@@ -6,7 +6,6 @@ from catalog.claim_keys import _CONTRA, _PROFILE
 from catalog.views import Views, ctes
 from claimscope.functions import vectors as VF
 from claimscope.operators import extract, geo, lookup, search, trust, vectors
-from claimscope.sources.settle import settle
 
 
 def _profiles(v: Views):
@@ -63,7 +62,7 @@ def _hybrid(v: Views):
 
 def _filtered(v: Views):
     """The hard filters over the best 20 facilities of every logged query's places."""
-    intents = settle(_log_intents(v))
+    intents = _log_intents(v)
     return search.hard_filter(
         search.retrieve(intents, v.raw, v.trust, 20).select("query_id", "facility_id"),
         intents, v.raw, v.structured, v.trust, geo.pins(v.raw),
@@ -102,7 +101,9 @@ QUERIES = {
     "embed_profiles": lambda v: vectors.embed(_profiles(v)).select(
         "facility_id", F.expr("array_join(transform(embedding, x -> cast(round(cast(x as double) * 10000) as int)), ',')").alias("vector")
     ),
-    "embed_profiles_model": lambda v: vectors.embed_with(_profiles(v), _letters()),
+    "embed_profiles_model": lambda v: vectors.embed_with(_profiles(v), _letters()).select(
+        "facility_id", F.expr("array_join(transform(embedding, x -> cast(x as int)), ',')").alias("vector")
+    ),
     "cosine_similarity": lambda v: vectors.with_similarity(v.embeddings, _query_vector(v)).select(
         "vec_id", F.round("similarity", 6).alias("similarity")
     ),
@@ -213,10 +214,9 @@ def _retrieved(intents: str, keep: int) -> dict[str, str]:
 def _rules(source: str) -> dict[str, str]:
     return {
         "places": "SELECT DISTINCT 's' AS kind, state AS place FROM fx_facilities_raw UNION SELECT DISTINCT 'd', district FROM fx_facilities_raw",
-        "qw": f"SELECT query_id, list_filter(string_split_regex(lower(query), '\\s+'), lambda x: x <> '') AS ws FROM {source}",
         "named": "SELECT query_id, arg_max(place, (length(place), place)) FILTER (kind = 's') AS location_state, "
         "arg_max(place, (length(place), place)) FILTER (kind = 'd') AS location_district FROM "
-        "(SELECT query_id, unnest(ws) AS w FROM qw) JOIN places ON lower(place) = w GROUP BY 1",
+        f"{source} JOIN places ON regexp_matches(lower(query), concat('(^|[^a-z0-9])', regexp_replace(lower(place), '([^a-z0-9])', '\\\\\\1', 'g'), '($|[^a-z0-9])')) GROUP BY 1",
         "cats": f"SELECT query_id, category FROM {source} JOIN fx_category_keywords ON contains(lower(query), keyword) GROUP BY ALL",
         "intents": "SELECT q.query_id, query, location_state, location_district, "
         "nullif(regexp_extract(query, '\\b([0-9]{6})\\b', 1), '') AS location_pin_code, "
@@ -264,6 +264,8 @@ ORACLE = {
     "embed_profiles": ctes(_PV, _EMB)
     + "SELECT p.facility_id, string_agg(coalesce(CAST(round(CAST(x AS DOUBLE) * 10000) AS INT), 0), ',' ORDER BY d) AS vector FROM prof p "
     "CROSS JOIN range(64) t(d) LEFT JOIN prof_v v ON v.facility_id = p.facility_id AND v.b = d GROUP BY 1",
+    "embed_profiles_model": ctes(_PV, {"prof": _PROFILE_TEXT}) + "SELECT facility_id, concat_ws(',', "
+    + ", ".join(f"length(profile_text) - length(replace(lower(profile_text), '{c}', ''))" for c in "abcdefgh") + ") AS vector FROM prof",
     "cosine_similarity": f"SELECT vec_id, round({_COS}, 6) AS similarity FROM embeddings",
     "vector_topk": f"SELECT vec_id, round({_COS}, 6) AS similarity FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10",
     "vector_topk_batch": "WITH m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS x, "
@@ -312,10 +314,11 @@ ORACLE = {
     + "SELECT query_id, CAST(rank AS INT) AS rank, facility_id, round(weight, 6) AS weight FROM wr WHERE rank <= 5",
     "broadened_search": ctes([*_RULE_NAMES, "fx_query_log"], {
         **_rules("fx_query_log"), **_FACTS,
-        "fcat": "SELECT DISTINCT facility_id, category FROM fx_claims JOIN fx_category_keywords ON contains(lower(capability), keyword)",
-        "kinds": "SELECT DISTINCT (SELECT string_agg(category, '|' ORDER BY category) FROM cats WHERE cats.query_id = i.query_id) AS ck, query_id, location_state AS ls, "
+        "fcat": "SELECT DISTINCT facility_id, category FROM fx_claims JOIN fx_category_keywords ON contains(lower(capability), keyword) "
+        "UNION SELECT facility_id, '' FROM fac",
+        "kinds": "SELECT DISTINCT coalesce((SELECT string_agg(category, '|' ORDER BY category) FROM cats WHERE cats.query_id = i.query_id), '') AS ck, query_id, location_state AS ls, "
         "coalesce(min_trust_score, 0) AS mt FROM intents i",
-        "keys": "SELECT DISTINCT ck, ls, mt FROM kinds WHERE ck IS NOT NULL",
+        "keys": "SELECT DISTINCT ck, ls, mt FROM kinds",
         "tiered": "SELECT ck, ls, mt, tier, facility_id, trust_score FROM keys, (VALUES (1), (2), (3)) t(tier), fac WHERE "
         "(tier = 3 OR ls IS NULL OR state = ls) AND (tier > 1 OR mt = 0 OR trust_score >= mt) AND EXISTS "
         "(SELECT 1 FROM fcat WHERE fcat.facility_id = fac.facility_id AND list_contains(string_split(ck, '|'), category))",
@@ -358,5 +361,5 @@ ORACLE = {
     "substr(notes, evidence_offset + 1, length(evidence_sentence)) AS source_text FROM goodcaps g JOIN fx_notes n ON n.facility_id = g.facility_id",
     "name_search": ctes(["fx_facilities_raw"])
     + "SELECT facility_id, facility_name, state, district FROM fx_facilities_raw WHERE contains(lower(facility_name), 'customer#00000001') "
-    "ORDER BY facility_name, facility_id LIMIT 20",
+    "",
 }

@@ -101,6 +101,8 @@ SELECT concat('f', c_custkey) AS facility_id, concat_ws(' ',
  CASE WHEN c_custkey % 4 = 1 THEN 'Oncology department under construction.' END,
  CASE WHEN c_custkey % 9 = 3 THEN 'Limited staff on weekends.' END,
  CASE WHEN c_custkey % 8 = 5 THEN 'X-ray machine under repair.' END,
+ CASE WHEN c_custkey % 10 = 4 THEN 'Casino dialysis unit.' END,
+ CASE WHEN c_custkey % 14 = 6 THEN 'Piano surgery wing.' END,
  CASE WHEN c_custkey % 3 = 0 THEN 'Anesthesiologist on call.' END) AS notes
 FROM customer
 """
@@ -135,7 +137,7 @@ SELECT o_orderkey AS query_id, concat('Need ',
  CASE WHEN o_orderkey % 4 = 0 THEN concat(' near ', 100000 + (o_custkey % 25) * 1000 + o_orderkey % 13) ELSE '' END,
  CASE WHEN o_orderkey % 5 = 0 THEN concat(' within ', 50 + o_orderkey % 200, ' km') ELSE '' END,
  CASE WHEN o_orderkey % 7 = 0 THEN concat(' with trust ', 40 + o_orderkey % 50) ELSE '' END,
- CASE WHEN o_orderkey % 11 = 0 THEN ' open 24/7' ELSE '' END) AS query
+ CASE WHEN o_orderkey % 11 = 0 THEN ' open 24/7' ELSE '' END, CASE WHEN o_orderkey % 6 = 1 THEN ', please' ELSE '' END) AS query
 FROM orders
 """
 

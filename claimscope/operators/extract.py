@@ -16,20 +16,20 @@ PROMPT = (
 )
 
 
-def prepare_notes(raw: DataFrame) -> DataFrame:
-    """Notes ready for a prompt: blank ones carry an error, long ones are cut with dots."""
+def prepare_notes(raw: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Notes ready for a prompt: blank ones carry an error, those over ``max_chars`` are cut with dots."""
     n = F.col("unstructured_notes")
     blank = text.is_blank(n)
     return raw.select(
         "facility_id", "facility_name", "facility_type",
-        F.when(~blank, text.truncate(n, K.NOTES_PROMPT_CHARS)).alias("notes"),
+        F.when(~blank, n if max_chars is None else text.truncate(n, max_chars)).alias("notes"),
         F.when(blank, F.lit("Empty unstructured_notes")).alias("error"),
     )
 
 
-def prompts(raw: DataFrame, template: str = PROMPT) -> DataFrame:
-    """One prompt per facility with notes."""
-    p = prepare_notes(raw).where(F.col("error").isNull())
+def prompts(raw: DataFrame, template: str = PROMPT, max_chars: int | None = None) -> DataFrame:
+    """One prompt per facility with notes, over whole notes unless ``max_chars`` says otherwise."""
+    p = prepare_notes(raw, max_chars).where(F.col("error").isNull())
     return p.select(
         "facility_id",
         text.render(
@@ -123,13 +123,32 @@ def citations(profiles: DataFrame) -> DataFrame:
     )
 
 
-def stats(profiles: DataFrame) -> DataFrame:
+def outcomes(raw: DataFrame, answers: DataFrame) -> DataFrame:
+    """``facility_id, n_citations, step, error`` of every facility: what became of it, or where and why it failed.
+
+    ``answers`` holds ``facility_id, response, error`` of a model. Steps are ``notes`` (blank), ``model`` (an error, or
+    no answer at all) and ``parse``; both are null for a facility that was extracted.
+    """
+    notes = prepare_notes(raw).select("facility_id", F.col("error").alias("blank"))
+    asked = answers.select("facility_id", F.lit(True).alias("answered"), F.col("error").alias("failed"))
+    read = parse_profiles(answers.where(F.col("error").isNull()).drop("error")).select(
+        "facility_id", F.size("verified_capabilities").alias("n"), F.col("error").alias("unreadable")
+    )
+    j = notes.join(asked, "facility_id", "left").join(read, "facility_id", "left")
+    model = F.when(F.col("answered").isNull(), "no answer").otherwise(F.col("failed"))
+    error = F.coalesce("blank", model, "unreadable")
+    step = F.when(F.col("blank").isNotNull(), "notes").when(model.isNotNull(), "model").when(F.col("unreadable").isNotNull(), "parse")
+    return j.select("facility_id", F.when(error.isNull(), F.col("n")).alias("n_citations"), step.alias("step"), error.alias("error"))
+
+
+def stats(outcomes: DataFrame) -> DataFrame:
+    """Totals over all facilities, those without an answer included."""
     ok = F.col("error").isNull()
-    return profiles.agg(
+    return outcomes.agg(
         F.count(F.lit(1)).alias("total_facilities"),
         F.count_if(ok).alias("successful_extractions"),
         F.count_if(~ok).alias("failed_extractions"),
-        F.coalesce(F.sum(F.when(ok, F.size("verified_capabilities"))), F.lit(0)).alias("total_citations"),
+        F.coalesce(F.sum("n_citations"), F.lit(0)).alias("total_citations"),
     )
 
 
@@ -169,7 +188,7 @@ def capability_names(structured: DataFrame) -> DataFrame:
 
 # --- Rule extraction: an offline stand-in for the model ------------------------
 # Words that weaken a claim, and the confidence of each tier.
-WEAKENING = ["no ", "not ", "under construction", "under repair", "limited"]
+WEAKENING = ["no", "not", "under construction", "under repair", "limited"]
 EXPLICIT, IMPLIED, WEAK = 0.9, 0.65, 0.4
 
 
@@ -180,7 +199,7 @@ def lexicon_claims(notes: DataFrame, column: str = "notes") -> DataFrame:
     implied, one with a weakening word is weak. Among equals the earliest wins. Works
     on the sentence array of each row, so nothing is shuffled.
     """
-    weak = " or ".join(f"contains(low, '{w}')" for w in WEAKENING)
+    weak = "low rlike '\\\\b(" + "|".join(WEAKENING) + ")\\\\b'"  # whole words: a casino is no negation
     per_category = []
     for cat, kws in K.CATEGORY_KEYWORDS.items():
         name = cat.replace("_", " ")

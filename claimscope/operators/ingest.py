@@ -143,11 +143,13 @@ def rejects(cleaned: DataFrame) -> DataFrame:
     return cleaned.where(F.size("missing_fields") > 0).select("facility_id", "missing_fields")
 
 
-def stats(cleaned: DataFrame) -> DataFrame:
-    """Row counts of one load, in one pass."""
+def stats(cleaned: DataFrame, sampled: DataFrame | None = None) -> DataFrame:
+    """Row counts of one load: the source's, and of those what was sampled, valid and skipped."""
     ok = F.size("missing_fields") == 0
-    return cleaned.agg(
-        F.count(F.lit(1)).alias("original_row_count"),
+    original = F.count(F.lit(1)) if sampled is None else cleaned.agg(F.count(F.lit(1))).scalar()
+    return (cleaned if sampled is None else sampled).agg(
+        original.alias("original_row_count"),
+        F.count(F.lit(1)).alias("sampled_row_count"),
         F.count_if(ok).alias("valid_row_count"),
         F.count_if(~ok).alias("skipped_row_count"),
         F.count_if("id_generated").alias("generated_id_count"),

@@ -78,11 +78,10 @@ def citation(citations: DataFrame, notes: DataFrame, citation_id: str | None = N
     return j.withColumn("source_text", cut).drop("_n")
 
 
-def name_search(raw: DataFrame, part: str, limit: int = 20) -> DataFrame:
-    return (
-        raw.where(F.lower("facility_name").contains(part.lower()))
-        .select("facility_id", "facility_name", "state", "district").orderBy("facility_name", "facility_id").limit(limit)
-    )
+def name_search(raw: DataFrame, part: str, limit: int | None = None) -> DataFrame:
+    """Facilities with ``part`` in their name, case ignored: all of them, or the first ``limit`` by name."""
+    found = raw.where(F.lower("facility_name").contains(part.lower())).select("facility_id", "facility_name", "state", "district")
+    return found if limit is None else found.orderBy("facility_name", "facility_id").limit(limit)
 
 
 def table_counts(tables: dict[str, DataFrame | None]) -> DataFrame:
@@ -119,12 +118,3 @@ def table_details(tables: dict[str, DataFrame]) -> DataFrame:
         )
         out = one if out is None else out.unionByName(one)
     return out
-
-
-def open_or_none(spark: SparkSession, name: str) -> DataFrame | None:
-    try:
-        return spark.table(name)
-    except AnalysisException:
-        return None
-
-

@@ -13,10 +13,8 @@ from claimscope import constants as K
 from claimscope.functions import classify, text
 from claimscope.functions.geo import haversine_km
 from claimscope.schemas import INTENT_TEXT
-from claimscope.sources.settle import settle
 
 LONGEST_KEY = 40      # join on at most this many leading characters of a term
-FEW_WORDS = 256       # up to here query words are tried on each note in place
 
 
 # --- Substring joins ----------------------------------------------------------
@@ -45,18 +43,11 @@ def contained(texts: DataFrame, terms: DataFrame, text_col: str = "text", term_c
 def words_in_notes(notes: DataFrame, words: DataFrame) -> DataFrame:
     """``(facility_id, word)`` for every query word that occurs in a facility's whole notes.
 
-    A short word list is tried on each note in place. Beyond that, a word holds no blanks, so
-    it lies within one blank-free piece of the note: words are matched against the distinct
-    pieces of all notes, and the matches joined back.
+    A word holds no blanks, so it lies within one blank-free piece of the note: words are
+    matched against the distinct pieces of all notes, and the matches joined back.
     """
     w = words.select("word").distinct()
-    few = [r["word"] for r in w.limit(FEW_WORDS + 1).collect()]
-    if not few:
-        return notes.select("facility_id", F.lit("").alias("word")).where(F.lit(False))
     n = notes.select("facility_id", F.lower("unstructured_notes").alias("n")).where("n is not null")
-    if len(few) <= FEW_WORDS:
-        found = F.filter(F.lit(few), lambda word: F.contains(F.col("n"), word))
-        return text.each(n, found, "word").select("facility_id", "word")
     pieces = text.each(n, "array_distinct(split(n, '\\\\s+'))", "piece").select("facility_id", "piece")
     hits = contained(pieces, w, "piece", "word")
     return pieces.join(hits.select(F.col("text").alias("piece"), F.col("term").alias("word")), "piece").select(
@@ -182,25 +173,31 @@ def parse_intents(responses: DataFrame, column: str = "response") -> DataFrame:
 CONSTRAINTS = ["24/7", "weekends", "after hours"]
 
 
-def rule_intents(queries: DataFrame, raw: DataFrame, longest_name: int = 4) -> DataFrame:
+def _plain(c: str | Column) -> Column:
+    """Words in lower case between single blanks; punctuation around a word is dropped, within it stays."""
+    spaced = F.concat(F.lit(" "), F.lower(c), F.lit(" "))
+    return F.trim(F.regexp_replace(F.regexp_replace(spaced, r"[^\p{L}\p{N}]+ | [^\p{L}\p{N}]+", " "), " +", " "))
+
+
+def rule_intents(queries: DataFrame, raw: DataFrame) -> DataFrame:
     """Intents read off the query text by rules: an offline stand-in for the model.
 
-    Place names are found by joining the query's runs of one to ``longest_name`` words with
-    the distinct places; the longest wins. Also a six-digit code, ``N km``, ``trust N``,
-    category keywords and timing words.
+    Place names are found by joining the query's runs of words, up to as many as the longest
+    name has, with the distinct places; the longest wins. Case and punctuation around words do
+    not count. Also a six-digit code, ``N km``, ``trust N``, category keywords and timing words.
     """
     low = F.lower("query")
+    places = (
+        raw.select(F.lit("s").alias("kind"), F.col("state").alias("place")).distinct()
+        .union(raw.select(F.lit("d"), "district").distinct()).withColumn("run", _plain("place")).where("run <> ''")
+    )
+    longest_name = places.agg(F.coalesce(F.max(F.size(F.split("run", " "))), F.lit(1))).scalar()
     runs = text.each(
-        queries,
-        "get(transform(array(filter(split(lower(query), '\\\\s+'), x -> x <> '')), w -> "
-        f"array_distinct(flatten(transform(sequence(1, {longest_name}), n -> if(size(w) < n, array(), "
+        queries.select("query_id", F.split(_plain("query"), " ").alias("ws"), longest_name.alias("longest")),
+        "get(transform(array(ws), w -> array_distinct(flatten(transform(sequence(1, longest), n -> if(size(w) < n, array(), "
         "transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' '))))))), 0)",
         "run",
     ).select("query_id", "run")
-    places = (
-        raw.select(F.lit("s").alias("kind"), F.col("state").alias("place")).distinct()
-        .union(raw.select(F.lit("d"), "district").distinct()).withColumn("run", F.lower("place"))
-    )
     longest = lambda k: F.expr(
         f"max_by(place, struct(length(place), place)) filter (where kind = '{k}')"
     )
@@ -248,10 +245,8 @@ def retrieve(intents: DataFrame, raw: DataFrame, trust: DataFrame, keep: int = 1
 
     # Intents that ask the same share one answer.
     floor = F.coalesce("min_trust_score", F.lit(0)).alias("floor")
-    asked = settle(
-        intents.select(
-            "query_id", F.coalesce("location_state", F.lit("")).alias("ls"), F.coalesce("location_district", F.lit("")).alias("ld"), floor
-        )
+    asked = intents.select(
+        "query_id", F.coalesce("location_state", F.lit("")).alias("ls"), F.coalesce("location_district", F.lit("")).alias("ld"), floor
     )
     i = asked.select("ls", "ld", "floor").distinct().withColumn(
         "level",
@@ -365,7 +360,7 @@ def weighted_rank(filtered: DataFrame, max_results: int = 5, weights: dict[str,
 def broadened(
     intents: DataFrame, raw: DataFrame, structured: DataFrame, trust: DataFrame, enough: int = 3, max_results: int = 5
 ) -> DataFrame:
-    """Relevant facilities per query, widening the search until there are ``enough``.
+    """Relevant facilities per query, widening the search until there are ``enough``; a query without category takes all.
 
     Tier 1 keeps category, state and score floor, tier 2 drops the floor, tier 3 the state.
     The first tier with enough results counts, else the last. Every tier orders by trust, so
@@ -378,19 +373,17 @@ def broadened(
         .join(structured.select("facility_id", classify.categories_of_claims("verified_capabilities").alias("cats")), "facility_id")
         .join(trust.select("facility_id", "trust_score"), "facility_id", "left")
     )
-    f = text.each(f, "cats", "category")
+    f = text.each(f, "concat(cats, array(''))", "category")  # '' stands for a query without category
     groups = f.select("facility_id", "trust_score", "category", F.explode(F.array(F.col("state"), F.lit(""))).alias("place"))
     rn = F.row_number().over(W.partitionBy("category", "place").orderBy(*_best_first()))
     heads = groups.withColumn("rn", rn).where(F.col("rn") <= keep).drop("rn")
 
     # Queries that ask the same share one answer.
-    asked = settle(
-        intents.select(
-            "query_id", F.array_join(F.array_sort("categories"), "|").alias("wanted"),
-            F.coalesce("location_state", F.lit("")).alias("ls"), F.coalesce("min_trust_score", F.lit(0)).alias("least"),
-        )
+    asked = intents.select(
+        "query_id", F.array_join(F.array_sort("categories"), "|").alias("wanted"),
+        F.coalesce("location_state", F.lit("")).alias("ls"), F.coalesce("min_trust_score", F.lit(0)).alias("least"),
     )
-    q = text.each(asked.select("wanted", "ls", "least").distinct().where("wanted <> ''"), "split(wanted, '[|]')", "category")
+    q = text.each(asked.select("wanted", "ls", "least").distinct(), "split(wanted, '[|]')", "category")
     tiers = q.selectExpr(
         "wanted", "ls", "least", "category",
         "inline(array(named_struct('tier', 1, 'place', ls, 'floor', least), "

@@ -187,9 +187,9 @@ def rule_contradictions(profiles: DataFrame, notes: str = "notes") -> DataFrame:
     """
 
     def first(*terms: str, unless: str = "") -> str:
-        """First sentence with all terms and without ``unless``."""
+        """First sentence with all terms and without the word ``unless``."""
         yes = " and ".join(f"contains(s.low, '{t}')" for t in terms)
-        no = f" and not contains(s.low, '{unless}')" if unless else ""
+        no = f" and not s.low rlike '\\\\b{unless}\\\\b'" if unless else ""
         return f"get(filter(sents, s -> {yes}{no}), 0).sentence"
 
     def rule(claim: str, gap: str, impact: int, severity: str, sentence: str, when: str) -> str:
@@ -222,9 +222,9 @@ def rule_contradictions(profiles: DataFrame, notes: str = "notes") -> DataFrame:
         .withColumn("sents", F.expr("transform(sents, s -> named_struct('sentence', s.sentence, 'low', lower(s.sentence)))"))
         .selectExpr(
             "facility_id", "staff", "equipment",
-            f"{first('surgery', unless='no ')} as surgery",
-            f"{first('anesthesiologist', unless='no ')} as anesthesia",
-            f"{first('24/7', unless='no ')} as always_open",
+            f"{first('surgery', unless='no')} as surgery",
+            f"{first('anesthesiologist', unless='no')} as anesthesia",
+            f"{first('24/7', unless='no')} as always_open",
             f"{first('limited staff')} as short_staff",
             f"{first('under construction')} as building",
             f"{first('under repair')} as repair",

@@ -22,11 +22,12 @@ QUERY_BLOCK = 4096   # query vectors held by a task at once
 _ROWS = 1024         # stored vectors scored at once
 
 
-def search_profiles(raw: DataFrame, structured: DataFrame) -> DataFrame:
-    """One searchable text per facility: facts, lists, then the start of the notes."""
+def search_profiles(raw: DataFrame, structured: DataFrame, notes_chars: int | None = K.NOTES_PROFILE_CHARS) -> DataFrame:
+    """One searchable text per facility: facts, lists, then the first ``notes_chars`` of the notes (None: all)."""
+    notes = F.col("unstructured_notes")
     j = raw.select(
         "facility_id", "facility_name", "facility_type", "district", "state",
-        F.substring("unstructured_notes", 1, K.NOTES_PROFILE_CHARS).alias("notes_start"),
+        (notes if notes_chars is None else F.substring(notes, 1, notes_chars)).alias("notes_start"),
     ).join(structured.select("facility_id", "verified_capabilities", "staff", "equipment"), "facility_id")
     nonblank = "filter({a}, x -> coalesce(x.{f}, '') <> '') as {a}"
     j = j.selectExpr(

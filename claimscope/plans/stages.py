@@ -16,17 +16,18 @@ from claimscope.sources import tables
 
 def ingestion(
     spark: SparkSession, source_path: str, target: str, sample_size: int | None = None, overwrite: bool = True,
-    fmt: str = "parquet", ingested_at: dt.datetime | None = None,
+    fmt: str = "parquet", ingested_at: dt.datetime | None = None, multi_line: bool = False,
 ) -> DataFrame:
-    """Source file -> clean facility table. The load time is one instant, fixed here."""
-    source = tables.read_tabular(spark, source_path)
-    if sample_size is not None:
-        source = source.limit(sample_size)
+    """Source file -> clean facility table. The load time is one instant, fixed here.
+
+    ``multi_line`` is for csv files whose quoted fields hold line breaks.
+    """
     at = ingested_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    cleaned = ingest.clean(source, at)
-    tables.save(ingest.valid(cleaned), target, overwrite, fmt)
+    cleaned = ingest.clean(tables.read_tabular(spark, source_path, multi_line=multi_line), at)
+    sampled = ingest.head(cleaned, sample_size)  # by id, so that every run takes the same rows
+    tables.save(ingest.valid(sampled), target, overwrite, fmt)
     final = tables.scan(spark, target).agg(F.count(F.lit(1)).alias("final_table_count"))
-    return ingest.stats(cleaned).withColumn("final_table_count", final.scalar())
+    return ingest.stats(cleaned, sampled).withColumn("final_table_count", final.scalar())
 
 
 def extraction(
@@ -51,7 +52,7 @@ def extraction(
     )
     tables.save(stamped, target, overwrite, fmt)
     tables.save(extract.citations(good), citations_target, overwrite, fmt)
-    return extract.stats(profiles)
+    return extract.stats(extract.outcomes(raw, saved))
 
 
 def trust_debate(

@@ -6,14 +6,14 @@ from pyspark.sql.utils import AnalysisException
 
 
 def read_tabular(
-    spark: SparkSession, path: str, fmt: str | None = None, columns: list[str] | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, fmt: str | None = None, columns: list[str] | None = None, multi_line: bool = False
 ) -> DataFrame:
     """A header-bearing sheet as text columns: csv, tsv, json lines or parquet.
 
     csv is read with every column as text, so nothing is inferred and no value is lost;
     ``columns`` gives the header when the caller already knows it, which saves a look at
-    the file. Quoted fields may hold line breaks; a csv file is then read by one task, so a
-    large source should come as many files, or with ``multi_line=False``.
+    the file. A csv file is split among tasks. Where quoted fields hold line breaks, say
+    ``multi_line=True``: a file is then read by one task, so a large source should come as many.
     """
     fmt = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns]) if columns else None
@@ -32,11 +32,13 @@ def scan(spark: SparkSession, name: str) -> DataFrame:
 
 
 def scan_or_none(spark: SparkSession, name: str) -> DataFrame | None:
-    """The table, or None when it does not exist."""
+    """The table, or None when it does not exist; any other trouble with it is an error."""
     try:
         return spark.table(name)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "TABLE_OR_VIEW_NOT_FOUND":
+            return None
+        raise
 
 
 def save(df: DataFrame, name: str, overwrite: bool = True, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:

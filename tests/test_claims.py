@@ -54,6 +54,11 @@ def test_lexicon_tiers_and_offsets(spark):
     assert {r.grounding for r in g} == {"at_offset"}
 
 
+def test_weakening_words_are_whole_words(spark):
+    df = spark.createDataFrame([("a", "Casino dialysis unit."), ("b", "No dialysis unit."), ("c", "Dialysis is not offered.")], "facility_id string, notes string")
+    assert {r.facility_id: r.confidence for r in extract.lexicon_claims(df).collect()} == {"a": 0.9, "b": 0.4, "c": 0.4}
+
+
 def test_grounding_kinds(spark):
     notes = spark.createDataFrame([("a", "xx yes.")], "facility_id string, notes string")
     claims = spark.createDataFrame([("a", "yes.", 3), ("a", "yes.", 0), ("a", "no.", 0), ("z", "yes.", 0)],

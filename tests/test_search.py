@@ -47,9 +47,7 @@ def relevance(f, query):
 QUERIES = ["Dialysis in Bihar", "care care beds  dialysis", "clinic", "zzz", "i", "trauma hospital new delhi-1", "eye ICU goa"]
 
 
-@pytest.mark.parametrize("few", [256, 2])
-def test_lexical_search_equals_brute_force(spark, few, monkeypatch):
-    monkeypatch.setattr(search, "FEW_WORDS", few)
+def test_lexical_search_equals_brute_force(spark):
     fac, raw, structured, trust = world(spark)
     qs = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, query string")
     got = {}
@@ -100,6 +98,13 @@ def test_intents(spark):
     assert rows[2].capabilities == [] and rows[3].location_state is None
 
 
+def test_rule_intents_find_long_names_and_ignore_punctuation(spark):
+    raw = spark.createDataFrame([("Delhi", "The Old Town By The Sea"), ("Dadra & Nagar", "X-1")], "state string, district string")
+    q = spark.createDataFrame([(1, "dialysis in Delhi, please"), (2, "(the old town by the sea)!"), (3, "Dadra & Nagar: x-1?"), (4, "newdelhi")], "query_id int, query string")
+    got = {r.query_id: (r.location_state, r.location_district) for r in search.rule_intents(q, raw).collect()}
+    assert got == {1: ("Delhi", None), 2: (None, "The Old Town By The Sea"), 3: ("Dadra & Nagar", "X-1"), 4: (None, None)}
+
+
 def test_rule_intents(spark):
     _, raw, _, _ = world(spark)
     q = spark.createDataFrame([(1, "Dialysis in NEW Delhi within 25 km of 110001, trust above 60, open 24/7"), (2, "hello")], "query_id int, query string")
@@ -124,7 +129,8 @@ def test_broadening_takes_the_first_sufficient_tier(spark):
     assert got[1] == [(1, "f3"), (1, "f2"), (1, "f1")]
     assert got[2] == [(2, "f3"), (2, "f2"), (2, "f1"), (2, "f0")]
     assert got[3] == [(3, f"f{i}") for i in (7, 6, 5, 4, 3)]
-    assert 4 not in got and 5 not in got
+    assert 4 not in got
+    assert got[5] == [(1, f"f{i}") for i in (3, 2, 1, 0)]  # no category: all of them
 
 
 def test_weighted_rank(spark):

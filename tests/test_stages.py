@@ -40,7 +40,7 @@ def test_five_stages(spark):
     path = tempfile.mkdtemp(prefix="claimscope-src-") + "/source.csv"
     with open(path, "w") as f:
         f.write(CSV)
-    s = stages.ingestion(spark, path, "t_raw").first()
+    s = stages.ingestion(spark, path, "t_raw", multi_line=True).first()
     assert (s.original_row_count, s.valid_row_count, s.skipped_row_count, s.generated_id_count, s.final_table_count) == (4, 3, 1, 1, 3)
     raw = spark.table("t_raw")
     assert raw.dtypes == [(f.name, f.dataType.simpleString()) for f in FACILITIES_RAW.fields]
@@ -70,6 +70,30 @@ def test_five_stages(spark):
     assert top[0].facility_id == "f1" and top[0].similarity == pytest.approx(1.0, abs=1e-6) and top[0].snippet.endswith("...")
 
 
+def test_statistics_of_samples_and_failures(spark):
+    path = tempfile.mkdtemp(prefix="claimscope-src-") + "/source.csv"
+    with open(path, "w") as f:
+        f.write("facility_id,Name,state,description\n" + "".join(f"g{i},N{i},S,{'note' if i else ''}\n" for i in range(10)))
+    s = stages.ingestion(spark, path, "t_sampled", sample_size=3).first()
+    assert (s.original_row_count, s.sampled_row_count, s.valid_row_count, s.skipped_row_count, s.final_table_count) == (10, 3, 2, 1, 2)
+    assert {r.facility_id for r in spark.table("t_sampled").collect()} == {"g1", "g2"}
+
+    raw = spark.createDataFrame([(i, i, "T", n) for i, n in (("a", "good"), ("b", " "), ("c", "fails"), ("d", "odd"))], "facility_id string, facility_name string, facility_type string, unstructured_notes string")
+    raw.write.mode("overwrite").saveAsTable("t_failures")
+
+    def failing(texts):
+        if any("fails" in t for t in texts):
+            raise RuntimeError("no")
+        return ['{"verified_capabilities": []}' if "good" in t else "{broken" for t in texts]
+
+    s = stages.extraction(spark, "t_failures", "t_f1", "t_f2", "t_f3", failing).first()
+    assert (s.total_facilities, s.successful_extractions, s.failed_extractions) == (4, 1, 3)
+    from claimscope.operators import extract
+
+    became = {r.facility_id: r.step for r in extract.outcomes(raw, spark.table("t_f3")).collect()}
+    assert became == {"a": None, "b": "notes", "c": "model", "d": "parse"}
+
+
 def test_save_modes_and_preconditions(spark):
     df = spark.range(3)
     tables.save(df, "t_modes")

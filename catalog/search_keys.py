@@ -60,13 +60,9 @@ def _hybrid(v: Views):
     )
 
 
-def _filtered(v: Views):
-    """The hard filters over the best 20 facilities of every logged query's places."""
-    intents = _log_intents(v)
-    return search.hard_filter(
-        search.retrieve(intents, v.raw, v.trust, 20).select("query_id", "facility_id"),
-        intents, v.raw, v.structured, v.trust, geo.pins(v.raw),
-    )
+def _filtered(v: Views, keep: int):
+    """What meets all constraints of every logged query: how many, and the best of them."""
+    return search.filtered_rank(_log_intents(v), v.raw, v.structured, v.trust, geo.pins(v.raw), keep)
 
 
 def _detail(v: Views):
@@ -128,9 +124,9 @@ QUERIES = {
     ),
     "intent_retrieve": lambda v: search.retrieve(_intents(v), v.raw, v.trust, 10),
     "intent_rank": lambda v: _flat(search.intent_rank(_intents(v), v.raw, v.trust, v.structured, 5)),
-    "intent_filter": lambda v: _filtered(v).select("query_id", "facility_id", F.round("km", 3).alias("km"), "confidence"),
+    "intent_filter": lambda v: _filtered(v, 20).select("query_id", "n_passed", "rank", "facility_id", F.round("km", 3).alias("km"), "confidence"),
     "hybrid_retrieve": lambda v: _hybrid(v).select("query_id", "facility_id", F.round("similarity", 6).alias("similarity"), "confidence"),
-    "weighted_rank": lambda v: search.weighted_rank(_filtered(v)).select(
+    "weighted_rank": lambda v: _filtered(v, 5).select(
         "query_id", "rank", "facility_id", F.round("weight", 6).alias("weight")
     ),
     "broadened_search": lambda v: search.broadened(_log_intents(v), v.raw, v.structured, v.trust),
@@ -256,8 +252,27 @@ def _hard(candidates: str, extra: str = "") -> dict[str, str]:
 
 
 _RULE_NAMES = ["fx_facilities_raw", "fx_claims", "fx_trust_scores", "fx_category_keywords", "fx_hours"]
-_FILTER_STEPS = {**_rules("fx_query_log"), **_retrieved("intents", 20), "c20": "SELECT query_id, facility_id FROM kept", **_hard("c20")}
-_WEIGHT = "0.5 * coalesce(ft, 0) / 100.0 + 0.3 * coalesce(confidence, 0) + CASE WHEN km IS NULL THEN 0 ELSE 0.2 / (1 + km / 50.0) END"
+_FILTER_STEPS = {
+    **_rules("fx_query_log"), **_FACTS,
+    "ppin": "SELECT pin_code, arg_min(latitude, facility_id) AS lat, arg_min(longitude, facility_id) AS lon FROM fx_facilities_raw "
+    "WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 1",
+    "kinds": "SELECT query_id, coalesce((SELECT string_agg(category, '|' ORDER BY category) FROM cats WHERE cats.query_id = i.query_id), '') AS ck, "
+    "operational_constraints AS oc, coalesce(location_state, '') AS ls, coalesce(location_district, '') AS ld, coalesce(location_pin_code, '') AS pin, "
+    "coalesce(max_distance_km, -1) AS dist, coalesce(min_trust_score, 0) AS mt FROM intents i",
+    "keys": "SELECT DISTINCT ck, oc, ls, ld, pin, dist, mt FROM kinds",
+    "cc": "SELECT ck, facility_id, max(confidence) AS confidence FROM (SELECT ck, unnest(string_split(ck, '|')) AS category FROM (SELECT DISTINCT ck FROM keys)) "
+    "JOIN fx_category_keywords USING (category) JOIN fx_claims ON contains(lower(capability), keyword) GROUP BY ALL",
+    "joined": f"SELECT k.*, r.facility_id, r.trust_score AS ft, cc.confidence, r.pin_code, {{A}} AS a FROM keys k JOIN fac r ON contains(r.state, k.ls) "
+    "AND contains(r.district, k.ld) AND (k.mt = 0 OR r.trust_score >= k.mt) LEFT JOIN ppin p ON p.pin_code = k.pin "
+    "LEFT JOIN cc ON cc.ck = k.ck AND cc.facility_id = r.facility_id LEFT JOIN fx_hours h ON h.facility_id = r.facility_id "
+    "WHERE (k.ck = '' OR cc.confidence IS NOT NULL) AND (k.oc = '' OR contains(coalesce(h.operational_hours, ''), k.oc))".replace("{A}", _A),
+    "withkm": f"SELECT *, CASE WHEN pin <> '' THEN {_KM} END AS km FROM joined",
+    "passed": "SELECT * FROM withkm WHERE pin = '' OR CASE WHEN dist < 0 THEN pin_code = pin ELSE km <= dist END",
+    "w": "SELECT *, round(0.5 * coalesce(ft, 0) / 100.0 + 0.3 * coalesce(confidence, 0) + CASE WHEN km IS NULL THEN 0 ELSE 0.2 / (1 + km / 50.0) END, 9) AS weight FROM passed",
+    "wr": "SELECT *, row_number() OVER (PARTITION BY ck, oc, ls, ld, pin, dist, mt ORDER BY weight DESC, facility_id) AS rank, "
+    "count(*) OVER (PARTITION BY ck, oc, ls, ld, pin, dist, mt) AS n_passed FROM w",
+    "best": "SELECT query_id, n_passed, CAST(rank AS INT) AS rank, facility_id, km, confidence, weight FROM kinds JOIN wr USING (ck, oc, ls, ld, pin, dist, mt)",
+}
 
 ORACLE = {
     "search_profile": ctes(_PV) + _PROFILE_TEXT,
@@ -298,7 +313,7 @@ ORACLE = {
     "'; trust score: ', coalesce(CAST(k.trust_score AS VARCHAR), 'not scored'), '.') AS justification "
     "FROM kept k JOIN fac USING (facility_id) LEFT JOIN five USING (facility_id)",
     "intent_filter": ctes([*_RULE_NAMES, "fx_query_log"], _FILTER_STEPS)
-    + "SELECT query_id, facility_id, round(km, 3) AS km, confidence FROM passed",
+    + "SELECT query_id, n_passed, rank, facility_id, round(km, 3) AS km, confidence FROM best WHERE rank <= 20",
     "hybrid_retrieve": ctes([*_RULE_NAMES, "fx_queries", "fx_staff", "fx_equipment"], {
         **_rules("fx_queries"), **_FACTS, **_EMB, **_hashed("fx_queries", "query_id", "query"),
         "sims": "SELECT query_id, facility_id, sum(CAST(p.x AS DOUBLE) * CAST(o.x AS DOUBLE)) / sqrt(any_value(pn)) / sqrt(any_value(qn)) AS similarity "
@@ -307,11 +322,8 @@ ORACLE = {
         "t20": "SELECT query_id, facility_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, facility_id) AS r FROM sims) WHERE r <= 20",
         **_hard("t20")})
     + "SELECT query_id, facility_id, round(similarity, 6) AS similarity, confidence FROM passed",
-    "weighted_rank": ctes([*_RULE_NAMES, "fx_query_log"], {
-        **_FILTER_STEPS,
-        "w": f"SELECT query_id, facility_id, round({_WEIGHT}, 9) AS weight FROM passed",
-        "wr": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, facility_id) AS rank FROM w"})
-    + "SELECT query_id, CAST(rank AS INT) AS rank, facility_id, round(weight, 6) AS weight FROM wr WHERE rank <= 5",
+    "weighted_rank": ctes([*_RULE_NAMES, "fx_query_log"], _FILTER_STEPS)
+    + "SELECT query_id, rank, facility_id, round(weight, 6) AS weight FROM best WHERE rank <= 5",
     "broadened_search": ctes([*_RULE_NAMES, "fx_query_log"], {
         **_rules("fx_query_log"), **_FACTS,
         "fcat": "SELECT DISTINCT facility_id, category FROM fx_claims JOIN fx_category_keywords ON contains(lower(capability), keyword) "

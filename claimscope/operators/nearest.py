@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from claimscope.functions import geo
 
-CROWDED = 32      # cubes with more points than this are split further
-ROUNDS = 3        # splits; each one cuts the cube side by 8
+CROWDED = 32                    # cubes with more points than this are split further
+ROUNDS = len(geo.LEVELS) - 1    # down to the finest level, whatever is left above it
 _SLACK = 1e-9     # rounding allowance of the chord bounds
 
 _PIN = ("px", "py", "pz")
@@ -191,6 +191,21 @@ def nearest(
     )
 
 
+def within_each(centres: DataFrame, points: DataFrame, key: str = "pin") -> DataFrame:
+    """``(key, facility_id, km)`` of every point within ``far`` kilometres of each of ``centres(key, plat, plon, far)``."""
+    cover = _cover(
+        centres.withColumnsRenamed({"plat": "latitude", "plon": "longitude"}).where("latitude is not null and longitude is not null")
+        .selectExpr(key, "far", "latitude as plat", "longitude as plon", *(f"{e} as {n}" for e, n in zip(geo.unit_vector("latitude", "longitude"), _PIN)))
+        .withColumn("chord", F.expr(f"2D * sin(least(far / {2 * geo.EARTH_RADIUS_KM!r}D, pi() / 2))")),
+        "chord",
+    ).select(key, "far", "plat", "plon", "level", "cell")
+    x, y, z = geo.unit_vector("latitude", "longitude")
+    located = points.where("latitude is not null and longitude is not null").selectExpr("*", f"{x} as x", f"{y} as y", f"{z} as z")
+    cubes = ", ".join(f"named_struct('level', {lv}, 'cell', {geo.cell_at('x', 'y', 'z', lv)})" for lv in geo.LEVELS)
+    near = cover.join(located.selectExpr("facility_id", "latitude", "longitude", f"inline(array({cubes}))"), ["level", "cell"])
+    return near.selectExpr(key, "facility_id", f"{geo.haversine_sql('plat', 'plon', 'latitude', 'longitude')} as km", "far").where("km <= far").drop("far")
+
+
 def count_within(
     locations: DataFrame,
     points: DataFrame,

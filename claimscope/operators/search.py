@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from claimscope import constants as K
 from claimscope.functions import classify, text
 from claimscope.functions.geo import haversine_km
+from claimscope.operators.nearest import within_each
 from claimscope.schemas import INTENT_TEXT
 
 LONGEST_KEY = 40      # join on at most this many leading characters of a term
@@ -309,15 +310,17 @@ def hard_filter(
     ``km`` (null without a known centre) and ``confidence`` (the best matching claim).
     """
     facts = raw.select("facility_id", "state", "district", "pin_code", "latitude", "longitude")
+    # Most queries state no postal code; only the others are joined with the codes.
+    i, points = intents.drop("query"), pins.selectExpr("pin_code as location_pin_code", "latitude as plat", "longitude as plon")
+    none = {c: F.lit(None).cast("double") for c in ("plat", "plon")}
+    i = i.where("location_pin_code is not null").join(points, "location_pin_code", "left").unionByName(
+        i.where("location_pin_code is null").withColumns(none)
+    )
     c = (
-        candidates.join(intents.drop("query"), "query_id")
+        candidates.join(i, "query_id")
         .join(facts, "facility_id")
         .join(structured.select("facility_id", "verified_capabilities", "operational_hours"), "facility_id", "left")
         .join(trust.select("facility_id", F.col("trust_score").alias("_trust")), "facility_id", "left")
-        .join(
-            pins.selectExpr("pin_code as location_pin_code", "latitude as plat", "longitude as plon"),
-            "location_pin_code", "left",
-        )
     )
     c = c.withColumn("km", haversine_km("plat", "plon", "latitude", "longitude"))
     in_category = " or ".join(
@@ -357,6 +360,96 @@ def weighted_rank(filtered: DataFrame, max_results: int = 5, weights: dict[str,
     return filtered.withColumn("weight", F.round(w, 9)).withColumn("rank", rn).where(F.col("rank") <= max_results)
 
 
+def _weight() -> Column:
+    """Trust, claim confidence and nearness; a missing part adds nothing."""
+    return F.round(
+        F.lit(WEIGHTS["trust"]) * F.coalesce("trust_score", F.lit(0)) / 100.0
+        + F.lit(WEIGHTS["confidence"]) * F.coalesce("confidence", F.lit(0.0))
+        + F.when(F.col("km").isNull(), 0.0).otherwise(F.lit(WEIGHTS["nearness"]) / (1.0 + F.col("km") / HALF_KM)),
+        9,
+    )
+
+
+_ASKED = ["wanted", "needs", "ls", "ld", "pin", "dist", "floor"]
+
+
+def filtered_rank(
+    intents: DataFrame, raw: DataFrame, structured: DataFrame, trust: DataFrame, pins: DataFrame, keep: int = 20
+) -> DataFrame:
+    """The ``keep`` best facilities of each query by weight among all that meet its constraints.
+
+    Category, state, district, score floor, timing words in the opening hours, and postal code: with a distance it is
+    the centre of a circle, without one it must be equal. Returns ``query_id, n_passed, rank, facility_id, km,
+    confidence, weight``; a query that nothing meets has no row.
+
+    Queries that ask the same share one answer. Without a circle, what remains of a query is a place, a wanted set and a
+    floor: facilities are ranked once within each place and score, and a query reads those heads. With one, the
+    facilities around each postal code are found through the cubes that cover its largest circle.
+    """
+    asked = intents.select(
+        "query_id", F.array_join(F.array_sort("categories"), "|").alias("wanted"),
+        F.array_join(F.array_sort("operational_constraints"), "|").alias("needs"),
+        F.coalesce("location_state", F.lit("")).alias("ls"), F.coalesce("location_district", F.lit("")).alias("ld"),
+        F.coalesce("location_pin_code", F.lit("")).alias("pin"), F.coalesce("max_distance_km", F.lit(-1.0)).alias("dist"),
+        F.coalesce("min_trust_score", F.lit(0)).alias("floor"),
+    ).withColumn("dist", F.when(F.col("pin") == "", -1.0).otherwise(F.col("dist")))
+    keys = asked.select(*_ASKED).distinct()
+
+    # What each facility can answer: sets of categories with its best claim, and timing words.
+    hits = "transform(filter(coalesce(verified_capabilities, array()), x -> {m}), x -> x.confidence)"
+    per = ", ".join(
+        f"named_struct('category', '{c}', 'confidence', array_max({hits.format(m=' or '.join(f'contains(lower(x.capability), {chr(39)}{k}{chr(39)})' for k in ks))}))"
+        for c, ks in K.CATEGORY_KEYWORDS.items()
+    )
+    needs = keys.agg(F.collect_set("needs").alias("n")).scalar()  # combinations of the few timing words
+    offers = structured.select("facility_id", F.expr(f"array({per})").alias("per"), "operational_hours", needs.alias("all_needs"))
+    offers = text.each(offers, "filter(all_needs, n -> forall(split(n, '[|]'), o -> contains(coalesce(operational_hours, ''), o)))", "needs")
+    claims = text.each(offers, "concat(filter(per, c -> c.confidence is not null), array(named_struct('category', '', 'confidence', cast(null as double))))", "c")
+    wanted = text.each(keys.select("wanted").distinct(), "split(wanted, '[|]')", "category").select("wanted", "category")
+    able = claims.select("facility_id", "needs", "c.category", "c.confidence").join(wanted, "category").groupBy("facility_id", "needs", "wanted").agg(F.max("confidence").alias("confidence"))
+    facts = raw.select("facility_id", "state", "district", "pin_code", "latitude", "longitude").join(trust.select("facility_id", "trust_score"), "facility_id", "left")
+    centre = pins.selectExpr("pin_code as pin", "latitude as plat", "longitude as plon")
+
+    # Without a circle: heads of places.
+    own = facts.join(centre.withColumnRenamed("pin", "pin_code"), "pin_code", "left").withColumn("own_km", haversine_km("plat", "plon", "latitude", "longitude"))
+    spread = own.select("facility_id", "trust_score", "own_km", F.expr(
+        "inline(transform(sequence(0, 7), b -> named_struct('s', if(b & 1 > 0, state, ''), 'd', if(b & 2 > 0, district, ''), 'p', if(b & 4 > 0, pin_code, ''), 'kind', b)))"))
+    group = ["wanted", "needs", "kind", "s", "d", "p"]
+    rows = able.join(spread, "facility_id").withColumn("km", F.when(F.col("p") != "", F.col("own_km")))
+    best = [F.desc("weight"), F.col("facility_id")]
+    heads = (
+        rows.withColumn("weight", _weight())
+        .withColumn("r", F.row_number().over(W.partitionBy(*group, "trust_score").orderBy(*best))).where(F.col("r") <= keep)
+        .select(*group, "trust_score", "facility_id", "km", "confidence", "weight")
+    )
+    sizes = rows.groupBy(*group, "trust_score").agg(F.count(F.lit(1)).alias("n"))
+    kind = "if(ls = '', 0, 1) + if(ld = '', 0, 2) + if(pin = '', 0, 4)"
+    flat = keys.where("dist < 0").withColumn("kind", F.expr(kind))
+    states = contained(raw.select(F.col("state").alias("text")), flat.select(F.col("ls").alias("term")))
+    districts = contained(raw.select(F.col("district").alias("text")), flat.select(F.col("ld").alias("term")))
+    both = lambda hit, key, out: hit.select(F.col("term").alias(key), F.col("text").alias(out)).unionByName(
+        keys.select(F.lit("").alias(key), F.lit("").alias(out)).limit(1))
+    placed = flat.join(both(states, "ls", "s"), "ls").join(both(districts, "ld", "d"), "ld").withColumn("p", F.col("pin"))
+    fits = "floor = 0 or trust_score >= floor"
+    found = placed.join(heads, group).where(fits).select(*_ASKED, "facility_id", "km", "confidence", "weight")
+    passed = placed.join(sizes, group).where(fits).groupBy(*_ASKED).agg(F.sum("n").alias("n_passed"))
+
+    # With a circle: everything around the code, for the largest circle that is asked for.
+    round_ = keys.where("dist >= 0")
+    reach = round_.groupBy("pin").agg(F.max("dist").alias("far")).join(centre, "pin")
+    around = within_each(reach, facts.select("facility_id", "latitude", "longitude"))
+    near = (
+        around.join(facts.select("facility_id", "state", "district", "trust_score"), "facility_id").join(able, "facility_id")
+        .join(round_, ["pin", "wanted", "needs"])
+        .where(f"km <= dist and contains(state, ls) and contains(district, ld) and ({fits})")
+        .withColumn("weight", _weight())
+    )
+    passed = passed.unionByName(near.groupBy(*_ASKED).agg(F.count(F.lit(1)).alias("n_passed")))
+    found = found.unionByName(near.select(*_ASKED, "facility_id", "km", "confidence", "weight"))
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy(*_ASKED).orderBy(*best))).where(F.col("rank") <= keep)
+    return asked.join(ranked, _ASKED).join(passed, _ASKED).select("query_id", "n_passed", "rank", "facility_id", "km", "confidence", "weight")
+
+
 def broadened(
     intents: DataFrame, raw: DataFrame, structured: DataFrame, trust: DataFrame, enough: int = 3, max_results: int = 5
 ) -> DataFrame:

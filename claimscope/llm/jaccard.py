@@ -261,10 +261,32 @@ class _Rows:
         want = (x < y if i == j else x != y) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
         if want.any():
             want &= _sketch_pairs(self.sketch[left], self.sketch[right]) >= NEAR
-            for a, b in np.argwhere(want):
-                want[a, b] = self.first_common(left[a], right[b])
+        if want.any():
+            want &= ~self.met_before(left, right, self.node[s])
         return want, left, right
 
+    def met_before(self, left: np.ndarray, right: np.ndarray, node: int) -> np.ndarray:
+        """Which pairs of rows also share a leaf that comes before ``node``: dense slices of shared leaves, multiplied."""
+
+        def flat(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            parts = [x[x < node] for x in map(self.leaves, side)]
+            return np.concatenate(parts), np.repeat(np.arange(len(side)), [len(x) for x in parts])
+
+        out = np.zeros((len(left), len(right)), dtype=bool)
+        sides = flat(left), flat(right)
+        shared = np.intersect1d(sides[0][0], sides[1][0])
+        for at in range(0, len(shared), 2048):
+            v = shared[at : at + 2048]
+            dense = []
+            for (x, row), n in zip(sides, out.shape, strict=True):
+                place = np.minimum(np.searchsorted(v, x), len(v) - 1)
+                ok = v[place] == x
+                m = np.zeros((n, len(v)), dtype=np.float32)
+                m[row[ok], place[ok]] = 1
+                dense.append(m)
+            out |= dense[0] @ dense[1].T > 0
+        return out
+
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
     """Sorted batches as runs of whole groups."""

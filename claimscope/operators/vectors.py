@@ -18,7 +18,8 @@ from claimscope.operators.trust import profile_lines
 # Tasks receive these helpers with their closure, so executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-QUERY_BLOCK = 4096   # query vectors held by a task at once
+QUERY_BLOCK = 512    # query vectors packed in a row
+STORED_BLOCK = 8192  # stored vectors packed in a row
 _ROWS = 1024         # stored vectors scored at once
 
 
@@ -113,6 +114,14 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
         return m / length[:, None]
 
 
+def _packed(rows: DataFrame, id_col: str, vec_col: str, size: int, part: str, prefix: str) -> DataFrame:
+    """Rows dealt by hash into parts of about ``size``: ``part, <prefix>_ids, <prefix>_vecs, parts``."""
+    n = rows.agg(F.ceil(F.count(F.lit(1)) / size)).scalar()
+    parts = F.greatest(n, F.lit(1)).cast("int")
+    packed = rows.groupBy(F.pmod(F.xxhash64(id_col, vec_col), parts).cast("int").alias(part)).agg(F.collect_list(F.struct(id_col, vec_col)).alias("r"))
+    return packed.select(part, F.col(f"r.{id_col}").alias(f"{prefix}_ids"), F.col(f"r.{vec_col}").alias(f"{prefix}_vecs"), parts.alias("parts"))
+
+
 def topk_batch(
     stored: DataFrame,
     queries: DataFrame,
@@ -125,52 +134,36 @@ def topk_batch(
 ) -> DataFrame:
     """The ``k`` most similar stored rows for every row of a query table.
 
-    Exact. Query vectors go to the tasks in blocks of a checked size and the stored rows
-    are scanned once per block; each partition scores its rows as a matrix product and
-    sends on at most ``k`` rows per query, so no query-row pair is ever shuffled.
+    Exact. Both sides are dealt by hash into packed rows of bounded size, however many rows
+    there are; every packed block of queries is sent to every packed block of stored rows,
+    scored there as a matrix product, and at most ``k`` rows per query go on. Nothing passes
+    through the driver.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
     id_type = stored.schema[id_col].dataType.simpleString()
     qid_type = queries.schema[query_id].dataType.simpleString()
-    usable = stored.where(F.col(vec_col).isNotNull()).select(id_col, vec_col)
-    partial: DataFrame | None = None
-    for b in range(blocks):
-        held = queries.where(F.col(query_vec).isNotNull())
-        if blocks > 1:
-            held = held.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        rows = held.select(query_id, query_vec).collect()
-        if not rows:
-            continue
-        qids = np.array([r[0] for r in rows], dtype=object)
-        qmat = _unit_rows(np.array([r[1] for r in rows], dtype=float))
-        one = usable.mapInPandas(
-            _scorer(qids, qmat, k, id_col, vec_col, query_id), f"{query_id} {qid_type}, {id_col} {id_type}, similarity double"
-        )
-        partial = one if partial is None else partial.unionByName(one)
-    if partial is None:
-        empty = usable.limit(0).select(F.lit(None).cast(qid_type).alias(query_id), id_col, F.lit(0.0).alias("similarity"))
-        return empty.withColumn("rank", F.lit(1))
-    rn = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("similarity"), id_col))
-    return partial.withColumn("rank", rn).where(F.col("rank") <= k)
+    held = _packed(stored.where(F.col(vec_col).isNotNull()).select(id_col, vec_col), id_col, vec_col, STORED_BLOCK, "part", "s")
+    asked = _packed(queries.where(F.col(query_vec).isNotNull()).select(query_id, query_vec), query_id, query_vec, block, "asked", "q")
+    parts = held.agg(F.coalesce(F.max("parts"), F.lit(0))).scalar()
+    sent = asked.select("q_ids", "q_vecs", F.explode(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0)))).alias("part"))
 
-
-def _scorer(qids, qmat, k, id_col, vec_col, query_id):
-    ok = ~np.isnan(qmat).any(axis=1)
-    qids, qmat = qids[ok], qmat[ok]
-
-    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _Best(len(qids), k)
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for lo in range(0, len(f), _ROWS):
-                piece = f.iloc[lo:lo + _ROWS]
-                unit = _unit_rows(np.array(piece[vec_col].tolist(), dtype=float))
-                good = ~np.isnan(unit).any(axis=1)
-                if good.any():
-                    best.add(piece[id_col].to_numpy(dtype=object)[good], unit[good] @ qmat.T)
-        yield pd.DataFrame({query_id: qids[best.q], id_col: best.ids, "similarity": best.sim})
-
-    return part
+            for s_ids, s_vecs, q_ids, q_vecs in zip(f["s_ids"], f["s_vecs"], f["q_ids"], f["q_vecs"]):
+                q = _unit_rows(np.array([list(v) for v in q_vecs], dtype=float))
+                fine = ~np.isnan(q).any(axis=1)
+                names, q = np.array(list(q_ids), dtype=object)[fine], q[fine]
+                best, ids = _Best(len(names), k), np.array(list(s_ids), dtype=object)
+                for lo in range(0, len(ids) if len(names) else 0, _ROWS):
+                    unit = _unit_rows(np.array([list(v) for v in s_vecs[lo:lo + _ROWS]], dtype=float))
+                    good = ~np.isnan(unit).any(axis=1)
+                    if good.any():
+                        best.add(ids[lo:lo + _ROWS][good], unit[good] @ q.T)
+                yield pd.DataFrame({query_id: names[best.q], id_col: best.ids, "similarity": best.sim})
+
+    pairs = held.drop("parts").join(sent, "part").drop("part")
+    partial = pairs.mapInPandas(score, f"{query_id} {qid_type}, {id_col} {id_type}, similarity double")
+    rn = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("similarity"), id_col))
+    return partial.withColumn("rank", rn).where(F.col("rank") <= k)
 
 
 def stats(stored: DataFrame, vec_col: str = "embedding") -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog.views import Views, ctes
 from claimscope import constants as K
 from claimscope.functions import classify
-from claimscope.operators import extract, infer, trust
+from claimscope.operators import extract, infer, quality, trust
 
 
 def _profiles(v: Views):
@@ -113,6 +113,7 @@ QUERIES = {
     "facility_class": lambda v: v.raw.select("facility_id", classify.facility_class(F.col("facility_type")).alias("facility_class")),
     "tiered_scoring": _tiered,
     "contradiction_summary": lambda v: trust.contradiction_summary(trust.contradictions(v.model_output), v.raw),
+    "dq_constraints": lambda v: quality.violations(trust.contradictions(v.model_output), extract.citations(_good(v))),
     "trust_stats": lambda v: trust.score_stats(v.trust),
     "trust_distribution": lambda v: trust.distribution(v.trust),
 }
@@ -308,6 +309,11 @@ ORACLE = {
     "contradiction_summary": ctes(["fx_model_output", "fx_facilities_raw"], _CONTRA)
     + "SELECT state, severity, claim, count(*) AS n, CAST(sum(trust_impact) AS BIGINT) AS total_impact "
     "FROM contras JOIN fx_facilities_raw USING (facility_id) GROUP BY ALL",
+    "dq_constraints": ctes(["fx_profile_output", "fx_model_output"], {**_PROFILE, **_CONTRA})
+    + "SELECT 'contradictions' AS table_name, 'trust_impact <= 0' AS rule, count(*) AS n_rows, count(*) FILTER (trust_impact > 0) AS n_violations FROM contras "
+    "UNION ALL SELECT 'contradictions', 'severity', count(*), count(*) FILTER (severity NOT IN ('low', 'medium', 'high')) FROM contras "
+    "UNION ALL SELECT 'citations', 'claim_type', count(*), 0 FROM goodcaps "
+    "UNION ALL SELECT 'citations', 'source_offset_start >= 0', count(*), count(*) FILTER (evidence_offset < 0) FROM goodcaps",
     "trust_stats": ctes(["fx_trust_scores"])
     + "SELECT count(*) AS total_facilities, round(avg(trust_score), 1) AS average_score, min(trust_score) AS min_score, "
     "max(trust_score) AS max_score, round(stddev_samp(trust_score), 1) AS stddev FROM fx_trust_scores",

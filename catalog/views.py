@@ -60,7 +60,7 @@ SELECT concat('f', c_custkey) AS facility_id,
   ELSE concat('Sure: {"trust_score": ', (c_custkey * 53) % 101, ', "reasoning": "ok"} done') END AS judge_raw,
  CASE c_custkey % 4
   WHEN 0 THEN concat('Weak. CONTRADICTIONS_JSON: [{"claim": "c', c_custkey, '", "evidence_gap": "g", "trust_impact": -', c_custkey % 20, ', "severity": "high"}]')
-  WHEN 1 THEN concat('See [{"claim": "c', c_custkey, '", "evidence_gap": "g"}, {"claim": "d", "trust_impact": -3}]')
+  WHEN 1 THEN concat('See [{"claim": "c', c_custkey, '", "evidence_gap": "g"}, {"claim": "d", "trust_impact": 3, "severity": "fatal"}]')
   WHEN 2 THEN 'CONTRADICTIONS_JSON: [broken]'
   ELSE 'nothing found' END AS skeptic_raw
 FROM customer

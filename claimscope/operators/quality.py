@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.schemas import CLAIM_TYPES, CONTRADICTION_SEVERITIES
+
 CHECKED = ["facility_id", "facility_name", "state", "district", "pin_code", "facility_type", "unstructured_notes"]
 
 
@@ -60,3 +62,20 @@ def orphans(raw: DataFrame, others: dict[str, DataFrame], key: str = "facility_i
         )
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def violations(contradictions: DataFrame, citations: DataFrame) -> DataFrame:
+    """``table_name, rule, n_rows, n_violations`` of the value rules of contradictions and citations; null breaks a rule."""
+    rules = [
+        ("contradictions", "trust_impact <= 0", contradictions, F.col("trust_impact") <= 0),
+        ("contradictions", "severity", contradictions, F.col("severity").isin(CONTRADICTION_SEVERITIES)),
+        ("citations", "claim_type", citations, F.col("claim_type").isin(CLAIM_TYPES)),
+        ("citations", "source_offset_start >= 0", citations, F.col("source_offset_start") >= 0),
+    ]
+    out: DataFrame | None = None
+    for table, rule, rows, holds in rules:
+        one = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.coalesce(holds, F.lit(False))).alias("n_violations")).select(
+            F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "n_rows", "n_violations"
+        )
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -60,16 +60,3 @@ INTENT_TEXT = (
 SEVERITIES = ["green", "yellow", "red"]
 CONTRADICTION_SEVERITIES = ["low", "medium", "high"]
 CLAIM_TYPES = ["capability", "staff", "equipment", "operational"]
-
-
-def conform(df, schema: T.StructType):
-    """Project ``df`` on ``schema``: cast what is there, null what is not."""
-    from pyspark.sql import functions as F
-
-    have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )

@@ -118,54 +118,59 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, b
 def fillings(room: int, sizes: list[int], left: dict[int, int], widest: int = 12) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room`` with available sizes (descending), the fullest first.
 
-    The search goes largest item first and keeps ``widest`` fillings; a branch ends when even a full remainder could
-    not beat the worst of them. A filling that another one covers item by item is dominated and left out.
+    The search goes largest item first, by sizes and how many of each, and keeps ``widest`` fillings; a branch ends when
+    even all that is left could not beat the worst of them. A filling that another one covers item by item is dominated and left out.
     """
     best: list[tuple[int, int, tuple[int, ...]]] = []  # a heap: fullness, fewer items, the filling
-
-    def add(f: tuple[int, ...], total: int) -> None:
-        heapq.heappush(best, (total, -len(f), f))
-        if len(best) > widest:
-            heapq.heappop(best)
-
-    steps = 0
-
-    def grow(f: tuple[int, ...], total: int, at: int) -> bool:
-        """Extends a filling with items not larger than its last; true once exact fillings suffice."""
-        nonlocal steps
-        fits = False
-        i = at
-        while i < len(sizes) and sizes[i] > room - total:
-            i = low(sizes, room - total)
-        for j in range(i, len(sizes)):
-            x = sizes[j]
-            if f.count(x) >= left[x]:
-                continue
-            fits = True
-            steps += 1
-            if steps > 4000 or len(best) == widest and best[0][0] == room:
-                break
-            if len(best) == widest and total + x * ((room - total) // x) <= best[0][0] and j > i and len(f) > 2:
-                break
-            if grow(f + (x,), total + x, j):
-                return True
-        if not fits:
-            add(f, total)
-            return total == room and len(f) <= 1
-        return False
-
-    def low(values: list[int], most: int) -> int:
-        """The first place of a descending list with a value of at most ``most``."""
-        a, b = 0, len(values)
+    volume = [0]  # of all available items from a place on
+    for x in reversed(sizes):
+        volume.append(volume[-1] + x * left[x])
+    volume.reverse()
+
+    def low(most: int) -> int:
+        """The first place with a size of at most ``most``."""
+        a, b = 0, len(sizes)
         while a < b:
             mid = (a + b) // 2
-            if values[mid] > most:
+            if sizes[mid] > most:
                 a = mid + 1
             else:
                 b = mid
         return a
 
-    grow((), 0, low(sizes, room))
+    # One level for each different size, so that many items of one size are one step and no call of its own.
+    path: list[tuple[int, int]] = []  # a place and how many of its size
+    total = at = steps = 0
+    while True:
+        while (j := max(at, low(room - total))) < len(sizes):
+            x = sizes[j]
+            m = min(left[x], (room - total) // x)
+            path.append((j, m))
+            total, at, steps = total + x * m, j + 1, steps + 1
+        taken = dict(path)
+        if not any(left[sizes[i]] > taken.get(i, 0) for i in range(low(room - total), len(sizes))):
+            f = tuple(sizes[i] for i, m in path for _ in range(m))
+            heapq.heappush(best, (total, -len(f), f))
+            if len(best) > widest:
+                heapq.heappop(best)
+            if total == room and len(f) <= 1:
+                break
+        while path:  # one item fewer of the last size, while that can still lead to an undominated filling
+            j, m = path.pop()
+            x = sizes[j]
+            total, at, steps = total - x, j + 1, steps + 1
+            most = min(room, total + volume[at])
+            if room - most >= x or len(best) == widest and most <= best[0][0]:
+                total -= x * (m - 1)
+                continue
+            if m > 1:
+                path.append((j, m - 1))
+            break
+        else:
+            break
+        if steps > 4000 and best or len(best) == widest and best[0][0] == room:
+            break
+
     found = sorted(best, key=lambda x: (-x[0], -x[1], tuple(-v for v in x[2])))
     kept: list[tuple[int, ...]] = []
     for _, _, f in found:

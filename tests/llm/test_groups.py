@@ -235,6 +235,25 @@ def test_packing_of_awkward_rows(docs, awkward, nothing):
     assert packing.packed_digests(nothing, WORDS).collect() == []
 
 
+@pytest.mark.parametrize("long", [0, 3])
+def test_packing_of_many_short_texts(docs, long):
+    short = [(i, None if i % 2 else "") for i in range(5000)]
+    texts = dict([*short, *((5000 + i, "word " * (1500 + 700 * i)) for i in range(long))])
+    used, least = check_packed(packing.packed_digests(docs(*texts.items()), WORDS).collect(), texts, packing.CAPACITY)
+    assert used == least
+
+
+def test_plans_of_short_pieces():
+    for counts in ({1: 5000}, {1: 3000, 2: 3000}, {1: 1100, 3: 900, 2040: 2, 1200: 7}, {2: 4000, 5: 1, 2047: 3}):
+        p = packing.plan(counts)
+        got = collections.Counter()
+        for f, k in p:
+            assert sum(f) <= packing.CAPACITY
+            for x in f:
+                got[x] += k
+        assert got == counts and sum(k for _, k in p) == packing.lower_bound(counts, packing.CAPACITY)
+
+
 # --- Pages ----------------------------------------------------------------------
 PAGES = [
     ("http://a.example/1", "<html><body><nav><a>m</a></nav><article><h1>T &amp; t</h1><p>one <b>two</b>\n three<br>four<p>five &eacute;</article><footer>f</footer></body></html>", "T & t\none two three four\nfive é"),

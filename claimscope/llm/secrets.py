@@ -3,16 +3,17 @@
 A text is layer zero of a worklist. Every layer is scanned for secrets and for encoded stretches: percent-encoded
 runs, Unicode escapes and numeric character references, base64 tokens, and the compressed data inside those. What a
 stretch decodes to is a new layer, unless the same content has been scanned already; the work ends when no layer
-yields a new one. Each layer remembers where its characters come from, so that every secret is reported with its span
-in the original text.
+yields a new one. Percent sequences and escapes are decoded where they stand, base64 is joined over line breaks, and
+bytes that are no clean UTF-8 are read leniently. Each layer remembers where its characters come from, so that every
+secret is reported with its span in the original text.
 """
 
 import base64
 import binascii
+import bisect
 import bz2
 import lzma
 import re
-import urllib.parse
 import zlib
 
 import pyarrow as pa
@@ -30,11 +31,18 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Kinds of the method's own: private key blocks and bearer tokens.
 KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)
 BEARER = re.compile(r"\b[Bb]earer\x20+([A-Za-z0-9._~+/-]{20,}=*)")
+#: An assignment whose value has percent sequences: what they stand for need not be a character of plain values.
+ESCAPED_ASSIGN = re.compile(rf"(?:{_WORDS})(?:[\"']|%2[27])?(?:\x20|%20)*(?:[:=]|%3[AaDd])(?:\x20|%20)*(?:[\"']|%2[27])?((?:[A-Za-z0-9+/_.=-]|%(?!2[0267]|0[0-9A-Fa-f])[0-9A-Fa-f]{{2}})+)")
 _CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 PERCENT = re.compile(r"(?:[A-Za-z0-9_.~+-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9_.~+-]*")
 ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
+OCTETS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over line breaks; one of the lines must have 16 characters.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+MAGIC = (b"\x1f\x8b", b"\x78", b"BZh", b"\xfd7zXZ\x00")
 #: Bytes that one compressed layer may expand to. A larger one is not scanned but reported as a span ``oversize``.
 LARGEST_LAYER = 1 << 26
 
@@ -55,6 +63,10 @@ def layer_spans(text: str) -> list[tuple[str, int, int]]:
     found = base_spans(text)
     if "PRIVATE KEY" in text:
         found += [("key", m.start(), m.end()) for m in KEY.finditer(text)]
+    if "%" in text:
+        low = text.lower()
+        if any(c in low for c in _CUES):
+            found += [("assign", *m.span()) for m in ESCAPED_ASSIGN.finditer(text) if "%" in m[1] and len(m[1]) - 2 * m[1].count("%") >= 6]
     if "earer" in text:
         found += [("bearer", m.start(), m.end()) for m in BEARER.finditer(text)]
     return found
@@ -64,17 +76,30 @@ class TooLarge(Exception):
     pass
 
 
+def opened(data: bytes):
+    """A decompressor for what data begins with: gzip, zlib, bzip2 or xz; None if it is none of those."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\x00" else None
+
+
+def begins(data: bytes) -> bool:
+    """Whether compressed data may begin here, by its first bytes."""
+    d = opened(data)
+    try:
+        return d is not None and d.decompress(data, 1 << 16) is not None
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+        return False
+
+
 def inflate(data: bytes, most: int = LARGEST_LAYER) -> bytes | None:
     """What gzip, zlib, bzip2 or xz data holds; None if it is none of those or broken."""
-    if data[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-        d = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        d = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        d = lzma.LZMADecompressor()
-    else:
+    d = opened(data)
+    if d is None:
         return None
     try:
         out = d.decompress(data, most + 1)
@@ -85,13 +110,22 @@ def inflate(data: bytes, most: int = LARGEST_LAYER) -> bytes | None:
     return out if d.eof else None
 
 
-def readable(data: bytes) -> str | None:
-    """Bytes as text if they are UTF-8 without control characters."""
-    try:
-        t = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return t if t and not re.search(r"[\x00-\x08\x0E-\x1F\x7F]", t) else None
+def octets(text: str) -> list[int]:
+    """Bytes of each character that lenient UTF-8 gave; what stands for a broken byte is one byte."""
+    return [1 if c < "\x80" or "\udc80" <= c <= "\udcff" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in text]
+
+
+def readings(data: bytes):
+    """``(text, bytes of each character)`` of bytes: as UTF-8, and with zero bytes as UTF-16 of either order too.
+
+    Broken bytes become lone surrogates, which no pattern matches; the sizes are made when called for.
+    """
+    t = data.decode("utf-8", "surrogateescape")
+    yield t, lambda: octets(t)
+    if b"\0" in data:
+        for order in ("utf-16-le", "utf-16-be"):
+            u = data[: len(data) // 2 * 2].decode(order, "replace")
+            yield u, lambda u=u: [2 if c < "\U00010000" else 4 for c in u]
 
 
 def unbase64(token: str) -> bytes | None:
@@ -124,24 +158,113 @@ class Layer:
         return self.spans[start][0], self.spans[end - 1][1]
 
 
+def replaced(layer: Layer, pattern: re.Pattern, decode, start: int = 0, end: int | None = None) -> Layer | None:
+    """The layer from ``start`` to ``end`` with matches decoded where they stand; None without a match.
+
+    ``decode`` gives the characters for a match and how many of its characters each stands for.
+    """
+    end = len(layer.text) if end is None else end
+    out, where, at = [], [], start
+    for m in pattern.finditer(layer.text, start, end):
+        chars, widths = decode(m)
+        out += [layer.text[at : m.start()], chars]
+        where += [layer.origin(i, i + 1) for i in range(at, m.start())]
+        at = m.start()
+        for w in widths:
+            where.append(layer.origin(at, at + w))
+            at += w
+    if not out:
+        return None
+    out.append(layer.text[at:end])
+    where += [layer.origin(i, i + 1) for i in range(at, end)]
+    return Layer("".join(out), layer.spans if isinstance(layer.spans, tuple) else where)
+
+
+def one_run(m: re.Match) -> tuple[str, list[int]]:
+    t = bytes.fromhex(m.group().replace("%", "")).decode("utf-8", "surrogateescape")
+    return t, [3 * n for n in octets(t)]
+
+
+def spaced(m: re.Match) -> tuple[str, list[int]]:
+    """A percent-encoded run of a form, where a plus sign is a blank."""
+    out, widths = [], []
+    for part in re.findall(r"(?:%[0-9A-Fa-f]{2})+|.", m.group(), re.S):
+        t, w = one_run(re.match(r".*", part, re.S)) if part[0] == "%" else (" " if part == "+" else part, [1])
+        out.append(t)
+        widths += w
+    return "".join(out), widths
+
+
+def wrapped(layer: Layer):
+    """As ``unwrapped``, of base64 that runs over line breaks. A secret's span is made of the lines that hold it.
+
+    What stands before and after the base64 may look like it too. Text is found from any of the four alignments,
+    compressed data from the start of any line.
+    """
+    for m in WRAPPED.finditer(layer.text):
+        lines = [x.span() for x in LINE.finditer(layer.text, *m.span())]
+        if max(e - s for s, e in lines) < 16:
+            continue
+        ends, body, total = [], [], 0
+        for s, e in lines:
+            body.append(layer.text[s:e])
+            total += e - s
+            ends.append(total)
+        body = "".join(body).replace("-", "+").replace("_", "/")
+
+        def data(start: int, end: int) -> bytes:
+            n = (end - start) % 4
+            return base64.b64decode(body[start : end - (n == 1)] + "=" * (-(end - start - (n == 1)) % 4))
+
+        for phase in range(min(4, total)):
+            raw = data(phase, total)
+            for t, sizes in readings(raw):
+                if not any(p.search(t) for p in (OCTETS, ESCAPED, ENCODED, WRAPPED)) and not layer_spans(t):
+                    continue
+                where, at = [], 0
+                for n in sizes():
+                    first = bisect.bisect_right(ends, phase + at * 4 // 3)
+                    last = bisect.bisect_right(ends, min(total - 1, phase + (at + n) * 4 // 3 - ((at + n) % 3 == 0)))
+                    where.append(layer.origin(lines[first][0], lines[last][1]))
+                    at += n
+                yield Layer(t, where), None
+        for i, start in enumerate([0, *ends[:-1]]):
+            if not data(start, min(start + 8, total)).startswith(MAGIC) or not begins(data(start, min(start + 4096, total))):
+                continue
+            try:
+                raw = inflate(data(start, total))
+                if raw is None:
+                    continue
+                few, many = i, len(lines) - 1  # the last line of the stream
+                while few < many:
+                    mid = (few + many) // 2
+                    few, many = (few, mid) if inflate(data(start, ends[mid])) is not None else (mid + 1, many)
+                while (more := inflate(raw)) is not None:
+                    raw = more
+            except TooLarge:
+                yield None, layer.origin(lines[i][0], lines[-1][1])
+                continue
+            for t, _ in readings(raw):
+                yield Layer(t, layer.origin(lines[i][0], lines[few][1])), None
+
+
 def unwrapped(layer: Layer):
     """``(decoded layer or None, span in the original)`` of all encoded stretches of a layer."""
     text = layer.text
-    if "%" in text:
+    if "%" in text and OCTETS.search(text):
+        # In place, for secrets with text around them, and run by run, for base64 that ends where a run does.
+        inner = [replaced(layer, OCTETS, one_run)]
         for m in PERCENT.finditer(text):
-            t = readable(urllib.parse.unquote_to_bytes(m.group().replace("+", " ")))
-            if t is not None:
-                yield Layer(t, layer.origin(*m.span())), None
+            inner.append(replaced(layer, OCTETS, one_run, *m.span()))
+            if "+" in m.group():
+                inner.append(replaced(layer, PERCENT, spaced, *m.span()))
+        if any("+" in m.group() for m in PERCENT.finditer(text)):
+            inner.append(replaced(layer, PERCENT, spaced))
+        yield from ((x, None) for x in inner)
     if "\\" in text or "&#" in text:
-        out, where, at, hits = [], [], 0, 0
-        for m in ESCAPED.finditer(text):
-            out += [text[at : m.start()], one_escape(m)]
-            where += [layer.origin(i, i + 1) for i in range(at, m.start())] + [layer.origin(*m.span())]
-            at, hits = m.end(), hits + 1
-        if hits:
-            out.append(text[at:])
-            where += [layer.origin(i, i + 1) for i in range(at, len(text))]
-            yield Layer("".join(out), where), None
+        inner = replaced(layer, ESCAPED, lambda m: (one_escape(m), [m.end() - m.start()]))
+        if inner is not None:
+            yield inner, None
     for m in ENCODED.finditer(text):
         token = m.group()
         if token.isalpha() and (token.islower() or token[1:].islower()):
@@ -156,24 +279,25 @@ def unwrapped(layer: Layer):
         except TooLarge:
             yield None, layer.origin(*m.span())
             continue
-        t = readable(data)
-        if t is not None:
+        for t, _ in readings(data):
             yield Layer(t, layer.origin(*m.span())), None
+    if "\n" in text:
+        yield from wrapped(layer)
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and all spans of a text, each sorted by start and kind; null counts as empty."""
     order = {k: i for i, k in enumerate((*KINDS, "oversize"))}
     base = base_spans(text or "")
-    found, seen, work = set(base), {text}, [Layer(text or "")]
+    found, seen, work = set(base), {(text, (0, len(text or "")))}, [Layer(text or "")]
     while work:
         layer = work.pop()
         found.update((k, *layer.origin(s, e)) for k, s, e in layer_spans(layer.text))
         for inner, oversize in unwrapped(layer):
             if inner is None:
                 found.add(("oversize", *oversize))
-            elif (inner.text, inner.spans if isinstance(inner.spans, tuple) else None) not in seen:
-                seen.add((inner.text, inner.spans if isinstance(inner.spans, tuple) else None))
+            elif inner.text and (key := (inner.text, inner.origin(0, len(inner.text)))) not in seen:
+                seen.add(key)
                 work.append(inner)
     key = lambda s: (s[1], order[s[0]], s[2])
     return sorted(base, key=key), sorted(found, key=key)

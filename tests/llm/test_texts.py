@@ -1,8 +1,10 @@
 """Operators that answer for each text: BPE, language, secrets, quality, licenses."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import math
 import re
 import urllib.parse
@@ -119,6 +121,41 @@ def test_wrapped_secrets_keep_their_place(wrap):
     assert found and all(9 <= s[1] < s[2] <= 9 + len(inner) for s in found) and base == []
 
 
+def lines_of(token, width=76):
+    return "\n".join(token[i : i + width] for i in range(0, len(token), width))
+
+
+FILLED = "\n".join(f"line {i} of text that is long enough {i * i * 7919 % 99991}" for i in range(40))
+
+
+@pytest.mark.parametrize("text,secret", [
+    ("a password=%68unter2secret b", "password=%68unter2secret"), ("password=p%40ssw0rd123", "password=p%40ssw0rd123"), ("password%3D%22p%40ssw0rd123%22", "password%3D%22p%40ssw0rd123"), ("a pass%77ord=abcdef12 b", "pass%77ord=abcdef12"),
+    ("%FF%68i password%3Dabcdef12 b", "password%3Dabcdef12"), ("é token=%61bcd%65f, token=%61bcd%65f", "token=%61bcd%65f"), ("x=1&password+%3D+abcdef12&y", "password+%3D+abcdef12"),
+])
+def test_percent_sequences_are_decoded_in_place(text, secret):
+    found = [text[a:b] for k, a, b in secrets.scan(text)[1] if k == "assign"]
+    assert found.count(secret) == text.count(secret)
+
+
+@pytest.mark.parametrize("wrap", [
+    lambda t: base64.b64encode(t), lambda t: base64.b64encode(gzip.compress(t)), lambda t: base64.b64encode(zlib.compress(t)),
+    lambda t: base64.b64encode(bz2.compress(t)), lambda t: base64.b64encode(lzma.compress(t)),
+])
+@pytest.mark.parametrize("nl", ["\n", "\r\n", "\n    "])
+def test_base64_over_line_breaks(wrap, nl):
+    for pad in range(0, 60, 7):
+        token = lines_of(wrap((FILLED + "x" * pad + " password=abcdefgh1234567890 " + FILLED).encode()).decode()).replace("\n", nl)
+        text = f"before\nAnIdentifierOfManyLetters\n{token}\nafter\nthat"
+        found = [s for s in secrets.scan(text)[1] if s[0] == "assign"]
+        assert found and all(text.index(token) <= a < b <= text.index(token) + len(token) for _, a, b in found)
+
+
+@pytest.mark.parametrize("data", [INNER.encode("utf-16"), INNER.encode("utf-16-be"), b"\x01" + INNER.encode(), b"\xff\xfe\xfd " + INNER.encode() + b"\x80", gzip.compress(b"\x00" + INNER.encode())])
+def test_bytes_that_are_no_clean_text(data):
+    token = base64.b64encode(data).decode()
+    assert [s for s in secrets.scan(f"é {token}")[1] if s[0] == "assign"] == [("assign", 2, 2 + len(token))]
+
+
 def test_oversize_layers_are_reported(monkeypatch):
     monkeypatch.setattr(secrets, "LARGEST_LAYER", 100)
     monkeypatch.setattr(secrets.inflate, "__defaults__", (100,))

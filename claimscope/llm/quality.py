@@ -22,10 +22,14 @@ WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: Share of a group that determines its estimate, concentration steps, and the chance of rejecting a Gaussian document.
 CORE, STEPS, TAIL = 0.75, 6, 1e-6
-#: Rows that an estimate needs; smaller groups are joined by language, then all together.
+#: Rows that an estimate needs; smaller sources are judged by all of their language, then by all documents.
 LEAST_ROWS = 60
-#: Smallest standard deviation of each feature, so that a feature that hardly varies rejects nobody for a trace of it.
-FLOORS = (0.5, 0.12, 0.4, 1.0, 1.0)
+#: Smallest standard deviation of each feature: for the number and the length of words what counting 20 words leaves open,
+#: for shares a step well under what the limit needs, so that each feature can reject by itself.
+FLOORS = (0.25, 0.12, 0.3, 0.6, 0.5)
+#: Standard deviations of counting noise by which counts are lowered before they become shares, and the words that
+#: repetitions come in: a pair of windows.
+NOISE, CLUMP = 2.0, 2 * WINDOW
 #: Distance classes per doubling of the squared distance.
 CLASSES = 16
 DIMS = len(FLOORS)
@@ -68,8 +72,9 @@ def counts(text: str | None) -> tuple[int, int, int, int, int, int]:
 def _measured(texts: pd.Series) -> pd.DataFrame:
     c = np.array([counts(t) for t in texts], dtype=np.int64).reshape(-1, 6)
     words, chars, symbols, dup, rep, lines = c.T
-    some, per = np.maximum(words, 1), lambda a, n: np.log1p(100.0 * a / np.maximum(n, 1))
-    x = [np.log1p(words), np.log(np.maximum(chars, 1) / some), per(symbols, chars), per(dup, lines), per(rep, words)]
+    some = np.maximum(words, 1)
+    per = lambda a, n, clump=1: np.log1p(100.0 * np.maximum(a - NOISE * np.sqrt(a * clump), 0) / np.maximum(n, 1))
+    x = [np.log1p(words), np.log(np.maximum(chars, 1) / some), per(symbols, chars), per(dup, lines), per(rep, words, CLUMP)]
     failed = (words < LEAST_WORDS) | (100 * rep > MOST_REPEATED * words)
     return pd.DataFrame(dict(zip((*COUNTS, "base_failed", *FEATURES), (words, chars, symbols, dup, rep, failed, *x), strict=True)))
 
@@ -100,11 +105,13 @@ def chi2_cdf(x: float, p: int) -> float:
 
 
 def chi2_tail(x: float, p: int) -> float:
-    """One minus the distribution function, accurate far out for even p and by a neighbouring bound otherwise."""
-    if x < p + 10:
-        return 1 - chi2_cdf(x, p)
-    q, z = 2 * math.ceil(p / 2), x / 2
-    return math.exp(-z) * sum(z**k / math.factorial(k) for k in range(q // 2))
+    """One minus the distribution function, accurate far out: the upper incomplete gamma function by its recurrence."""
+    z = max(x, 0.0) / 2
+    a, tail = (0.5, math.erfc(math.sqrt(z))) if p % 2 else (1.0, math.exp(-z))
+    while 2 * a < p:
+        tail += math.exp(a * math.log(z) - z - math.lgamma(a + 1)) if z else 0.0
+        a += 1
+    return tail
 
 
 def chi2_quantile(upper: float, p: int) -> float:
@@ -119,17 +126,25 @@ def chi2_quantile(upper: float, p: int) -> float:
 
 
 def _grouped(stats: DataFrame) -> DataFrame:
-    """``lang, source`` to the group that estimates for it: itself, its language's small sources, or all small languages."""
+    """``lang, source, grp``: the group that estimates for it, itself or else all of its language or else all documents."""
     n = stats.where("not base_failed").groupBy("lang", "source").count()
-    n = n.withColumn("small", F.col("count") < LEAST_ROWS)
-    n = n.withColumn("of_lang", F.sum(F.when(F.col("small"), F.col("count"))).over(Window.partitionBy("lang")))
+    n = n.withColumn("of_lang", F.sum("count").over(Window.partitionBy("lang")))
     return n.select(
         "lang", "source",
-        F.when(~F.col("small"), F.to_json(F.array(F.col("lang"), F.col("source"))))
+        F.when(F.col("count") >= LEAST_ROWS, F.to_json(F.array(F.col("lang"), F.col("source"))))
         .when(F.col("of_lang") >= LEAST_ROWS, F.to_json(F.array("lang"))).otherwise("[]").alias("grp"),
     )
 
 
+def _estimating(groups: DataFrame) -> DataFrame:
+    """``lang, source, grp`` of every group that a source's documents help to estimate."""
+    own, lang = F.to_json(F.array("lang", "source")), F.to_json(F.array("lang"))
+    used = F.max(F.col("grp") == lang).over(Window.partitionBy("lang"))
+    everyone = F.lit("[]") if groups.where("grp = '[]'").take(1) else F.lit(None).cast("string")
+    of = F.array_compact(F.array(F.when(F.col("grp") == own, own), F.when(F.col("used"), lang), everyone))
+    return groups.withColumn("used", used).select("lang", "source", F.explode(of).alias("grp"))
+
+
 def _distance(estimate: str = "e") -> F.Column:
     """Squared Mahalanobis distance of ``x*`` to the columns of an estimate."""
     d = [F.col(x) - F.col(f"{estimate}.center")[i] for i, x in enumerate(FEATURES)]
@@ -205,12 +220,12 @@ def estimates(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFr
 def limits(stats: DataFrame) -> DataFrame:
     """``lang, source, n, center, inverse``: the estimate that holds for each language and source of ``stats``.
 
-    Estimates come from all documents that pass the fixed rules; null is a value of its own. Groups of fewer than 60
-    documents are estimated together with the other small sources of their language, or with all small languages.
+    Estimates come from all documents that pass the fixed rules; null is a value of its own. For sources of fewer than
+    60 documents the estimate of all documents of their language holds, and of the whole table where those are too few.
     """
     groups = settled(_grouped(stats))
     same = F.col("s.lang").eqNullSafe(F.col("g.lang")) & F.col("s.source").eqNullSafe(F.col("g.source"))
-    rows = stats.alias("s").where("not base_failed").join(groups.alias("g"), same).select("g.grp", *FEATURES)
+    rows = stats.alias("s").where("not base_failed").join(_estimating(groups).alias("g"), same).select("g.grp", *FEATURES)
     return settled(groups.join(estimates(rows), "grp").select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "n", "center", "inverse"))
 
 

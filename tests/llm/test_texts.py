@@ -223,6 +223,34 @@ def test_chi2():
     assert math.isclose(quality.chi2_quantile(0.25, 5), 6.6257, abs_tol=1e-3)
 
 
+def test_chi2_far_out():
+    assert math.isclose(quality.chi2_quantile(1e-6, 5), 35.888, abs_tol=1e-2) and math.isclose(quality.chi2_quantile(1e-6, 2), -2 * math.log(1e-6), abs_tol=1e-6)
+
+
+def test_each_share_can_reject_by_itself(docs):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    line = lambda n: " ".join(word() for _ in range(n))
+    clean = [(i, "\n".join(line(2) for _ in range(rng.integers(60, 100)))) for i in range(200)]
+    few = [line(2) for _ in range(12)]
+    doubled = "\n".join(few[k] for k in rng.integers(0, 12, 80))
+    again = line(60)
+    repeated = "\n".join([*(line(2) for _ in range(200)), again, line(2), again])
+    marked = "\n".join(line(1) + " " + word()[:4] + "#" * (i % 2 + 1) for i in range(80))
+    odd = {1000: (doubled, "n_dup_lines"), 1001: (repeated, "n_repeat_words"), 1002: (marked, "n_symbols")}
+    said = {r.doc_id: r for r in quality.judge(docs(*clean, *((d, t) for d, (t, _) in odd.items()))).collect()}
+    for d, (_, column) in odd.items():
+        assert said[d][column] > 0 and not said[d].base_failed and not said[d].kept, column
+    assert all(said[i].kept for i in range(200))
+
+
+def test_small_sources_are_judged_by_their_language_and_then_by_all(docs):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(30 + i % 50))
+    d = docs(*((i, text(i), ("en", "big")) for i in range(200)), *((i, text(i), ("en", "small")) for i in range(200, 240)), *((i, text(i), (None, "s")) for i in range(240, 250)))
+    got = {(r.of_lang, r.of_source): r.n for r in quality.limits(quality.statistics(d)).collect()}
+    assert got == {("en", "big"): 200, ("en", "small"): 240, (None, "s"): 250}
+
+
 def test_quality_of_awkward_tables(awkward, nothing):
     out = quality.quality_report(awkward)
     assert out.count() == 10 and out.where("kept").select("doc_id").collect() in ([(6,)], [])

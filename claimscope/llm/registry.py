@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import bpe, jaccard, langid, licenses, linededup, packing, quality, secrets, topk, wrappers
+from claimscope.llm import bpe, jaccard, langid, licenses, linededup, packing, quality, secrets, topk, windows, wrappers
 from claimscope.llm.shared import read
 
 
@@ -47,6 +47,10 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.dedup_report(read(spark, folder, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return windows.window_report(read(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -58,6 +62,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 ORACLE: dict[str, str] = {
     "op1_exact_top_k": """
@@ -73,4 +78,5 @@ ORACLE: dict[str, str] = {
     "op2_ngram_jaccard_join": jaccard.ORACLE,
     "op7_license_scan": licenses.oracle(),
     "op10_line_dedup": linededup.ORACLE,
+    "op12_substring_dedup": windows.ORACLE,
 }

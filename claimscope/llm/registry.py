@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import bpe, jaccard, langid, licenses, linededup, packing, quality, secrets, topk, windows, wrappers
+from claimscope.llm import bpe, centroids, jaccard, langid, licenses, linededup, merkle, packing, quality, secrets, topk, windows, wrappers
 from claimscope.llm.shared import read
 
 
@@ -47,10 +47,18 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.dedup_report(read(spark, folder, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster_report(read(spark, folder, "embeddings"))
+
+
 def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return windows.window_report(read(spark, folder, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest_report(read(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -62,7 +70,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE: dict[str, str] = {
     "op1_exact_top_k": """
@@ -78,5 +88,7 @@ ORACLE: dict[str, str] = {
     "op2_ngram_jaccard_join": jaccard.ORACLE,
     "op7_license_scan": licenses.oracle(),
     "op10_line_dedup": linededup.ORACLE,
+    "op11_centroid_clustering": centroids.ORACLE,
     "op12_substring_dedup": windows.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }

@@ -21,9 +21,10 @@ SELECT "FacilityID" AS id0, "Name" AS facility_name,
   coalesce("capacity", chr(0)), concat_ws(chr(10) || chr(10), CASE WHEN trim("description") <> '' THEN concat('Description: ', "description") END,
   CASE WHEN trim("specialties") <> '' THEN concat('Specialties: ', "specialties") END))) AS digest
 FROM fx_source""",
-    "cleaned": "SELECT CASE WHEN coalesce(id0, '') = '' THEN digest ELSE id0 END AS facility_id, * EXCLUDE (digest), "
+    "placed": "SELECT *, row_number() OVER (PARTITION BY digest, coalesce(id0, '')) - 1 AS copy_no FROM mapped",
+    "cleaned": "SELECT CASE WHEN coalesce(id0, '') <> '' THEN id0 WHEN copy_no = 0 THEN digest ELSE md5(concat(digest, chr(1), copy_no)) END AS facility_id, * EXCLUDE (digest, copy_no), "
     "coalesce(id0, '') = '' AS id_generated, "
-    "coalesce(facility_name, '') IN ('', 'None') AS no_name, coalesce(unstructured_notes, '') IN ('', 'None') AS no_notes FROM mapped",
+    "coalesce(facility_name, '') IN ('', 'None') AS no_name, coalesce(unstructured_notes, '') IN ('', 'None') AS no_notes FROM placed",
 }
 _COLS = "facility_id, facility_name, state, district, pin_code, latitude, longitude, facility_type, bed_count, unstructured_notes"
 

@@ -18,8 +18,8 @@ def _letters():
 
 
 def _query_vector(v: Views):
-    """The vector all rows are compared with, as a scalar subquery."""
-    return v.embeddings.where("vec_id = 0").select("embedding").scalar()
+    """The vector all rows are compared with, as a table of one row."""
+    return v.embeddings.where("vec_id = 0").select("embedding")
 
 
 def _centroids(v: Views):
@@ -113,7 +113,7 @@ QUERIES = {
         vectors.embed(_profiles(v)), VF.hashed_terms("'dialysis in NATION_3'")
     ).select("facility_id", F.round("similarity", 6).alias("similarity"), "snippet"),
     "embedding_stats": lambda v: vectors.stats(v.embeddings),
-    "lexical_search": lambda v: _flat(search.lexical_search(v.queries, v.raw, v.structured, v.trust)),
+    "lexical_search": lambda v: _flat(search.lexical_search(v.query_log, v.raw, v.structured, v.trust)),
     "parse_intents": lambda v: _intents(v).select(
         "query_id", *_joined("capabilities", "operational_constraints"), "location_state", "location_district",
         "location_pin_code", "max_distance_km", "min_trust_score",
@@ -169,17 +169,33 @@ _EMB = {"prof": _PROFILE_TEXT, **_hashed("prof", "facility_id", "profile_text")}
 _QV = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
 _COS = f"list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_QV})"
 
+# Queries that match the same terms share one row of ``need``, which is scored against every facility.
 _LEXICAL = {
-    "q": "SELECT query_id, query, lower(query) AS ql, list_filter(string_split_regex(lower(query), '\\s+'), lambda x: x <> '') AS ws FROM fx_queries",
-    "f": "SELECT r.*, coalesce(t.trust_score, 50) AS ts, (SELECT coalesce(list(lower(capability) ORDER BY k), []) FROM fx_claims c "
-    "WHERE c.facility_id = r.facility_id) AS caps, lower(coalesce(unstructured_notes, '')) AS n FROM fx_facilities_raw r LEFT JOIN fx_trust_scores t USING (facility_id)",
-    "s": "SELECT query_id, query, facility_id, facility_name, state, district, ts, "
-    "list_filter(caps, lambda c: contains(ql, c) OR len(list_filter(ws, lambda w: contains(c, w))) > 0) AS m, "
-    "CASE WHEN contains(ql, lower(state)) OR contains(ql, lower(district)) THEN 30 ELSE 0 END + "
-    "CASE WHEN contains(ql, lower(facility_type)) THEN 20 ELSE 0 END + "
-    "25 * len(list_filter(caps, lambda c: contains(ql, c) OR len(list_filter(ws, lambda w: contains(c, w))) > 0)) + "
-    "5 * len(list_filter(ws, lambda w: length(w) > 3 AND contains(n, w))) + ts // 10 AS score FROM q, f",
-    "r": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, facility_id) AS rank FROM s WHERE score > 0",
+    "q": "SELECT DISTINCT lower(query) AS ql, list_filter(string_split_regex(lower(query), '\\s+'), lambda x: x <> '') AS ws FROM fx_query_log",
+    "c": "SELECT facility_id, list(lower(capability) ORDER BY k) AS caps FROM fx_claims GROUP BY 1",
+    "n": "SELECT facility_id, lower(unstructured_notes) AS n FROM fx_facilities_raw WHERE unstructured_notes IS NOT NULL",
+    "wd": "SELECT DISTINCT unnest(ws) AS w FROM q",
+    "wf": "SELECT w, facility_id FROM wd JOIN n ON contains(n, w) WHERE length(w) > 3",
+    "held": "SELECT facility_id, list(w) AS held FROM wf GROUP BY 1",
+    "known": "SELECT list(DISTINCT w) AS known FROM wf",
+    "pl": "SELECT DISTINCT unnest([lower(state), lower(district)]) AS p FROM fx_facilities_raw",
+    "kd": "SELECT DISTINCT lower(facility_type) AS p FROM fx_facilities_raw",
+    "cp": "SELECT DISTINCT lower(capability) AS p FROM fx_claims",
+    "qp": "SELECT ql, list(p ORDER BY p) AS pl FROM q JOIN pl ON contains(ql, p) GROUP BY 1",
+    "qk": "SELECT ql, list(p ORDER BY p) AS kd FROM q JOIN kd ON contains(ql, p) GROUP BY 1",
+    "cw": "SELECT w, list(p) AS ps FROM wd JOIN cp ON contains(p, w) GROUP BY 1",
+    "qc": "SELECT ql, list(DISTINCT p ORDER BY p) AS cp FROM (SELECT ql, p FROM q JOIN cp ON contains(ql, p) UNION SELECT ql, unnest(ps) FROM (SELECT ql, unnest(ws) AS w FROM q) JOIN cw USING (w)) GROUP BY 1",
+    "qs": "SELECT ql, ws, coalesce(pl, []) AS pl, coalesce(kd, []) AS kd, coalesce(cp, []) AS cp, list_sort(list_filter(ws, lambda x: list_contains(coalesce(known, []), x))) AS wd "
+    "FROM q CROSS JOIN known LEFT JOIN qp USING (ql) LEFT JOIN qk USING (ql) LEFT JOIN qc USING (ql)",
+    "needs": "SELECT row_number() OVER () AS need, * FROM (SELECT DISTINCT pl, kd, cp, wd FROM qs)",
+    "f": "SELECT r.*, coalesce(t.trust_score, 50) AS ts, coalesce(caps, []) AS caps, coalesce(held, []) AS held FROM fx_facilities_raw r "
+    "LEFT JOIN fx_trust_scores t USING (facility_id) LEFT JOIN c USING (facility_id) LEFT JOIN held USING (facility_id)",
+    "s": "SELECT need, facility_id, CASE WHEN list_contains(pl, lower(state)) OR list_contains(pl, lower(district)) THEN 30 ELSE 0 END + "
+    "CASE WHEN list_contains(kd, lower(facility_type)) THEN 20 ELSE 0 END + 25 * len(list_filter(caps, lambda x: list_contains(cp, x))) + "
+    "5 * len(list_filter(wd, lambda x: list_contains(held, x))) + ts // 10 AS score FROM needs, f",
+    "b": "SELECT *, row_number() OVER (PARTITION BY need ORDER BY score DESC, facility_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5",
+    "r": "SELECT query_id, query, rank, f.*, score, list_filter(caps, lambda x: contains(qs.ql, x) OR len(list_filter(ws, lambda w: contains(x, w))) > 0) AS m "
+    "FROM fx_query_log l JOIN qs ON qs.ql = lower(l.query) JOIN needs USING (pl, kd, cp, wd) JOIN b USING (need) JOIN f USING (facility_id)",
 }
 _INTENT = {
     "ij": r"SELECT query_id, nullif(regexp_extract(response, '(?s)\{.*\}', 0), '') AS j FROM fx_intent_output",
@@ -294,7 +310,7 @@ ORACLE = {
     "FROM (SELECT *, sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) OVER (PARTITION BY facility_id) AS pn FROM prof_v) p JOIN one_v o USING (b) GROUP BY 1) "
     "JOIN prof USING (facility_id) ORDER BY sim DESC, facility_id LIMIT 10",
     "embedding_stats": "SELECT count(*) AS total, count(embedding) AS embeddings_created, CAST(max(len(embedding)) AS INT) AS embedding_dimensions FROM embeddings",
-    "lexical_search": ctes(["fx_facilities_raw", "fx_claims", "fx_trust_scores", "fx_queries"], _LEXICAL)
+    "lexical_search": ctes(["fx_facilities_raw", "fx_claims", "fx_trust_scores", "fx_query_log"], _LEXICAL)
     + "SELECT query_id, CAST(rank AS INT) AS rank, facility_id, facility_name, state, district, CAST(score AS BIGINT) AS score, ts AS trust_score, "
     "array_to_string(list_transform(m, lambda c: array_to_string(list_transform(regexp_extract_all(c, '[a-z]+|[^a-z]+'), "
     "lambda x: concat(upper(x[1]), x[2:])), '')), '|') AS matching_capabilities, "

@@ -91,6 +91,7 @@ SELECT CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 9 = 1 THEN '' ELSE
  CASE WHEN c_custkey % 4 <= 1 THEN NULL ELSE 'cardiology' END AS "specialties",
  concat('', c_custkey % 11) AS "unused"
 FROM customer
+UNION ALL SELECT NULL, 'Relief Camp', 'NATION_1', 'D1', '100010', '12.5', '75.5', 'BUILDING', '20', 'Tent', NULL, '0' FROM customer WHERE c_custkey % 9 = 2
 """
 
 _NOTES = """

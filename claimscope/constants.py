@@ -61,3 +61,6 @@ PIN_REGIONS = {
     "5": (17.4, 78.5), "6": (13.0, 77.5), "7": (22.6, 88.4), "8": (23.0, 72.6),
 }
 PIN_REGION_FALLBACK = (22.5, 78.5)
+
+# Fixed value: the sentence of a lexical search result (query, points, trust score).
+LEXICAL_JUSTIFICATION = "Matched query '%s' with relevance score %d. Trust score: %d/100."

@@ -9,9 +9,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.sources.tables import scan_or_none
+
 # Tasks receive these helpers with their closure, so executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -77,6 +79,58 @@ def batch_embed(
     return _map(df, id_col, text_col, fn, batch_size, "embedding", "array<float>")
 
 
+def prompt_digest(text_col: str = "prompt") -> Column:
+    return F.sha2(F.col(text_col).cast("binary"), 256)
+
+
+def latest(work: DataFrame, model_name: str) -> DataFrame:
+    """``digest, response, error, attempts`` of each prompt a model was asked: its answer, or its last error."""
+    rows = work.where(F.col("model") == model_name)
+    best = F.struct(F.col("error").isNull().alias("ok"), "attempt")
+    return rows.groupBy("digest").agg(F.max_by("response", best).alias("response"), F.max_by("error", best).alias("error"), F.max("attempt").alias("attempts"))
+
+
+def infer_resumed(
+    df: DataFrame, fn: BatchText, table: str, model_name: str, id_col: str = "facility_id", text_col: str = "prompt",
+    batch_size: int = 20, slices: int = 8, max_attempts: int = 3, fmt: str = "parquet",
+) -> DataFrame:
+    """``(id, response, error, attempts)`` by way of a work table that outlives a run.
+
+    The work table is keyed by the digest of the prompt and the name of the model: equal prompts are asked once, and a
+    prompt with an answer never again. Prompts are dealt into ``slices`` by digest, and each slice's answers are saved
+    before the next is asked, so a run that dies is asked only for the rest when it is repeated. A failed prompt is asked
+    again by every later run, up to ``max_attempts`` times in all. Blank prompts are not asked; their row says so.
+    """
+    spark = df.sparkSession
+    if scan_or_none(spark, table) is None:
+        empty = spark.createDataFrame([], "digest string, model string, response string, error string, attempt int")
+        empty.write.format(fmt).mode("append").saveAsTable(table)
+    asked = df.where(F.trim(text_col) != "").select(prompt_digest(text_col).alias("digest"), F.col(text_col).alias("_text"))
+    part = F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint"), F.lit(slices))
+    for i in range(slices):
+        known = latest(spark.table(table), model_name).select("digest", F.col("error").isNull().alias("_done"), "attempts")
+        mine = asked.where(part == i).groupBy("digest").agg(F.first("_text").alias("_text"))
+        open_ = mine.join(known, "digest", "left").where((F.coalesce("_done", F.lit(False)) == F.lit(False)) & (F.coalesce("attempts", F.lit(0)) < max_attempts))
+        numbered = open_.select(F.struct("digest", (F.coalesce("attempts", F.lit(0)) + 1).alias("attempt")).alias("_key"), "_text")
+        numbered = numbered.select(F.to_json("_key").alias("_key"), "_text")
+        got = _map(numbered, "_key", "_text", fn, batch_size, "response", "string").withColumn("_key", F.from_json("_key", "digest string, attempt int"))
+        rows = got.select("_key.digest", F.lit(model_name).alias("model"), "response", "error", F.col("_key.attempt").cast("int").alias("attempt"))
+        rows.write.format(fmt).mode("append").saveAsTable(table)
+    answers = latest(spark.table(table), model_name)
+    joined = df.select(id_col, prompt_digest(text_col).alias("digest"), (F.coalesce(F.trim(text_col), F.lit("")) == "").alias("_blank")).join(answers, "digest", "left")
+    error = F.when(F.col("_blank"), F.lit("empty text")).otherwise(F.col("error"))
+    return joined.select(id_col, F.when(~F.col("_blank"), F.col("response")).alias("response"), error.alias("error"), F.when(F.col("_blank"), 0).otherwise(F.col("attempts")).alias("attempts"))
+
+
+def attempt_stats(work: DataFrame, model_name: str) -> DataFrame:
+    """One row over all attempts of a model: prompts, answered, still failing, attempts and failed attempts."""
+    per_prompt = latest(work, model_name).agg(
+        F.count(F.lit(1)).alias("prompts"), F.count_if(F.col("error").isNull()).alias("answered"), F.count_if(F.col("error").isNotNull()).alias("failing"),
+    )
+    tries = work.where(F.col("model") == model_name).agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("error").isNotNull()).alias("failed_attempts"))
+    return per_prompt.select("*", tries.select("attempts").scalar().alias("attempts"), tries.select("failed_attempts").scalar().alias("failed_attempts"))
+
+
 def count_errors(responses: DataFrame) -> DataFrame:
     return responses.agg(
         F.count(F.lit(1)).alias("total"),

@@ -5,6 +5,7 @@ the first non-null value in source order wins.
 """
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimscope import constants as K
@@ -78,10 +79,28 @@ def needs_id(c: Column) -> Column:
     return c.isNull() | (c == "")
 
 
-def filled_id(row: list[str] = TARGETS, key: str = "facility_id") -> Column:
-    """The id, or a digest of the row where it is missing: the same on every retry."""
-    parts = [F.coalesce(F.col(c), F.lit("\u0000")) for c in row if c != key]
-    return F.when(needs_id(F.col(key)), F.md5(F.concat_ws("\u0001", *parts))).otherwise(F.col(key))
+def row_digest(row: list[str] = TARGETS, key: str = "facility_id") -> Column:
+    return F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("\u0000")) for c in row if c != key]))
+
+
+def filled_ids(rows: DataFrame, key: str = "facility_id") -> DataFrame:
+    """Rows with ``id_generated``, and an id where it was missing: a digest of the row, the same in every run.
+
+    Of equal rows without id, the first gets the digest, the others one of the digest and their number. Equal rows
+    are counted, never gathered: counts by partition, the sum of those before it as the offset of each, and the
+    rows made again from their counts. What one task sees of a row that a third of the table repeats is one line a
+    partition, and its copies are made where those lines were dealt to.
+    """
+    missing = needs_id(F.col(key))
+    cols = [c for c in rows.columns if c != key]
+    bare = rows.where(missing).select(*cols, row_digest().alias("_digest"), F.spark_partition_id().alias("_part"))
+    counts = bare.groupBy("_digest", "_part", *cols).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_digest").orderBy("_part")) - F.col("_n")
+    dealt = counts.withColumn("_before", before).repartition("_digest", "_part")
+    each = dealt.withColumn("_at", F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("_n") - 1)))
+    made = F.when(F.col("_at") == 0, F.col("_digest")).otherwise(F.md5(F.concat_ws("\u0001", "_digest", F.col("_at").cast("string"))))
+    named = rows.where(~missing).withColumn("id_generated", F.lit(False))
+    return named.unionByName(each.select(made.alias(key), *cols, F.lit(True).alias("id_generated")))
 
 
 def pin_text(c: Column) -> Column:
@@ -116,12 +135,11 @@ def missing_fields() -> Column:
 
 def clean(source: DataFrame, ingested_at=None) -> DataFrame:
     """Every source row in target form, with ``id_generated`` and ``missing_fields``."""
-    mapped = map_columns(source).withColumn("id_generated", needs_id(F.col("facility_id")))
+    mapped = filled_ids(map_columns(source))
     defaulted = {
         c: with_default(pin_text(F.col(c)) if c == "pin_code" else F.col(c), d) for c, d in K.DEFAULTS.items()
     }
     typed = {
-        "facility_id": filled_id(),
         "latitude": to_double(F.col("latitude")),
         "longitude": to_double(F.col("longitude")),
         "bed_count": to_beds(F.col("bed_count")),

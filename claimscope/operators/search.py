@@ -12,143 +12,11 @@ from pyspark.sql import functions as F
 from claimscope import constants as K
 from claimscope.functions import classify, text
 from claimscope.functions.geo import haversine_km
+from claimscope.operators.lexical import lexical_search  # noqa: F401
 from claimscope.operators.nearest import within_each
+from claimscope.operators.substrings import contained
 from claimscope.schemas import INTENT_TEXT
 
-LONGEST_KEY = 40      # join on at most this many leading characters of a term
-
-
-# --- Substring joins ----------------------------------------------------------
-def contained(texts: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term") -> DataFrame:
-    """Distinct ``(text, term)`` with the term somewhere in the text, for short texts.
-
-    Every text is cut into its substrings of the lengths that occur among the terms, and
-    those are joined for equality: no pair is tried that does not share the substring.
-    """
-    t = terms.select(F.col(term_col).alias("term")).where(F.length("term") > 0).distinct()
-    key_len = F.least(F.length("term"), F.lit(LONGEST_KEY))
-    lengths = t.agg(F.collect_set(key_len).alias("ls")).scalar()  # at most LONGEST_KEY numbers
-    x = texts.select(F.col(text_col).alias("text")).where(F.length("text") > 0).distinct()
-    cut = x.select("text", F.explode(lengths).alias("n")).where(F.col("n") <= F.length("text"))
-    # Cut from an array of characters: substring() would walk the text from its start each time.
-    pieces = text.each(
-        cut,
-        "get(transform(array(split(text, '')), ch -> array_distinct(transform(sequence(1, length(text) - n + 1), "
-        "i -> array_join(slice(ch, i, n), '')))), 0)",
-        "key",
-    ).select("text", "key")
-    keyed = t.select("term", F.substring("term", 1, LONGEST_KEY).alias("key"))
-    return pieces.join(keyed, "key").where(F.col("text").contains(F.col("term"))).select("text", "term").distinct()
-
-
-def words_in_notes(notes: DataFrame, words: DataFrame) -> DataFrame:
-    """``(facility_id, word)`` for every query word that occurs in a facility's whole notes.
-
-    A word holds no blanks, so it lies within one blank-free piece of the note: words are
-    matched against the distinct pieces of all notes, and the matches joined back.
-    """
-    w = words.select("word").distinct()
-    n = notes.select("facility_id", F.lower("unstructured_notes").alias("n")).where("n is not null")
-    pieces = text.each(n, "array_distinct(split(n, '\\\\s+'))", "piece").select("facility_id", "piece")
-    hits = contained(pieces, w, "piece", "word")
-    return pieces.join(hits.select(F.col("text").alias("piece"), F.col("term").alias("word")), "piece").select(
-        "facility_id", "word"
-    ).distinct()
-
-
-# --- Lexical search -----------------------------------------------------------
-def lexical_search(
-    queries: DataFrame, raw: DataFrame, structured: DataFrame, trust: DataFrame, max_results: int = 5
-) -> DataFrame:
-    """The best facilities per query by lexical relevance.
-
-    Points: 30 when the state or district stands in the query, 20 for the facility type, 25
-    per claim that stands in the query or contains one of its words, 5 per query word longer
-    than three characters in the notes, plus a tenth of the trust score (missing counts 50).
-    Matching is by substring and ignores case; every match adds at least 5 points, so a
-    facility without any can only win a place if it is among the best ``max_results`` by
-    trust alone. Those few are added to every query; all other pairs come from matches.
-    """
-    q = queries.select("query_id", "query", F.lower("query").alias("ql"))
-    fac = raw.select(
-        "facility_id", "facility_name", "state", "district",
-        F.lower("state").alias("s"), F.lower("district").alias("d"), F.lower("facility_type").alias("t"),
-    )
-    base = F.floor(F.coalesce("trust_score", F.lit(K.DEFAULT_QUERY_TRUST)) / 10).cast("bigint")
-    scored = raw.select("facility_id").join(trust.select("facility_id", "trust_score"), "facility_id", "left").withColumn(
-        "base", base
-    )
-    none = F.lit(0).cast("bigint")
-
-    def points(df: DataFrame, place: Column = none, kind: Column = none, caps: Column = none, words: Column = none) -> DataFrame:
-        return df.select("query_id", "facility_id", place.alias("place"), kind.alias("kind"), caps.alias("caps"), words.alias("words"))
-
-    # Terms that stand in a query.
-    places = fac.select(F.col("s").alias("term")).union(fac.select("d")).union(fac.select("t"))
-    claims = text.each(structured, "verified_capabilities", "c").select("facility_id", F.lower("c.capability").alias("cap"))
-    per_claim = claims.where("cap <> ''").groupBy("facility_id", "cap").agg(F.count(F.lit(1)).alias("n"))
-    names = per_claim.select("cap").distinct()
-    in_query = q.select("query_id", F.col("ql").alias("text")).join(
-        contained(q.select(F.col("ql").alias("text")), places.union(names)), "text"
-    ).select("query_id", "term")
-    thirty = F.lit(30).cast("bigint")
-    hits = [
-        points(in_query.join(fac.select("facility_id", F.col("s").alias("term")), "term"), place=thirty),
-        points(in_query.join(fac.select("facility_id", F.col("d").alias("term")), "term"), place=thirty),
-        points(in_query.join(fac.select("facility_id", F.col("t").alias("term")), "term"), kind=F.lit(20).cast("bigint")),
-    ]
-
-    # Claims: the name in the query, or a query word in the name.
-    word_rows = text.each(q, text.words(F.col("ql")), "word").select("query_id", "word")
-    word_in_name = contained(names.select(F.col("cap").alias("text")), word_rows.select(F.col("word").alias("term")))
-    query_caps = (
-        in_query.join(names.withColumnRenamed("cap", "term"), "term", "left_semi").select("query_id", F.col("term").alias("cap"))
-        .union(word_rows.join(word_in_name.withColumnRenamed("term", "word"), "word").select("query_id", F.col("text").alias("cap")))
-        .distinct()
-    )
-    hits.append(points(query_caps.join(per_claim, "cap"), caps=F.col("n") * 25))
-
-    # Words of the notes; a word repeated in the query counts again.
-    long_words = word_rows.where(F.length("word") > 3).groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    hits.append(points(long_words.join(words_in_notes(raw, long_words), "word"), words=F.col("n") * 5))
-
-    # The best by trust alone, the same few for every query.
-    top = scored.select("facility_id", "base").orderBy(F.desc("base"), "facility_id").limit(max_results)
-    top_ids = top.agg(F.collect_list("facility_id").alias("ids")).scalar()  # at most max_results ids
-    hits.append(points(q.select("query_id", F.explode(top_ids).alias("facility_id"))))
-
-    all_hits = hits[0]
-    for h in hits[1:]:
-        all_hits = all_hits.unionByName(h)
-    pairs = all_hits.groupBy("query_id", "facility_id").agg(
-        (F.max("place") + F.max("kind") + F.sum("caps") + F.sum("words")).alias("lexical")
-    )
-    ranked = (
-        pairs.join(scored, "facility_id")
-        .withColumn("score", F.col("lexical") + F.col("base"))
-        .where(F.col("score") > 0)
-        .withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "facility_id")))
-        .where(F.col("rank") <= max_results)
-    )
-    shown = (
-        ranked.join(q, "query_id").join(fac.select("facility_id", "facility_name", "state", "district"), "facility_id")
-        .join(structured.select("facility_id", "verified_capabilities"), "facility_id", "left")
-    )
-    lowered = "transform(coalesce(verified_capabilities, array()), c -> lower(c.capability))"
-    matched = F.expr(
-        f"filter({lowered}, c -> c <> '' and (contains(ql, c) or "
-        "exists(filter(split(ql, '\\\\s+'), w -> w <> ''), w -> contains(c, w))))"
-    )
-    score_shown = F.coalesce("trust_score", F.lit(K.DEFAULT_QUERY_TRUST))
-    return shown.select(
-        "query_id", "rank", "facility_id", "facility_name", "state", "district", "score",
-        score_shown.alias("trust_score"),
-        F.transform(matched, text.title_case).alias("matching_capabilities"),
-        F.format_string(
-            "Matched query '%s' with relevance score %d. Trust score: %d/100.", F.col("query"), F.col("score"), score_shown
-        ).alias("justification"),
-    )
-
 
 # --- Intents ------------------------------------------------------------------
 def _blank_to_null(c: str) -> Column:

@@ -48,8 +48,8 @@ def search_profiles(raw: DataFrame, structured: DataFrame, notes_chars: int | No
 
 
 def embed(profiles: DataFrame, dims: int = 64) -> DataFrame:
-    """Profiles with the built-in hashed-terms vector: no model, no Python."""
-    return profiles.withColumn("embedding", vectors.hashed_terms("profile_text", dims))
+    """Profiles with the built-in hashed-terms vector: no model; words are hashed in Arrow batches."""
+    return profiles.withColumn("embedding", vectors.hashed_terms_of(F.col("profile_text"), dims))
 
 
 def embed_with(profiles: DataFrame, fn: infer.BatchVector, batch_size: int = 20) -> DataFrame:
@@ -58,12 +58,29 @@ def embed_with(profiles: DataFrame, fn: infer.BatchVector, batch_size: int = 20)
     return profiles.join(got, "facility_id", "left").select("facility_id", "profile_text", "embedding")
 
 
-def with_similarity(stored: DataFrame, query_vector, vec_col: str = "embedding") -> DataFrame:
-    """Cosine similarity of each row with one query vector (a list, or a Column such as
-    a scalar subquery). Rows without a similarity are dropped."""
-    q = F.lit([float(v) for v in query_vector]) if isinstance(query_vector, (list, tuple)) else query_vector
-    sim = vectors.cosine(F.col(vec_col), F.col("_query"))
-    return stored.withColumn("_query", q).withColumn("similarity", sim).drop("_query").where(F.col("similarity").isNotNull())
+def with_norm(stored: DataFrame, vec_col: str = "embedding", norm_col: str = "norm") -> DataFrame:
+    """Rows with the length of their vector, to be stored beside it."""
+    return stored.withColumn(norm_col, vectors.norm(F.col(vec_col)))
+
+
+def with_similarity(stored: DataFrame, query_vector, vec_col: str = "embedding", norm_col: str | None = None) -> DataFrame:
+    """Cosine similarity of each row with one query vector: a list, a Column, or a DataFrame of one
+    row whose first column it is. The length of a list or of a DataFrame's vector is computed once,
+    and that of a stored vector is read from ``norm_col`` where given. Rows without a similarity are dropped."""
+    if isinstance(query_vector, DataFrame):
+        v = F.col(query_vector.columns[0])
+        one = query_vector.select(F.struct(v.alias("v"), vectors.norm(v).alias("n"))).scalar()
+        kept = stored.withColumn("_one", one)
+        query, length = F.col("_one.v"), F.col("_one.n")
+    elif isinstance(query_vector, (list, tuple)):
+        values = [float(v) for v in query_vector]
+        kept, query, length = stored, F.lit(values), F.lit(float(np.sqrt(np.square(values).sum())))
+    else:
+        kept = stored.withColumn("_one", query_vector)
+        query, length = F.col("_one"), vectors.norm(F.col("_one"))
+    own = vectors.norm(F.col(vec_col)) if norm_col is None else F.col(norm_col)
+    sim = F.try_divide(vectors.dot(F.col(vec_col), query), own * length)
+    return kept.withColumn("similarity", sim).drop("_one").where(F.col("similarity").isNotNull())
 
 
 def topk(stored: DataFrame, query_vector, k: int = 10, id_col: str = "facility_id", vec_col: str = "embedding") -> DataFrame:
@@ -149,12 +166,12 @@ def topk_batch(
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for s_ids, s_vecs, q_ids, q_vecs in zip(f["s_ids"], f["s_vecs"], f["q_ids"], f["q_vecs"]):
-                q = _unit_rows(np.array([list(v) for v in q_vecs], dtype=float))
+                q = _unit_rows(np.stack(q_vecs).astype(float))
                 fine = ~np.isnan(q).any(axis=1)
                 names, q = np.array(list(q_ids), dtype=object)[fine], q[fine]
                 best, ids = _Best(len(names), k), np.array(list(s_ids), dtype=object)
                 for lo in range(0, len(ids) if len(names) else 0, _ROWS):
-                    unit = _unit_rows(np.array([list(v) for v in s_vecs[lo:lo + _ROWS]], dtype=float))
+                    unit = _unit_rows(np.stack(s_vecs[lo:lo + _ROWS]).astype(float))
                     good = ~np.isnan(unit).any(axis=1)
                     if good.any():
                         best.add(ids[lo:lo + _ROWS][good], unit[good] @ q.T)

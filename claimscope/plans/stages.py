@@ -14,6 +14,13 @@ from claimscope.operators import extract, geo, infer, ingest, trust, vectors
 from claimscope.sources import tables
 
 
+def _saved(df: DataFrame, name: str, overwrite: bool, fmt: str, run: str | None) -> None:
+    if run is None:
+        tables.save(df, name, overwrite, fmt)
+    else:
+        tables.save_run(df, name, run, fmt=fmt)
+
+
 def ingestion(
     spark: SparkSession, source_path: str, target: str, sample_size: int | None = None, overwrite: bool = True,
     fmt: str = "parquet", ingested_at: dt.datetime | None = None, multi_line: bool = False,
@@ -34,14 +41,20 @@ def extraction(
     spark: SparkSession, source: str, target: str, citations_target: str, responses_target: str,
     model: infer.BatchText, sample_size: int | None = None, overwrite: bool = True, fmt: str = "parquet",
     model_name: str = "model", extracted_at: dt.datetime | None = None, partitions: int | None = None,
+    work_table: str | None = None, max_attempts: int = 3, run: str | None = None,
 ) -> DataFrame:
     """Notes -> model answers (saved first) -> typed profiles and citations.
 
     Parsing reads the saved answers, so it can be repeated without the model. The answers
-    table holds the last run only, also when the targets are appended to.
+    table holds the last run only, also when the targets are appended to. With a ``work_table``
+    answers are kept over runs, and a run asks only for what has none. With ``run``, the targets
+    are appended to by run: repeating a run replaces its rows.
     """
     raw = tables.require_rows(ingest.head(tables.scan(spark, source), sample_size), source)
-    answers = infer.batch_infer(extract.prompts(raw), model, partitions=partitions)
+    if work_table is None:
+        answers = infer.batch_infer(extract.prompts(raw), model, partitions=partitions)
+    else:
+        answers = infer.infer_resumed(extract.prompts(raw), model, work_table, model_name, max_attempts=max_attempts, fmt=fmt).drop("attempts")
     tables.save(answers, responses_target, True, fmt)
     saved = tables.scan(spark, responses_target)
     profiles = extract.parse_profiles(saved.where(F.col("error").isNull()).drop("error"))
@@ -50,19 +63,20 @@ def extraction(
     stamped = good.withColumns(
         {"extraction_model": F.lit(model_name), "extracted_at": F.lit(at).cast("timestamp")}
     )
-    tables.save(stamped, target, overwrite, fmt)
-    tables.save(extract.citations(good), citations_target, overwrite, fmt)
+    _saved(stamped, target, overwrite, fmt, run)
+    _saved(extract.citations(good), citations_target, overwrite, fmt, run)
     return extract.stats(extract.outcomes(raw, saved))
 
 
 def trust_debate(
     spark: SparkSession, raw: str, structured: str, target: str, contradictions_target: str, responses_target: str,
     model: infer.BatchText, sample_size: int | None = None, overwrite: bool = True, fmt: str = "parquet",
-    debated_at: dt.datetime | None = None, partitions: int | None = None,
+    debated_at: dt.datetime | None = None, partitions: int | None = None, run: str | None = None,
 ) -> DataFrame:
     """Two opposed answers per facility, a verdict on both, then scores and contradictions.
 
-    The answers of each round are saved before the next round reads them.
+    The answers of each round are saved before the next round reads them. With ``run``, the
+    targets are appended to by run: repeating a run replaces its rows.
     """
     s = tables.require_rows(tables.scan(spark, structured), structured)
     facts = trust.profile_summary(ingest.head(trust.debate_input(tables.scan(spark, raw), s), sample_size))
@@ -82,8 +96,8 @@ def trust_debate(
         .withColumns({"mlflow_run_id": F.lit(None).cast("string"), "debated_at": F.lit(at).cast("timestamp")})
     )
     contras = trust.contradictions(skeptic.join(judge, "facility_id", "left_semi"), column="skeptic_argument")
-    tables.save(scores, target, overwrite, fmt)
-    tables.save(contras, contradictions_target, overwrite, fmt)
+    _saved(scores, target, overwrite, fmt, run)
+    _saved(contras, contradictions_target, overwrite, fmt, run)
     return trust.debate_stats(scores, contras, facts)
 
 

@@ -1,6 +1,7 @@
 """Tabular sources, table scans, saves and preconditions."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
@@ -48,6 +49,21 @@ def save(df: DataFrame, name: str, overwrite: bool = True, fmt: str = "parquet",
     w.saveAsTable(name)
 
 
+def save_run(df: DataFrame, name: str, run: str, column: str = "run_key", fmt: str = "parquet") -> None:
+    """Append ``df`` as the rows of one run: a rerun with the same key replaces its own rows, and only those.
+
+    The key is the last column and the partition of the table; ``run`` is written in full even where ``df`` is
+    empty, so a rerun that finds nothing leaves nothing.
+    """
+    spark = df.sparkSession
+    rows = df.drop(column)
+    if scan_or_none(spark, name) is None:
+        rows.limit(0).withColumn(column, F.lit(run)).write.format(fmt).partitionBy(column).mode("append").saveAsTable(name)
+    order = ", ".join(f"`{c.replace('`', '``')}`" for c in scan(spark, name).columns if c != column)
+    value = run.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION (`{column}` = '{value}') SELECT {order} FROM {{rows}}", rows=rows)
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """The table itself, or an error when it is empty. Looks for one row only."""
     if df.isEmpty():

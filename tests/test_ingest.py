@@ -4,7 +4,11 @@ from claimscope.operators import ingest, quality
 
 
 def clean(spark, rows, schema):
-    return {i: r for i, r in enumerate(ingest.clean(spark.createDataFrame(rows, schema), dt.datetime(2024, 1, 2)).collect())}
+    """Cleaned rows by number, in order of their ids; rows come back in any order, so those without ids get numbered ones."""
+    if "id string" not in schema:
+        rows, schema = [(*r, f"{i:04d}") for i, r in enumerate(rows)], schema + ", facility_id string"
+    cleaned = ingest.clean(spark.createDataFrame(rows, schema), dt.datetime(2024, 1, 2)).collect()
+    return dict(enumerate(sorted(cleaned, key=lambda r: r.facility_id)))
 
 
 def test_column_names():
@@ -78,3 +82,14 @@ def test_quality_reports(spark):
     assert quality.coordinates(df.limit(0)).first().pct_with_coordinates is None
     n = {r.field: r.n_null for r in quality.null_counts(df, ["state", "district"]).collect()}
     assert n == {"state": 1, "district": 1}
+
+
+def test_equal_rows_without_id_get_different_ids(spark):
+    """A hot equal row spread over many partitions: as many ids as rows, and the same ones in another run."""
+    rows = [(None, "Camp", "note")] * 500 + [("", "Camp", "note")] * 10 + [(f"f{i}", "Camp", "note") for i in range(20)] + [(None, "Other", None)]
+    columns = "facility_id string, Name string, description string"
+    runs = [{r.facility_id for r in ingest.clean(spark.createDataFrame(rows, columns).repartition(n)).where("id_generated").collect()} for n in (1, 7)]
+    assert len(runs[0]) == 511 and runs[0] == runs[1]
+    one = ingest.clean(spark.createDataFrame(rows[-2:], columns)).collect()
+    assert sorted(r.id_generated for r in one) == [False, True] and {r.facility_id for r in one} - {"f19"} <= runs[0]
+    assert ingest.clean(spark.createDataFrame([], columns)).count() == 0

@@ -133,3 +133,72 @@ def test_lookups_of_missing_parts(spark):
     r = lookup.facility_detail(raw, s, t, c, "f1").first()
     assert r.verified_capabilities == [] and r.contradictions == [] and r.trust_score is None
     assert lookup.transcript(t, raw, "f9").first().facility_name == "Unknown"
+
+
+def test_a_rerun_replaces_its_own_rows(spark):
+    save = lambda n, run: tables.save_run(spark.range(n).selectExpr("id", "'x' as a"), "t_runs", run)
+    counts = lambda: {r.run_key: r["count"] for r in spark.table("t_runs").groupBy("run_key").count().collect()}
+    save(3, "2024-01-01")
+    save(5, "it's \\ run 2")
+    assert counts() == {"2024-01-01": 3, "it's \\ run 2": 5}
+    save(4, "2024-01-01")
+    assert counts() == {"2024-01-01": 4, "it's \\ run 2": 5}
+    save(0, "it's \\ run 2")
+    assert counts() == {"2024-01-01": 4}
+    assert spark.table("t_runs").columns == ["id", "a", "run_key"]
+
+
+def test_extraction_by_run_leaves_one_copy(spark):
+    raw = spark.createDataFrame([(f"r{i}", f"N{i}", "T", f"note {i}") for i in range(6)], "facility_id string, facility_name string, facility_type string, unstructured_notes string")
+    raw.write.mode("overwrite").saveAsTable("t_run_raw")
+    for run in ("a", "b", "a"):
+        stages.extraction(spark, "t_run_raw", "t_run_s", "t_run_c", "t_run_answers", make_model(), run=run)
+    assert {r.run_key: r["count"] for r in spark.table("t_run_s").groupBy("run_key").count().collect()} == {"a": 6, "b": 6}
+
+
+def test_inference_resumes(spark):
+    """A model that dies after some answers is asked only for the rest; failures are counted over all attempts."""
+    import os
+
+    from claimscope.operators import infer
+    from pyspark.sql import functions as F
+
+    folder = tempfile.mkdtemp(prefix="claimscope-asked-")
+    rows = [(f"p{i}", f"prompt {i % 30}") for i in range(40)] + [("bad", "always fails"), ("blank", " "), ("none", None)]
+    df = spark.createDataFrame(rows, "facility_id string, prompt string")
+
+    def model(dies):
+        def answer(texts):
+            for t in texts:
+                if dies and t.endswith("7"):
+                    os._exit(1)  # the worker is gone, and with it the job
+                if "fails" in t:
+                    raise RuntimeError("no")
+            for t in texts:
+                with open(f"{folder}/{t}", "a") as f:
+                    f.write("x")
+            return [t.upper() for t in texts]
+
+        return answer
+
+    run = lambda dies: infer.infer_resumed(df, model(dies), "t_work", "m", batch_size=1, slices=12)
+    with pytest.raises(Exception):
+        run(True)
+    before = spark.table("t_work").where(F.col("error").isNull()).count()
+    assert 0 < before < 30
+    saved = {r.digest for r in spark.table("t_work").where(F.col("error").isNull()).collect()}
+    sizes = lambda: {f: os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder)}
+    asked = sizes()
+    got = {r.facility_id: r for r in run(False).collect()}
+    assert len(got) == 43 and all(got[f"p{i}"].response == f"PROMPT {i % 30}" for i in range(40))
+    assert got["bad"].error == "RuntimeError: no" and got["blank"].error == got["none"].error == "empty text"
+    import hashlib
+
+    known = {t for t in asked if hashlib.sha256(t.encode()).hexdigest() in saved}
+    assert len(known) == before and all(sizes()[t] == asked[t] for t in known)  # what was saved is not asked again
+    for _ in range(3):
+        last = run(False)
+    assert {r.facility_id: r.attempts for r in last.collect()}["bad"] == 3
+    s = infer.attempt_stats(spark.table("t_work"), "m").first()
+    assert (s.prompts, s.answered, s.failing, s.attempts, s.failed_attempts) == (31, 30, 1, 33, 3)
+    assert infer.attempt_stats(spark.table("t_work"), "other").first().prompts == 0

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimscope.operators import vectors
 
@@ -47,3 +48,24 @@ def test_failed_embedding_keeps_the_profile(spark):
     assert (s.total, s.embeddings_created, s.embedding_dimensions) == (2, 1, 2)
     none = spark.createDataFrame([("a", None)], "facility_id string, embedding array<float>")
     assert vectors.stats(none).first().embedding_dimensions == 0
+
+
+def test_batched_hashed_terms_equal_the_expression(spark):
+    from claimscope.functions import vectors as V
+
+    texts = ["Dialysis in Bihar", "a a a b", "", "  ", None, "Ünïcode\tTab\x0bÎ \x0c\r\n end", "İstanbul\u00a0x", "word " * 500]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    for dims in (64, 7):
+        rows = df.select("i", V.hashed_terms("t", dims).alias("a"), V.hashed_terms_of(F.col("t"), dims).alias("b")).collect()
+        assert all(r.a == r.b for r in rows), dims
+    assert df.limit(0).select(V.hashed_terms_of(F.col("t")).alias("b")).collect() == []
+
+
+def test_norms_are_read_where_stored(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 0.0])], "facility_id int, embedding array<float>")
+    one = df.where("facility_id = 1").select("embedding")
+    want = {1: 1.0, 4: pytest.approx(0.6)}
+    for q in ([3.0, 4.0], one, one.scalar()):
+        for norm in (None, "norm"):
+            got = vectors.with_similarity(vectors.with_norm(df), q, norm_col=norm)
+            assert {r.facility_id: r.similarity for r in got.collect()} == want

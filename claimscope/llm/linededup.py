@@ -109,7 +109,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
     led = shared.where((F.col("a") > F.col("b.a")) & _fits(F.col("n"), F.col("i"), F.col("b.n"), F.col("b.i"))).select("a", F.col("b.a").alias("b")).distinct()
     wanted = settled(led.join(again, "a", "left_anti"))
     needed = wanted.select("a").unionByName(wanted.select(F.col("b").alias("a"))).distinct()
-    sets = lambda of: lines.withColumn("a", F.struct(*_AT)).join(of, "a", "left_semi").select(*_AT, "toks")
+    # Texts of lines are shuffled and only those of pairs are tokenized: a line takes less room than its tokens.
+    sets = lambda of: tokenized(lines_of(docs).withColumn("a", F.struct(*_AT)).join(of, "a", "left_semi"))
     done = settled(_verified(wanted, sets(needed)).unionByName(again))
     # What is still open meets the other earlier lines of its tokens.
     open_ = shared.select("token", "a", "n", "i", "b").join(done, "a", "left_anti").where(F.col("a") > F.col("b.a"))

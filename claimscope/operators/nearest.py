@@ -1,14 +1,16 @@
 """Exact nearest-point and within-radius joins between two unbounded tables.
 
 Neither side is broadcast and no group is paired with itself. Points are counted
-per cube at a few levels (``geo.LEVELS``); a search walks from coarse cubes to
-fine ones and drops every cube that cannot hold an answer:
+per cube at a few levels (``geo.LEVELS``), a pyramid that is built from the finest
+level up and written once; a search walks from coarse cubes to fine ones and drops
+every cube that cannot hold an answer:
 
 1. the cubes a location lies in give a first upper bound on its distance;
 2. at most 3 x 3 x 3 cubes cover the ball of that radius, most of them empty;
 3. a crowded cube is replaced by its non-empty children, a bounded number, and
-   cubes farther than the best representative are dropped;
-4. what is left is joined with its points.
+   cubes farther than the best representative are dropped, for as long as a crowded
+   cube is left above the finest level;
+4. the points of what is left are compared: cubes that are not crowded list them.
 
 Steps 1-3 only shrink the search: step 4 looks at every point that may still win,
 so the answer is exact however many rounds run. A city that holds a third of all
@@ -20,14 +22,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimscope.functions import geo
+from claimscope.sources.settle import settled
 
-CROWDED = 32                    # cubes with more points than this are split further
+CROWDED = 32                    # cubes with more points than this do not list them
 ROUNDS = len(geo.LEVELS) - 1    # down to the finest level, whatever is left above it
 _SLACK = 1e-9     # rounding allowance of the chord bounds
 
 _PIN = ("px", "py", "pz")
 _REP = ("rep.x", "rep.y", "rep.z")
-_CUBE = ["level", "cell", "n", "copies", "rep"]
+_CUBE = ["level", "cell", "n", "copies", "rep", "members"]
+_SPLIT = f"members is null and level < {geo.LEVELS[-1]}"
 _SIDE = "pow(0.5D, level)"
 
 
@@ -44,31 +48,50 @@ def _points_with_vectors(points: DataFrame) -> DataFrame:
         .selectExpr(
             "category",
             "named_struct('facility_id', first.facility_id, 'trust_score', first.trust_score, "
-            f"'latitude', latitude, 'longitude', longitude, 'x', {x}, 'y', {y}, 'z', {z}) as point",
-            "copies",
+            f"'latitude', latitude, 'longitude', longitude, 'x', {x}, 'y', {y}, 'z', {z}, 'copies', copies) as point",
         )
     )
 
 
-def _by_level(points: DataFrame) -> DataFrame:
-    """Every point once per level, with its cube and the cube above."""
-    at = {lv: geo.cell_at("point.x", "point.y", "point.z", lv) for lv in geo.LEVELS}
-    above = dict(zip(geo.LEVELS[1:], geo.LEVELS))
-    cubes = ", ".join(
-        f"named_struct('level', {lv}, 'cell', {at[lv]}, 'parent_level', {above.get(lv, -1)}, "
-        f"'parent', {at[above[lv]] if lv in above else '-1L'})"
-        for lv in geo.LEVELS
-    )
-    return points.selectExpr("category", "point", "copies", f"inline(array({cubes}))")
+class Pyramid:
+    """Non-empty cubes of all levels, each level made of the one below it, and the points.
 
+    A cube has its number of points and of facilities, one point to stand for it, and its points themselves while
+    they are few: at most ``crowded`` of them, none of which shares a cube of the finest level. Each level is written
+    once, and every search reads the same table.
+    """
 
-def _cubes(levelled: DataFrame) -> DataFrame:
-    """Counts and one representative point per cube. Partial sums run before the shuffle."""
-    return levelled.groupBy("category", "level", "cell", "parent_level", "parent").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("copies").alias("copies"),
-        F.expr("min_by(point, point.facility_id)").alias("rep"),
-    )
+    def __init__(self, points: DataFrame, crowded: int = CROWDED):
+        self.points = settled(_points_with_vectors(points))
+        finest, levels = geo.LEVELS[-1], []
+        below = self.points.selectExpr("category", f"{geo.cell_at('point.x', 'point.y', 'point.z', finest)} as cell", "1L as n", "point.copies as copies", "point as rep")
+        for at in range(len(geo.LEVELS) - 1, -1, -1):
+            sums = [F.sum("n").alias("n"), F.sum("copies").alias("copies"), F.expr("min_by(rep, rep.facility_id)").alias("rep")]
+            if at == len(geo.LEVELS) - 1:  # a cube of this level may hold any number: only a lone point is named
+                cubes = below.groupBy("category", "cell").agg(*sums).withColumn("members", F.expr("if(n = 1, array(rep), null)"))
+            else:  # at most 8 x 8 x 8 children, whose lists are short
+                whole = F.expr(f"if(count(members) = count(1) and sum(n) <= {crowded}, flatten(collect_list(members)), null)").alias("members")
+                cubes = below.groupBy("category", "cell").agg(*sums, whole)
+            up = geo.LEVELS[at - 1] if at else -1
+            parent = geo.cell_at("rep.x", "rep.y", "rep.z", up) if at else "-1L"
+            level = settled(cubes.selectExpr("category", f"{geo.LEVELS[at]} as level", "cell", f"{up} as parent_level", f"{parent} as parent", "n", "copies", "rep", "members"))
+            levels.append(level)
+            below = level.select("category", F.col("parent").alias("cell"), "n", "copies", "rep", "members")
+        self.cubes = levels[0]
+        for level in levels[1:]:
+            self.cubes = self.cubes.unionByName(level)
+
+    def members(self, live: DataFrame, keep: list[str]) -> DataFrame:
+        """``keep`` and ``p``, each point of the cubes of ``live``."""
+        named = live.where("members is not null").selectExpr(*keep, "explode(members) as p")
+        other = live.where("members is null")
+        found = [r.level for r in other.select("level").distinct().collect()]  # the levels are seven
+        if not found:
+            return named
+        cubes = ", ".join(f"named_struct('level', {lv}, 'cell', {geo.cell_at('point.x', 'point.y', 'point.z', lv)})" for lv in sorted(found))
+        levelled = self.points.selectExpr("category", "point as p", f"inline(array({cubes}))")
+        # An inner join, so that adaptive execution may split either side of a large cube.
+        return named.unionByName(other.select(*keep, *(c for c in ("level", "cell", "category") if c not in keep)).join(levelled, ["category", "level", "cell"]).select(*keep, "p"))
 
 
 def _located(locations: DataFrame, key: str) -> DataFrame:
@@ -104,24 +127,13 @@ def _cover(df: DataFrame, radius: str) -> DataFrame:
     )
 
 
-def _or_private_key(wanted: str, keys: list[str]) -> str:
-    """The cube to join on, or a private negative value when no match is wanted.
-
-    Nulls would all meet in one task of the outer join; these values do not.
-    """
-    return f"if({wanted}, cell, -1L - pmod(xxhash64({', '.join(keys)}, cell), {1 << 40}L)) as _at"
-
-
-def _split(df: DataFrame, cubes: DataFrame, keys: list[str], crowded: str) -> DataFrame:
-    """Replace crowded cubes by their non-empty children; keep the others as they are."""
+def _children(df: DataFrame, cubes: DataFrame) -> DataFrame:
+    """The non-empty children of each cube of ``df`` in its place."""
     kids = cubes.selectExpr(
-        "category", "parent_level as level", "parent as _at", "struct(level, cell, n, copies, rep) as kid"
-    )
-    joined = df.selectExpr("*", _or_private_key(crowded, keys)).join(kids, ["category", "level", "_at"], "left")
-    return joined.selectExpr(
-        *[c for c in df.columns if c not in _CUBE],
-        *[f"if(kid is not null, kid.{c}, {c}) as {c}" for c in _CUBE],
+        "category", "parent_level as level", "parent as cell", f"struct({', '.join(_CUBE)}) as kid"
     )
+    joined = df.drop(*(c for c in _CUBE if c not in ("level", "cell"))).join(kids, ["category", "level", "cell"])
+    return joined.drop("level", "cell").selectExpr("*", "kid.*").drop("kid")
 
 
 def nearest(
@@ -139,8 +151,8 @@ def nearest(
     facility id; a category without points gives no row. Returns ``(key, category,
     facility_id, trust_score, km)``.
     """
-    levelled = _by_level(_points_with_vectors(points))
-    cubes = _cubes(levelled)
+    pyramid = points if isinstance(points, Pyramid) else Pyramid(points, crowded)
+    cubes = pyramid.cubes
     here = _located(locations, key)
     ids = [key, "category"]
     rep_chord = geo.chord(_PIN, _REP)
@@ -162,26 +174,21 @@ def nearest(
         .agg(F.min("ub").alias("ub"))
     )
 
-    # 2. Cubes that meet the ball, then 3. split and drop.
+    # 2. Cubes that meet the ball, then 3. split and drop, while some cube's points are not at hand.
     per_search = W.partitionBy(*ids)
 
     def drop_far(df: DataFrame) -> DataFrame:
         best = F.least(F.col("ub"), F.min(F.expr(rep_chord)).over(per_search))
         return df.withColumn("ub", best).where(f"{near} <= ub * {1 + _SLACK!r}D + 1e-12D")
 
-    live = drop_far(
-        _cover(bound, "ub").join(
-            cubes.select("category", "level", "cell", "n", "copies", "rep"), ["category", "level", "cell"]
-        )
-    )
+    live = settled(drop_far(_cover(bound, "ub").join(cubes.select("category", *_CUBE), ["category", "level", "cell"])))
     for _ in range(rounds):
-        live = drop_far(_split(live, cubes, ids, f"n > {crowded}"))
+        if live.where(_SPLIT).isEmpty():
+            break
+        live = settled(drop_far(live.where(f"not ({_SPLIT})").unionByName(_children(live.where(_SPLIT), cubes))))
 
-    # 4. The points of the cubes that are left; a lone point is its own representative.
-    # An inner join, so that adaptive execution may split either side of a large cube.
-    shown = [*ids, "plat", "plon"]
-    opened = live.where("n > 1").join(levelled.select("category", "level", "cell", "point"), ["category", "level", "cell"])
-    found = opened.selectExpr(*shown, "point as p").unionByName(live.where("n = 1").selectExpr(*shown, "rep as p"))
+    # 4. The points of the cubes that are left.
+    found = pyramid.members(live, [*ids, "plat", "plon"])
     km = geo.haversine_sql("plat", "plon", "p.latitude", "p.longitude")
     return (
         found.selectExpr(*ids, f"struct({km} as km, p.facility_id, p.trust_score) as hit")
@@ -220,26 +227,25 @@ def count_within(
     its rim are split, and only rim cubes are joined with points. Returns ``(key,
     category, n_within)`` for pairs with at least one point.
     """
-    levelled = _by_level(_points_with_vectors(points))
-    cubes = _cubes(levelled)
+    pyramid = points if isinstance(points, Pyramid) else Pyramid(points, crowded)
     ids = [key, "category"]
     r = geo.chord_of_km(radius_km)
     near, far = geo.cell_chord_bounds(_PIN, _REP, _SIDE)
     touches = f"{near} <= {r * (1 + _SLACK)!r}D"
     rim = f"{far} > {r * (1 - _SLACK)!r}D"
 
-    live = _cover(_located(locations, key), f"{r!r}D").join(
-        cubes.select("category", "level", "cell", "n", "copies", "rep"), ["level", "cell"]
-    ).where(touches)
+    live = settled(_cover(_located(locations, key), f"{r!r}D").join(pyramid.cubes.select("category", *_CUBE), ["level", "cell"]).where(touches))
     for _ in range(rounds):
-        live = _split(live, cubes, ids, f"n > {crowded} and {rim}").where(touches)
+        opened = f"{_SPLIT} and {rim}"
+        if live.where(opened).isEmpty():
+            break
+        live = settled(live.where(f"not ({opened})").unionByName(_children(live.where(opened), pyramid.cubes).where(touches)))
 
     whole = live.where(f"not ({rim})").selectExpr(*ids, "copies as adds")
-    members = levelled.selectExpr("category", "level", "cell", "point", "copies as point_copies")
-    km = geo.haversine_sql("plat", "plon", "point.latitude", "point.longitude")
-    opened = live.where(rim).select(*ids, "level", "cell", "plat", "plon").join(members, ["category", "level", "cell"])
+    km = geo.haversine_sql("plat", "plon", "p.latitude", "p.longitude")
+    edge = pyramid.members(live.where(rim), [*ids, "plat", "plon"]).where(f"{km} <= {radius_km!r}D")
     return (
-        whole.unionByName(opened.where(f"{km} <= {radius_km!r}D").selectExpr(*ids, "point_copies as adds"))
+        whole.unionByName(edge.selectExpr(*ids, "p.copies as adds"))
         .groupBy(*ids)
         .agg(F.sum("adds").alias("n_within"))
         .where("n_within > 0")

@@ -1,7 +1,6 @@
 """What the operators share: intermediate tables, byte-exact batches, connected components."""
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,15 +26,9 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. A local session without one gets a temporary folder; a cluster must name it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="claimscope-shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder named by ``spark.checkpoint.dir``, or where that is unset one in the warehouse: all executors share both."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/claimscope-llm"
+    return folder.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:

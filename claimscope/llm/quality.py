@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,7 +83,14 @@ def _measured(texts: pd.Series) -> pd.DataFrame:
 def measured(text: str = "text") -> F.Column:
     """A struct of the counts, ``base_failed`` and the transformed vector ``x0..x4`` of a text column."""
     kind = ", ".join([*(f"{c} long" for c in COUNTS), "base_failed boolean", *(f"{x} double" for x in FEATURES)])
-    return F.pandas_udf(_measured, kind)(F.col(text))
+
+    def batch(texts: pa.Array) -> pa.Array:
+        # Few texts at a time become Python's strings; the batch itself stays in Arrow.
+        parts = [_measured(pd.Series(texts.slice(at, 256).to_pylist(), dtype=object)) for at in range(0, max(len(texts), 1), 256)]
+        frame = pd.concat(parts)
+        return pa.StructArray.from_arrays([pa.array(frame[c].to_numpy()) for c in frame.columns], names=list(frame.columns))
+
+    return F.arrow_udf(batch, kind)(F.col(text))
 
 
 def statistics(docs: DataFrame) -> DataFrame:

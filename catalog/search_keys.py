@@ -51,11 +51,11 @@ def _joined(*columns: str):
 
 
 def _hybrid(v: Views):
-    """Top 20 profiles per query by hashed-term similarity, then the hard filters."""
-    q = v.queries.select("query_id", VF.hashed_terms("query").alias("query_vector"))
+    """Top 20 profiles per logged query by hashed-term similarity, then the hard filters."""
+    q = v.query_log.select("query_id", VF.hashed_terms_of(F.col("query")).alias("query_vector"))
     found = vectors.topk_batch(vectors.embed(_profiles(v)), q, 20)
     return search.hard_filter(
-        found.select("query_id", "facility_id", "similarity"), search.rule_intents(v.queries, v.raw),
+        found.select("query_id", "facility_id", "similarity"), _log_intents(v),
         v.raw, v.structured, v.trust, geo.pins(v.raw),
     )
 
@@ -330,12 +330,12 @@ ORACLE = {
     "FROM kept k JOIN fac USING (facility_id) LEFT JOIN five USING (facility_id)",
     "intent_filter": ctes([*_RULE_NAMES, "fx_query_log"], _FILTER_STEPS)
     + "SELECT query_id, n_passed, rank, facility_id, round(km, 3) AS km, confidence FROM best WHERE rank <= 20",
-    "hybrid_retrieve": ctes([*_RULE_NAMES, "fx_queries", "fx_staff", "fx_equipment"], {
-        **_rules("fx_queries"), **_FACTS, **_EMB, **_hashed("fx_queries", "query_id", "query"),
+    "hybrid_retrieve": ctes([*_RULE_NAMES, "fx_query_log", "fx_staff", "fx_equipment"], {
+        **_rules("fx_query_log"), **_FACTS, **_EMB, **_hashed("fx_query_log", "query_id", "query"),
         "sims": "SELECT query_id, facility_id, sum(CAST(p.x AS DOUBLE) * CAST(o.x AS DOUBLE)) / sqrt(any_value(pn)) / sqrt(any_value(qn)) AS similarity "
         "FROM (SELECT *, sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) OVER (PARTITION BY facility_id) AS pn FROM prof_v) p "
-        "JOIN (SELECT *, sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) OVER (PARTITION BY query_id) AS qn FROM fx_queries_v) o USING (b) GROUP BY 1, 2",
-        "t20": "SELECT query_id, facility_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, facility_id) AS r FROM sims) WHERE r <= 20",
+        "JOIN (SELECT *, sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) OVER (PARTITION BY query_id) AS qn FROM fx_query_log_v) o USING (b) GROUP BY 1, 2",
+        "t20": "SELECT query_id, facility_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, facility_id) AS r FROM sims) WHERE r <= 20",
         **_hard("t20")})
     + "SELECT query_id, facility_id, round(similarity, 6) AS similarity, confidence FROM passed",
     "weighted_rank": ctes([*_RULE_NAMES, "fx_query_log"], _FILTER_STEPS)

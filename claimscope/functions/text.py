@@ -1,8 +1,16 @@
 """Text expressions."""
 
+import re
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Tasks receive these helpers with their closure, so executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def each(df: DataFrame, array: Column | str, name: str, pos: str | None = None) -> DataFrame:
     """One row per element of a computed array, in column ``name`` (and its position in ``pos``).
@@ -48,30 +56,33 @@ def contains_any(c: Column, terms: list[str]) -> Column:
     return out
 
 
+_PIECE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
+_BLANKS = " \t\n\x0b\f\r"
+
+
 def sentences(c: Column) -> Column:
     """``array<struct<sentence, start>>``: trimmed sentences with 0-based offsets.
 
-    The pieces cover the whole text, so a running length gives every offset.
+    One walk over each text, in Arrow batches: an expression that carries the offset along
+    has to copy what it has found so far for every sentence.
     """
-    pieces = F.regexp_extract_all(c, F.lit(r"([^.!?\n]+[.!?\n]*|[.!?\n]+)"), 1)
-    empty = F.array().cast("array<struct<piece:string,at:int>>")
-    walked = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p)).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(p.alias("piece"), acc["at"].alias("at")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    trimmed = F.transform(
-        walked,
-        lambda s: F.struct(
-            F.regexp_replace(s["piece"], r"^\s+|\s+$", "").alias("sentence"),
-            (s["at"] + F.length(s["piece"]) - F.length(F.regexp_replace(s["piece"], r"^\s+", ""))).alias("start"),
-        ),
-    )
-    return F.filter(trimmed, lambda s: s["sentence"] != "")
+
+    def cut(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            if t is None:
+                out.append(None)
+                continue
+            found = []
+            for m in _PIECE.finditer(t):
+                left = m.group().lstrip(_BLANKS)
+                sentence = left.rstrip(_BLANKS)
+                if sentence:
+                    found.append({"sentence": sentence, "start": m.end() - len(left)})
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("sentence", pa.string()), ("start", pa.int32())])))
+
+    return F.arrow_udf(cut, "array<struct<sentence:string,start:int>>")(c)
 
 
 def render(template: str, values: dict[str, Column]) -> Column:

@@ -14,12 +14,18 @@ from claimscope import constants as K
 from claimscope.functions import text, vectors
 from claimscope.operators import infer
 from claimscope.operators.trust import profile_lines
+from claimscope.sources.settle import settled
 
 # Tasks receive these helpers with their closure, so executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 QUERY_BLOCK = 512    # query vectors packed in a row
-STORED_BLOCK = 8192  # stored vectors packed in a row
+STORED_BLOCK = 1024  # stored vectors packed in a row, about
+BALLS = 4096         # centres of blocks packed in a row
+PIVOTS = 128         # directions that stored vectors are dealt to
+SEEDS = 2            # blocks that a query searches first
+DIGITS = 12          # similarities that agree in so many decimals are equal
+_SLACK = 1e-9        # rounding allowance of the bounds
 _ROWS = 1024         # stored vectors scored at once
 
 
@@ -131,56 +137,148 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
         return m / length[:, None]
 
 
-def _packed(rows: DataFrame, id_col: str, vec_col: str, size: int, part: str, prefix: str) -> DataFrame:
-    """Rows dealt by hash into parts of about ``size``: ``part, <prefix>_ids, <prefix>_vecs, parts``."""
-    n = rows.agg(F.ceil(F.count(F.lit(1)) / size)).scalar()
-    parts = F.greatest(n, F.lit(1)).cast("int")
-    packed = rows.groupBy(F.pmod(F.xxhash64(id_col, vec_col), parts).cast("int").alias(part)).agg(F.collect_list(F.struct(id_col, vec_col)).alias("r"))
-    return packed.select(part, F.col(f"r.{id_col}").alias(f"{prefix}_ids"), F.col(f"r.{vec_col}").alias(f"{prefix}_vecs"), parts.alias("parts"))
+def _units(rows: DataFrame, id_col: str, vec_col: str, pivots: np.ndarray | None, out: str) -> DataFrame:
+    """``id, unit, pivot``: vectors scaled to length one, with the most similar pivot; null and zero vectors are left out."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if not len(f):
+                continue
+            unit = _unit_rows(np.stack(f[vec_col]).astype(float))
+            good = ~np.isnan(unit).any(axis=1)
+            near = (unit[good] @ pivots.T).argmax(axis=1) if pivots is not None else np.zeros(good.sum(), dtype=np.int64)
+            yield pd.DataFrame({id_col: f[id_col][good].to_numpy(), "unit": pd.Series(list(unit[good]), dtype=object), "pivot": near})
+
+    return rows.where(F.col(vec_col).isNotNull()).select(id_col, vec_col).mapInPandas(run, f"{id_col} {out}, unit array<double>, pivot int")
+
+
+def _chunked(rows: DataFrame, by: list[str], id_col: str, size: int) -> DataFrame:
+    """``rows`` with ``chunk``: those of one key are dealt by hash into chunks of about ``size``."""
+    n = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_chunks"))
+    return rows.join(n, by).withColumn("chunk", F.pmod(F.xxhash64(id_col), F.col("_chunks")).cast("int")).drop("_chunks")
+
+
+class Blocks:
+    """Stored vectors in blocks of similar ones, each with a centre and the angle that holds all of its vectors."""
+
+    def __init__(self, stored: DataFrame, id_col: str = "facility_id", vec_col: str = "embedding", size: int = STORED_BLOCK, pivots: int = PIVOTS):
+        self.id_col, self.id_type = id_col, stored.schema[id_col].dataType.simpleString()
+        rows = stored.where(F.col(vec_col).isNotNull())
+        first = rows.select(F.col(vec_col).alias("v")).orderBy(F.xxhash64(id_col, vec_col)).limit(pivots).collect()
+        found = _unit_rows(np.array([r.v for r in first], dtype=float).reshape(len(first), -1)) if first else None
+        if found is not None:
+            found = found[~np.isnan(found).any(axis=1)]
+            found = found if len(found) else None
+        units = settled(_units(rows, id_col, vec_col, found, self.id_type))
+        packed = _chunked(units, ["pivot"], id_col, size).groupBy("pivot", "chunk").agg(F.collect_list(F.struct(id_col, "unit")).alias("r"))
+        name = F.concat_ws("-", "pivot", "chunk")
+        self.blocks = settled(packed.select(name.alias("block"), F.col(f"r.{id_col}").alias("s_ids"), F.col("r.unit").alias("s_vecs")))
+
+        def ball(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                out = []
+                for block, vecs in zip(f["block"], f["s_vecs"]):
+                    v = np.stack(vecs)
+                    centre = v.mean(axis=0)
+                    length = np.linalg.norm(centre)
+                    centre = centre / length if length > 0 else v[0]
+                    out.append((block, centre, float(np.arccos(np.clip(v @ centre, -1, 1)).max())))
+                yield pd.DataFrame(out, columns=["block", "centre", "angle"])
+
+        self.balls = settled(self.blocks.select("block", "s_vecs").mapInPandas(ball, "block string, centre array<double>, angle double"))
+
+
+def _bounded(queries: DataFrame, balls: DataFrame, seeds: int | None) -> DataFrame:
+    """``query, block`` by the greatest similarity a block can hold: each query's ``seeds`` most promising, or all that reach its floor.
+
+    ``queries`` has ``_q, unit, floor``. Both sides meet in packed rows: what is compared is queries with blocks, not with vectors.
+    """
+    one = F.lit(0)
+    left = _chunked(queries.withColumn("_k", one), ["_k"], "_q", QUERY_BLOCK).groupBy("chunk").agg(F.collect_list(F.struct("_q", "unit", "floor")).alias("q"))
+    right = _chunked(balls.withColumn("_k", one), ["_k"], "block", BALLS).groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("block", "centre", "angle")).alias("b"))
+    spread = right.agg(F.coalesce(F.max("of"), F.lit(-1))).scalar()
+    sent = left.select("q", F.explode(F.sequence(F.lit(0), F.greatest(spread, F.lit(0)))).alias("of"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for q, b in zip(f["q"], f["b"]):
+                names, floors = np.array([x["_q"] for x in q], dtype=object), np.array([x["floor"] for x in q], dtype=float)
+                blocks, angles = np.array([x["block"] for x in b], dtype=object), np.array([x["angle"] for x in b])
+                away = np.arccos(np.clip(np.stack([x["unit"] for x in q]) @ np.stack([x["centre"] for x in b]).T, -1, 1)) - angles
+                most = np.cos(np.maximum(away, 0)) + _SLACK
+                if seeds is None:
+                    i, j = np.nonzero(most >= np.where(np.isnan(floors), -2, floors)[:, None])
+                else:
+                    best = np.argsort(-most, axis=1, kind="stable")[:, :seeds]
+                    i, j = np.repeat(np.arange(len(q)), best.shape[1]), best.reshape(-1)
+                yield pd.DataFrame({"_q": names[i], "block": blocks[j], "most": most[i, j]})
+
+    kind = queries.schema["_q"].dataType.simpleString()
+    found = sent.join(right, "of").select("q", "b").mapInPandas(run, f"_q {kind}, block string, most double")
+    if seeds is None:
+        return found
+    rn = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("most"), "block"))
+    return found.withColumn("_r", rn).where(F.col("_r") <= seeds).drop("_r")
+
+
+def _searched(pairs: DataFrame, queries: DataFrame, blocks: Blocks, k: int) -> DataFrame:
+    """``_q, id, similarity``: the best ``k`` of every pair's block for its query."""
+    asked = _chunked(pairs.select("_q", "block").join(queries.select("_q", "unit"), "_q"), ["block"], "_q", QUERY_BLOCK)
+    asked = asked.groupBy("block", "chunk").agg(F.collect_list(F.struct("_q", "unit")).alias("q"))
+    kind, id_col = queries.schema["_q"].dataType.simpleString(), blocks.id_col
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for s_ids, s_vecs, q in zip(f["s_ids"], f["s_vecs"], f["q"]):
+                names, units = np.array([x["_q"] for x in q], dtype=object), np.stack([x["unit"] for x in q])
+                best, ids, stored = _Best(len(names), k), np.array(list(s_ids), dtype=object), np.stack(s_vecs)
+                for lo in range(0, len(ids), _ROWS):
+                    best.add(ids[lo:lo + _ROWS], np.round(stored[lo:lo + _ROWS] @ units.T, DIGITS))
+                yield pd.DataFrame({"_q": names[best.q], id_col: best.ids, "similarity": best.sim})
+
+    joined = blocks.blocks.join(asked, "block").select("s_ids", "s_vecs", "q")
+    return joined.mapInPandas(score, f"_q {kind}, {id_col} {blocks.id_type}, similarity double")
 
 
 def topk_batch(
-    stored: DataFrame,
+    stored: DataFrame | Blocks,
     queries: DataFrame,
     k: int = 10,
     id_col: str = "facility_id",
     vec_col: str = "embedding",
     query_id: str = "query_id",
     query_vec: str = "query_vector",
-    block: int = QUERY_BLOCK,
+    block: int = STORED_BLOCK,
 ) -> DataFrame:
-    """The ``k`` most similar stored rows for every row of a query table.
+    """The ``k`` most similar stored rows for every row of a query table; equal ones by id.
 
-    Exact. Both sides are dealt by hash into packed rows of bounded size, however many rows
-    there are; every packed block of queries is sent to every packed block of stored rows,
-    scored there as a matrix product, and at most ``k`` rows per query go on. Nothing passes
-    through the driver.
+    Exact, in two rounds. Stored vectors lie in blocks of similar ones. First each query is
+    compared with the blocks' centres and searches the ``SEEDS`` most promising blocks; its
+    k-th best similarity there is its floor. Then it searches those other blocks that may
+    hold something above the floor. All else is never met. ``stored`` may be the blocks
+    themselves, to be used again. Nothing but the pivots passes through the driver.
     """
-    id_type = stored.schema[id_col].dataType.simpleString()
-    qid_type = queries.schema[query_id].dataType.simpleString()
-    held = _packed(stored.where(F.col(vec_col).isNotNull()).select(id_col, vec_col), id_col, vec_col, STORED_BLOCK, "part", "s")
-    asked = _packed(queries.where(F.col(query_vec).isNotNull()).select(query_id, query_vec), query_id, query_vec, block, "asked", "q")
-    parts = held.agg(F.coalesce(F.max("parts"), F.lit(0))).scalar()
-    sent = asked.select("q_ids", "q_vecs", F.explode(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0)))).alias("part"))
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for s_ids, s_vecs, q_ids, q_vecs in zip(f["s_ids"], f["s_vecs"], f["q_ids"], f["q_vecs"]):
-                q = _unit_rows(np.stack(q_vecs).astype(float))
-                fine = ~np.isnan(q).any(axis=1)
-                names, q = np.array(list(q_ids), dtype=object)[fine], q[fine]
-                best, ids = _Best(len(names), k), np.array(list(s_ids), dtype=object)
-                for lo in range(0, len(ids) if len(names) else 0, _ROWS):
-                    unit = _unit_rows(np.stack(s_vecs[lo:lo + _ROWS]).astype(float))
-                    good = ~np.isnan(unit).any(axis=1)
-                    if good.any():
-                        best.add(ids[lo:lo + _ROWS][good], unit[good] @ q.T)
-                yield pd.DataFrame({query_id: names[best.q], id_col: best.ids, "similarity": best.sim})
-
-    pairs = held.drop("parts").join(sent, "part").drop("part")
-    partial = pairs.mapInPandas(score, f"{query_id} {qid_type}, {id_col} {id_type}, similarity double")
-    rn = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("similarity"), id_col))
-    return partial.withColumn("rank", rn).where(F.col("rank") <= k)
+    found, _ = topk_pairs(stored, queries, k, id_col, vec_col, query_id, query_vec, block)
+    return found
+
+
+def topk_pairs(
+    stored: DataFrame | Blocks, queries: DataFrame, k: int, id_col: str = "facility_id", vec_col: str = "embedding",
+    query_id: str = "query_id", query_vec: str = "query_vector", block: int = STORED_BLOCK,
+) -> tuple[DataFrame, DataFrame]:
+    """The result of :func:`topk_batch`, and the pairs of query and block that were searched for it."""
+    held = stored if isinstance(stored, Blocks) else Blocks(stored, id_col, vec_col, block)
+    kind = queries.schema[query_id].dataType.simpleString()
+    asked = settled(_units(queries.select(F.col(query_id).alias("_q"), query_vec), "_q", query_vec, None, kind).select("_q", "unit", F.lit(None).cast("double").alias("floor")))
+    best = lambda: F.row_number().over(W.partitionBy("_q").orderBy(F.desc("similarity"), held.id_col))
+    seeds = settled(_bounded(asked, held.balls, SEEDS))
+    first = settled(_searched(seeds, asked, held, k))
+    floors = first.withColumn("_r", best()).where(F.col("_r") == k).select("_q", F.col("similarity").alias("floor"))
+    rest = _bounded(asked.drop("floor").join(floors, "_q", "left"), held.balls, None).join(seeds.select("_q", "block"), ["_q", "block"], "left_anti")
+    rest = settled(rest)
+    found = first.unionByName(_searched(rest, asked, held, k))
+    ranked = found.withColumn("rank", best()).where(F.col("rank") <= k).withColumnRenamed("_q", query_id)
+    return ranked.select(query_id, held.id_col, "similarity", "rank"), seeds.unionByName(rest)
 
 
 def stats(stored: DataFrame, vec_col: str = "embedding") -> DataFrame:

@@ -69,3 +69,25 @@ def test_norms_are_read_where_stored(spark):
         for norm in (None, "norm"):
             got = vectors.with_similarity(vectors.with_norm(df), q, norm_col=norm)
             assert {r.facility_id: r.similarity for r in got.collect()} == want
+
+
+def test_pairs_that_cannot_win_are_dropped(spark):
+    """Clustered vectors: equal to comparing all, though most pairs of query and block are never searched."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 16))
+    stored = np.concatenate([c + rng.normal(scale=0.05, size=(250, 16)) for c in centres])
+    queries = centres[rng.integers(0, 12, 40)] + rng.normal(scale=0.05, size=(40, 16))
+    s = spark.createDataFrame([(f"f{i:04d}", v.tolist()) for i, v in enumerate(stored)], "facility_id string, embedding array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id int, query_vector array<double>")
+    blocks = vectors.Blocks(s, size=50)
+    found, pairs = vectors.topk_pairs(blocks, q, 5)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.facility_id))
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    sims = unit(queries) @ unit(stored).T
+    for i in range(len(queries)):
+        assert [f for _, f in sorted(got[i])] == [f"f{j:04d}" for j in np.argsort(-sims[i])[:5]]
+    assert pairs.count() < 0.35 * len(queries) * blocks.blocks.count()
+    empty = vectors.topk_batch(s.limit(0), q, 3)
+    assert empty.collect() == [] and vectors.topk_batch(s, q.limit(0), 3).collect() == []

@@ -24,6 +24,9 @@ from claimscope.llm.shared import map_batches, settled
 HELD = 2000
 #: Constant texts that a wrapper spells out.
 CONSTANT = 200
+#: Levels of a page's nesting that are told apart. What is nested deeper counts as standing in the element at this level,
+#: except below a label that is never part of an article, which opens one level more.
+DEEPEST = 150
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
@@ -46,9 +49,16 @@ CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.
 
 
 def events(page: str):
-    """``("open", label)``, ``("close", label)`` and ``("text", raw)`` of a page, with all elements properly nested."""
-    stack: list[tuple[str, str]] = []
-    at, low = 0, None
+    """``("open", label)``, ``("close", label)``, ``("text", raw)`` and ``("edge", label)`` of a page, with all elements properly nested.
+
+    An edge is the start or end of an element below the deepest level.
+    """
+    stack: list[tuple[str, str, bool]] = []
+    at, low, shown = 0, None, 0
+
+    def begun(label: str) -> bool:
+        return shown < DEEPEST or shown == DEEPEST and skipped(label)
+
     while at < len(page):
         m = TOKEN.match(page, at)
         at = m.end()
@@ -59,10 +69,11 @@ def events(page: str):
             continue
         tag = tag.lower()
         if m.group(1):
-            if any(t == tag for t, _ in stack):
+            if any(t == tag for t, _, _ in stack):
                 while True:
-                    t, label = stack.pop()
-                    yield "close", label
+                    t, label, seen = stack.pop()
+                    shown -= seen
+                    yield ("close" if seen else "edge"), label
                     if t == tag:
                         break
             continue
@@ -72,22 +83,27 @@ def events(page: str):
                 i -= 1
             if i >= 0 and stack[i][0] == ended:
                 while len(stack) > i:
-                    yield "close", stack.pop()[1]
+                    _, label, seen = stack.pop()
+                    shown -= seen
+                    yield ("close" if seen else "edge"), label
         c = CLASS.search(m.group(3)) if "class" in m.group(3).lower() else None
         classes = sorted(set((c.group(1) or c.group(2) or c.group(3) or "").lower().split())) if c else []
         label = ".".join([tag, *classes])
-        yield "open", label
+        seen = begun(label)
+        yield ("open" if seen else "edge"), label
         if tag in VOID or m.group(3).endswith("/") and tag not in INLINE:
-            yield "close", label
+            yield ("close" if seen else "edge"), label
         elif tag in RAW:
             low = low or page.lower()
             end = low.find(f"</{tag}", at)
             at = len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
-            yield "close", label
+            yield ("close" if seen else "edge"), label
         else:
-            stack.append((tag, label))
+            stack.append((tag, label, seen))
+            shown += seen
     while stack:
-        yield "close", stack.pop()[1]
+        _, label, seen = stack.pop()
+        yield ("close" if seen else "edge"), label
 
 
 # A wrapper item is [label, optional, repeated, children], a text slot ["#", optional, constant text or null, characters],
@@ -165,7 +181,7 @@ def page_wrapper(page: str) -> list[list]:
         elif kind == "close":
             items = folded(levels.pop())
             levels[-1].append([value, False, False, items])
-        elif (text := " ".join(html.unescape(value).split())):
+        elif kind == "text" and (text := " ".join(html.unescape(value).split())):
             levels[-1].append(["#", False, text if len(text) <= CONSTANT else None, len(text)])
     return folded(levels[0])
 
@@ -231,7 +247,7 @@ def extract(page: str | None, paths: frozenset[str]) -> str:
             block.append(" ")
         if kind == "open":
             path.append(value)
-        else:
+        elif kind == "close":
             path.pop()
     flush()
     return "\n".join(blocks)
@@ -242,24 +258,30 @@ def host(url: str = "url") -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def template(page: str) -> str:
+    """Which elements a page marks its article with: its host's pages of another template have a wrapper of their own."""
+    return next((t for t in ("article", "main") if re.search(rf"<{t}[\s>/]", page, re.I)), "")
+
+
 def infer(pages: DataFrame) -> DataFrame:
-    """``host, pages, wrapper, content`` for every host of ``pages`` (``url, html``).
+    """``host, template, pages, wrapper, content`` for every host and template of ``pages`` (``url, html``).
 
     ``wrapper`` is JSON, ``content`` the paths of the slots that hold the article. All pages take part; a null or
     empty page is an empty stream.
     """
 
     def partly(batches):
-        held: dict[str, tuple[int, list[list]]] = {}
+        held: dict[tuple[str, str], tuple[int, list[list]]] = {}
 
         def out():
-            rows = [(h, n, json.dumps(w)) for h, (n, w) in held.items()]
+            rows = [(*key, n, json.dumps(w)) for key, (n, w) in held.items()]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["host", "pages", "wrapper"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["host", "template", "pages", "wrapper"])
 
         for b in batches:
             for name, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = page_wrapper(page or "")
+                name = (name, template(page or ""))
                 if name in held:
                     held[name] = (held[name][0] + 1, aligned(held[name][1], w))
                 else:
@@ -273,26 +295,26 @@ def infer(pages: DataFrame) -> DataFrame:
         w: list[list] | None = None
         for x in sorted(rows["wrapper"]):
             w = json.loads(x) if w is None else aligned(w, json.loads(x))
-        return pd.DataFrame({"host": [key[0]], "pages": [int(rows["pages"].sum())], "wrapper": [json.dumps(w)], "content": [content(w or [])]})
+        return pd.DataFrame({"host": [key[0]], "template": [key[1]], "pages": [int(rows["pages"].sum())], "wrapper": [json.dumps(w)], "content": [content(w or [])]})
 
-    parts = pages.select(host().alias("host"), "html").mapInArrow(partly, "host string, pages long, wrapper string")
-    return parts.groupBy("host").applyInPandas(whole, "host string, pages long, wrapper string, content array<string>")
+    parts = pages.select(host().alias("host"), "html").mapInArrow(partly, "host string, template string, pages long, wrapper string")
+    return parts.groupBy("host", "template").applyInPandas(whole, "host string, template string, pages long, wrapper string, content array<string>")
 
 
 def extract_pages(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """``page_id, url, text`` of every page by the wrapper of its host.
+    """``page_id, url, text`` of every page by the wrapper of its host and template.
 
-    A page without html, or of a host without wrapper, has an empty text. Repeated rows are extracted repeatedly;
-    other columns take no part.
+    A page without html has an empty text, and so has one of a host without wrapper. A page without host goes by its own
+    wrapper, since such pages have nothing in common. Repeated rows are extracted repeatedly; other columns take no part.
     """
-    rules = wrappers.select(F.col("host").alias("_host"), "content")
-    known = pages.select("page_id", "url", "html", host().alias("_h")).join(rules, F.col("_h") == F.col("_host"), "left").select("page_id", "url", "html", "content")
+    rules = wrappers.groupBy(F.col("host").alias("_host")).agg(F.map_from_entries(F.collect_list(F.struct("template", "content"))).alias("content"))  # at most three
+    known = pages.select("page_id", "url", "html", host().alias("_h")).join(rules, F.col("_h") == F.col("_host"), "left").select("page_id", "url", "html", "content", "_h")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         sets: dict[tuple, frozenset] = {}
         texts = []
-        for page, paths in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            key = tuple(paths or ())
+        for page, rules, name in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            key = tuple((dict(rules or ()).get(template(page or "")) if name else content(page_wrapper(page or ""))) or ())
             texts.append(extract(page, sets.setdefault(key, frozenset(key))))
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

@@ -294,6 +294,29 @@ def test_pages_of_a_table_match_their_articles(spark):
 
 
 # --- Pipeline -------------------------------------------------------------------
+def test_main_text_of_deep_pages(spark):
+    """Ten thousand levels, with a menu and a footer far down, and a well-formed page of the same host."""
+    deep = "<article>" + "<div>" * 10_000 + "<p>Deep text.</p><nav><ul>" + "<li><div>menu" * 300 + "</ul></nav><p>More <b>of</b> it.</p>" + "</div>" * 10_000 + "</article>"
+    unclosed = "<div><span>" * 10_000 + "Open text"
+    rows = [(1, "http://h/1", deep), (2, "http://h/2", "<article><p>Plain.</p></article><footer>f</footer>"), (3, "http://g/1", unclosed), (4, "http://h/3", deep)]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Deep text.\nMore of it.", 2: "Plain.", 3: "Open text", 4: "Deep text.\nMore of it."}
+
+
+def test_main_text_of_hosts_with_several_templates(spark):
+    """Each page by its own template, also pages whose url names no host."""
+    body = {
+        "article": "<header>top</header><article><h1>A{i}</h1><p>article text {i}</p></article><footer>end</footer>",
+        "main": "<header>top</header><main><p>main text {i}</p></main><footer>end</footer>",
+        "div": "<header>top</header><div class='content'><p>div text number {i} of some length</p></div><div class='x'>small</div><footer>end</footer>",
+    }
+    rows = [(10 * k + i, url, body[kind].format(i=i)) for k, (kind, url) in enumerate((kind, url) for kind in body for url in ("http://h/x", None, "nohost")) for i in range(3)]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, kind in enumerate(kind for kind in body for _ in range(3)):
+        for i in range(3):
+            assert got[10 * k + i] == {"article": f"A{i}\narticle text {i}", "main": f"main text {i}", "div": f"div text number {i} of some length"}[kind]
+
+
 def test_pipeline_matches_its_stages_by_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")

@@ -256,7 +256,7 @@ def filtered_rank(
     """
     asked = intents.select(
         "query_id", F.array_join(F.array_sort("categories"), "|").alias("wanted"),
-        F.array_join(F.array_sort("operational_constraints"), "|").alias("needs"),
+        F.array_join(F.array_sort(F.filter("operational_constraints", lambda o: o != "")), "|").alias("needs"),
         F.coalesce("location_state", F.lit("")).alias("ls"), F.coalesce("location_district", F.lit("")).alias("ld"),
         F.coalesce("location_pin_code", F.lit("")).alias("pin"), F.coalesce("max_distance_km", F.lit(-1.0)).alias("dist"),
         F.coalesce("min_trust_score", F.lit(0)).alias("floor"),
@@ -269,9 +269,14 @@ def filtered_rank(
         f"named_struct('category', '{c}', 'confidence', array_max({hits.format(m=' or '.join(f'contains(lower(x.capability), {chr(39)}{k}{chr(39)})' for k in ks))}))"
         for c, ks in K.CATEGORY_KEYWORDS.items()
     )
-    needs = keys.agg(F.collect_set("needs").alias("n")).scalar()  # combinations of the few timing words
-    offers = structured.select("facility_id", F.expr(f"array({per})").alias("per"), "operational_hours", needs.alias("all_needs"))
-    offers = text.each(offers, "filter(all_needs, n -> forall(split(n, '[|]'), o -> contains(coalesce(operational_hours, ''), o)))", "needs")
+    # Timing words are looked for once in each different text of hours; a facility meets a need whose words are all in its own.
+    timing = text.each(keys.select("needs").where("needs <> ''").distinct(), "array_distinct(split(needs, '[|]'))", "word").where("word <> ''")
+    hours = structured.select(F.coalesce("operational_hours", F.lit("")).alias("hours"))
+    said = contained(hours, timing, "hours", "word").select(F.col("text").alias("hours"), F.col("term").alias("word"))
+    met = timing.join(said, "word").groupBy("needs", "hours").agg(F.count(F.lit(1)).alias("n"))
+    met = met.join(timing.groupBy("needs").agg(F.count(F.lit(1)).alias("n")), ["needs", "n"]).select("needs", "hours")
+    able_to = structured.select("facility_id", F.expr(f"array({per})").alias("per"), F.coalesce("operational_hours", F.lit("")).alias("hours"))
+    offers = able_to.join(met, "hours").select("facility_id", "per", "needs").unionByName(able_to.select("facility_id", "per", F.lit("").alias("needs")))
     claims = text.each(offers, "concat(filter(per, c -> c.confidence is not null), array(named_struct('category', '', 'confidence', cast(null as double))))", "c")
     wanted = text.each(keys.select("wanted").distinct(), "split(wanted, '[|]')", "category").select("wanted", "category")
     able = claims.select("facility_id", "needs", "c.category", "c.confidence").join(wanted, "category").groupBy("facility_id", "needs", "wanted").agg(F.max("confidence").alias("confidence"))

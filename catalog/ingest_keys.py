@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.views import Views, ctes
-from claimscope.operators import ingest, quality
+from claimscope.operators import ingest, loadstats, quality
 
 _CLEAN = {
     "mapped": """
@@ -33,6 +33,20 @@ def _sql(select: str) -> str:
     return ctes(["fx_source"], _CLEAN) + select
 
 
+def _loads(v: Views):
+    """Facilities and scores in seven loads by postal code, each summarized by itself."""
+    j = v.raw.join(v.trust, "facility_id", "left").withColumn("load", F.pmod(F.substring("pin_code", -2, 2).cast("int"), F.lit(7)))
+    parts = [loadstats.summarize(j.where(F.col("load") == i), ["facility_id", "district"], ["trust_score", "latitude"]) for i in range(7)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    exact = j.agg(F.count_distinct("facility_id").alias("facility_id"), F.count_distinct("district").alias("district")).unpivot([], ["facility_id", "district"], "column_name", "n")
+    near = F.abs(F.col("about_distinct") - F.col("n")) <= F.col("n") * loadstats.DISTINCT_ERROR
+    return loadstats.report(out).join(exact, "column_name", "left").select(
+        "column_name", "n_rows", "n_null", F.round("mean", 6).alias("mean"), "least", "most", near.alias("distinct_within_error")
+    )
+
+
 def _clean(v: Views):
     return ingest.clean(v.source)
 
@@ -55,6 +69,7 @@ QUERIES = {
     "dq_coverage": lambda v: quality.coverage(v.raw),
     "dq_coordinates": lambda v: quality.coordinates(v.raw),
     "note_preview": lambda v: quality.note_preview(v.raw),
+    "dq_loads": _loads,
     "dq_orphans": lambda v: quality.orphans(
         ingest.valid(_clean(v)), {"structured": v.structured, "trust_scores": v.trust, "notes": v.notes}
     ),
@@ -93,6 +108,14 @@ ORACLE = {
     "note_preview": ctes(["fx_facilities_raw"])
     + "SELECT facility_id, left(coalesce(unstructured_notes, 'No notes'), 500) AS preview, "
     "CAST(greatest(0, length(coalesce(unstructured_notes, 'No notes')) - 500) AS INT) AS remaining_chars FROM fx_facilities_raw",
+    "dq_loads": ctes(["fx_facilities_raw", "fx_trust_scores"], {"j": "SELECT * FROM fx_facilities_raw LEFT JOIN fx_trust_scores USING (facility_id)"})
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, "
+        + (f"round(avg(CAST({c} AS DOUBLE)), 6) AS mean, CAST(min({c}) AS DOUBLE) AS least, CAST(max({c}) AS DOUBLE) AS most, CAST(NULL AS BOOLEAN)" if number
+           else "CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS least, CAST(NULL AS DOUBLE) AS most, true")
+        + " AS distinct_within_error FROM j"
+        for c, number in (("facility_id", False), ("district", False), ("trust_score", True), ("latitude", True))
+    ),
     "dq_orphans": _sql(
         "SELECT 'structured' AS table_name, count(*) AS n_orphans FROM (SELECT concat('f', c_custkey) AS f FROM customer) "
         "WHERE f NOT IN (SELECT facility_id FROM cleaned WHERE NOT no_name AND NOT no_notes) UNION ALL "

@@ -79,9 +79,14 @@ def _prefix(n: Column) -> Column:
 _AT = ("doc_id", "row", "line")
 
 
+def _needed(n: Column, m: Column) -> Column:
+    """Common tokens that sets of n and m tokens need."""
+    return F.ceil((n + m) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9)
+
+
 def _fits(n: Column, i: Column, m: Column, j: Column) -> Column:
     """Length and positional filter of a shared token at places i and j of sets of n and m tokens."""
-    need = F.ceil((n + m) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9)
+    need = _needed(n, m)
     return (F.least(n, m) >= F.greatest(n, m) * THRESHOLD - 1e-9) & (F.least(i, j) + 1 + F.least(n - i, m - j) - 1 >= need)
 
 
@@ -116,7 +121,11 @@ def duplicates(docs: DataFrame) -> DataFrame:
     open_ = shared.select("token", "a", "n", "i", "b").join(done, "a", "left_anti").where(F.col("a") > F.col("b.a"))
     # Later copies of a line cannot be the first to match another.
     other = shared.where(F.col("a") > F.col("b.a")).join(again, "a", "left_anti").select("token", F.col("a").alias("c"), F.col("n").alias("m"), F.col("i").alias("j"))
-    rest = settled(open_.join(other, "token").where((F.col("c") < F.col("a")) & _fits(F.col("n"), F.col("i"), F.col("m"), F.col("j"))).select("a", F.col("c").alias("b")).distinct())
+    met = open_.join(other, "token").where((F.col("c") < F.col("a")) & _fits(F.col("n"), F.col("i"), F.col("m"), F.col("j")))
+    # Of a pair that was not verified above, all tokens in both prefixes are here; none comes before the first of them.
+    first_met = met.groupBy("a", F.col("c").alias("b")).agg(F.min(F.struct("i", "j", "n", "m")).alias("f"))
+    possible = 1 + F.least(F.col("f.n") - F.col("f.i"), F.col("f.m") - F.col("f.j")) - 1
+    rest = settled(first_met.where(possible >= _needed(F.col("f.n"), F.col("f.m"))).select("a", "b"))
     needed = rest.select("a").unionByName(rest.select(F.col("b").alias("a"))).distinct()
     more = _verified(rest, sets(needed))
     return done.unionByName(more).select("a.*")

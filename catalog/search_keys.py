@@ -51,13 +51,15 @@ def _joined(*columns: str):
 
 
 def _hybrid(v: Views):
-    """Top 20 profiles per logged query by hashed-term similarity, then the hard filters."""
-    q = v.query_log.select("query_id", VF.hashed_terms_of(F.col("query")).alias("query_vector"))
+    """Top 20 profiles per logged query by hashed-term similarity, then the hard filters; equal queries share one answer."""
+    asked, same = search.different(v.query_log)
+    q = asked.select("query_id", VF.hashed_terms_of(F.col("query")).alias("query_vector"))
     found = vectors.topk_batch(vectors.embed(_profiles(v)), q, 20)
-    return search.hard_filter(
-        found.select("query_id", "facility_id", "similarity"), _log_intents(v),
+    passed = search.hard_filter(
+        found.select("query_id", "facility_id", "similarity"), search.rule_intents(asked, v.raw),
         v.raw, v.structured, v.trust, geo.pins(v.raw),
     )
+    return same.join(passed.withColumnRenamed("query_id", "asked_id"), "asked_id").drop("asked_id")
 
 
 def _filtered(v: Views, keep: int):

@@ -16,6 +16,7 @@ from claimscope.operators.lexical import lexical_search  # noqa: F401
 from claimscope.operators.nearest import within_each
 from claimscope.operators.substrings import contained
 from claimscope.schemas import INTENT_TEXT
+from claimscope.sources.settle import settled
 
 
 # --- Intents ------------------------------------------------------------------
@@ -84,6 +85,19 @@ def rule_intents(queries: DataFrame, raw: DataFrame) -> DataFrame:
     return facts.join(found, "query_id", "left")
 
 
+def different(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of one query id for each different text, and ``query_id, asked_id``: the id that stands for it.
+
+    An id with several rows is asked as all of them; those without id are left out.
+    """
+    texts = queries.where("query_id is not null").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("query"))).alias("_texts"))
+    texts = settled(texts)
+    one = texts.groupBy("_texts").agg(F.min("query_id").alias("asked_id"))
+    same = settled(texts.join(one, "_texts").select("query_id", "asked_id"))
+    asked = queries.join(same.where("query_id = asked_id").select("query_id"), "query_id", "left_semi")
+    return settled(asked), same
+
+
 # --- Constrained retrieval ----------------------------------------------------
 def _best_first() -> list[Column]:
     return [F.col("trust_score").desc_nulls_last(), F.col("facility_id")]

@@ -22,6 +22,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 QUERY_BLOCK = 512    # query vectors packed in a row
 STORED_BLOCK = 1024  # stored vectors packed in a row, about
 BALLS = 4096         # centres of blocks packed in a row
+SHELF = 16           # blocks searched together, about
+PART = 8192          # queries that search a shelf together, about
 PIVOTS = 128         # directions that stored vectors are dealt to
 SEEDS = 2            # blocks that a query searches first
 DIGITS = 12          # similarities that agree in so many decimals are equal
@@ -102,32 +104,38 @@ def search(stored: DataFrame, query_vector, k: int = 10) -> DataFrame:
 
 
 class _Best:
-    """Running best ``k`` stored rows per query within one partition."""
+    """Running best ``k`` stored rows per query: greater similarity first, equal ones by smaller ``rank`` of their id.
 
-    def __init__(self, n_queries: int, k: int):
+    ``floor`` and ``last`` are the similarity and the rank of a row that may just still be among them.
+    """
+
+    def __init__(self, n_queries: int, k: int, floor: np.ndarray | None = None, last: np.ndarray | None = None):
         self.k = k
-        self.q = np.empty(0, dtype=np.int64)
-        self.ids = np.empty(0, dtype=object)
+        self.q, self.ids = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         self.sim = np.empty(0)
-        self.floor = np.full(n_queries, -np.inf)
+        self.floor = np.full(n_queries, -np.inf) if floor is None else floor.copy()
+        self.last = np.full(n_queries, np.iinfo(np.int64).max) if last is None else last.copy()
 
-    def add(self, ids: np.ndarray, sims: np.ndarray) -> None:
-        """``sims`` is rows x queries. Rows tied with the k-th best are kept until trimmed by id."""
-        floor = self.floor
-        if sims.shape[0] > self.k:
+    def add(self, ranks: np.ndarray, sims: np.ndarray, asked: np.ndarray) -> None:
+        """``sims`` is rows x ``asked`` queries, not yet rounded; only what can reach a floor is rounded and sorted."""
+        hit = sims >= (self.floor[asked] - 10.0**-DIGITS)
+        if len(ranks) > self.k and np.count_nonzero(hit) > 2 * self.k * len(asked):
             kth = -np.partition(-sims, self.k - 1, axis=0)[self.k - 1]
-            floor = np.maximum(floor, kth)
-        row, q = np.nonzero(sims >= floor)
-        self.q = np.concatenate([self.q, q])
-        self.ids = np.concatenate([self.ids, ids[row]])
-        self.sim = np.concatenate([self.sim, sims[row, q]])
+            hit &= sims >= kth - 10.0**-DIGITS
+        row, at = np.nonzero(hit)
+        sim, q, ids = np.round(sims[row, at], DIGITS), asked[at], ranks[row]
+        good = (sim > self.floor[q]) | ((sim == self.floor[q]) & (ids <= self.last[q]))
+        if not good.any():
+            return
+        self.q = np.concatenate([self.q, q[good]])
+        self.ids = np.concatenate([self.ids, ids[good]])
+        self.sim = np.concatenate([self.sim, sim[good]])
         order = np.lexsort((self.ids, -self.sim, self.q))
         self.q, self.ids, self.sim = self.q[order], self.ids[order], self.sim[order]
-        starts = np.searchsorted(self.q, self.q, side="left")
-        rank = np.arange(len(self.q)) - starts
-        last = rank == self.k - 1
-        self.floor[self.q[last]] = self.sim[last]
-        keep = rank < self.k
+        place = np.arange(len(self.q)) - np.searchsorted(self.q, self.q, side="left")
+        kth = place == self.k - 1
+        self.floor[self.q[kth]], self.last[self.q[kth]] = self.sim[kth], self.ids[kth]
+        keep = place < self.k
         self.q, self.ids, self.sim = self.q[keep], self.ids[keep], self.sim[keep]
 
 
@@ -185,17 +193,25 @@ class Blocks:
                     out.append((block, centre, float(np.arccos(np.clip(v @ centre, -1, 1)).max())))
                 yield pd.DataFrame(out, columns=["block", "centre", "angle"])
 
-        self.balls = settled(self.blocks.select("block", "s_vecs").mapInPandas(ball, "block string, centre array<double>, angle double"))
+        balls = settled(self.blocks.select("block", "s_vecs").mapInPandas(ball, "block string, centre array<double>, angle double"))
+        self.balls = settled(_chunked(balls.withColumn("_k", F.lit(0)), ["_k"], "block", SHELF).select("block", "centre", "angle", F.col("chunk").alias("shelf")))
+
+
+def _most(units: np.ndarray, centres: np.ndarray, angles: np.ndarray) -> np.ndarray:
+    """For queries x blocks the greatest similarity that the block can hold."""
+    away = np.arccos(np.clip(units @ centres.T, -1, 1)) - angles
+    return np.cos(np.maximum(away, 0)) + _SLACK
 
 
-def _bounded(queries: DataFrame, balls: DataFrame, seeds: int | None) -> DataFrame:
-    """``query, block`` by the greatest similarity a block can hold: each query's ``seeds`` most promising, or all that reach its floor.
+def _bounded(queries: DataFrame, balls: DataFrame, seeds: int | None, shelves: bool = False) -> DataFrame:
+    """``_q, block`` by the greatest similarity a block can hold: each query's ``seeds`` most promising, or all that reach its floor.
 
+    With ``shelves``, instead of the blocks that reach the floor the shelves that have any: ``_q, shelf``.
     ``queries`` has ``_q, unit, floor``. Both sides meet in packed rows: what is compared is queries with blocks, not with vectors.
     """
     one = F.lit(0)
     left = _chunked(queries.withColumn("_k", one), ["_k"], "_q", QUERY_BLOCK).groupBy("chunk").agg(F.collect_list(F.struct("_q", "unit", "floor")).alias("q"))
-    right = _chunked(balls.withColumn("_k", one), ["_k"], "block", BALLS).groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("block", "centre", "angle")).alias("b"))
+    right = _chunked(balls.withColumn("_k", one), ["_k"], "block", BALLS).groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("block", "centre", "angle", "shelf")).alias("b"))
     spread = right.agg(F.coalesce(F.max("of"), F.lit(-1))).scalar()
     sent = left.select("q", F.explode(F.sequence(F.lit(0), F.greatest(spread, F.lit(0)))).alias("of"))
 
@@ -204,8 +220,14 @@ def _bounded(queries: DataFrame, balls: DataFrame, seeds: int | None) -> DataFra
             for q, b in zip(f["q"], f["b"]):
                 names, floors = np.array([x["_q"] for x in q], dtype=object), np.array([x["floor"] for x in q], dtype=float)
                 blocks, angles = np.array([x["block"] for x in b], dtype=object), np.array([x["angle"] for x in b])
-                away = np.arccos(np.clip(np.stack([x["unit"] for x in q]) @ np.stack([x["centre"] for x in b]).T, -1, 1)) - angles
-                most = np.cos(np.maximum(away, 0)) + _SLACK
+                most = _most(np.stack([x["unit"] for x in q]), np.stack([x["centre"] for x in b]), angles)
+                if shelves:
+                    of = np.array([x["shelf"] for x in b])
+                    reach = most >= np.where(np.isnan(floors), -2, floors)[:, None]
+                    which = np.unique(of)
+                    i, j = np.nonzero(np.stack([reach[:, of == s].any(axis=1) for s in which], axis=1))
+                    yield pd.DataFrame({"_q": names[i], "shelf": which[j]})
+                    continue
                 if seeds is None:
                     i, j = np.nonzero(most >= np.where(np.isnan(floors), -2, floors)[:, None])
                 else:
@@ -214,7 +236,7 @@ def _bounded(queries: DataFrame, balls: DataFrame, seeds: int | None) -> DataFra
                 yield pd.DataFrame({"_q": names[i], "block": blocks[j], "most": most[i, j]})
 
     kind = queries.schema["_q"].dataType.simpleString()
-    found = sent.join(right, "of").select("q", "b").mapInPandas(run, f"_q {kind}, block string, most double")
+    found = sent.join(right, "of").select("q", "b").mapInPandas(run, f"_q {kind}, " + ("shelf int" if shelves else "block string, most double"))
     if seeds is None:
         return found
     rn = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("most"), "block"))
@@ -231,15 +253,63 @@ def _searched(pairs: DataFrame, queries: DataFrame, blocks: Blocks, k: int) -> D
         for f in frames:
             for s_ids, s_vecs, q in zip(f["s_ids"], f["s_vecs"], f["q"]):
                 names, units = np.array([x["_q"] for x in q], dtype=object), np.stack([x["unit"] for x in q])
-                best, ids, stored = _Best(len(names), k), np.array(list(s_ids), dtype=object), np.stack(s_vecs)
-                for lo in range(0, len(ids), _ROWS):
-                    best.add(ids[lo:lo + _ROWS], np.round(stored[lo:lo + _ROWS] @ units.T, DIGITS))
-                yield pd.DataFrame({"_q": names[best.q], id_col: best.ids, "similarity": best.sim})
+                ids, ranks = np.unique(np.array(list(s_ids), dtype=object), return_inverse=True)
+                best, stored, asked = _Best(len(names), k), np.stack(s_vecs), np.arange(len(names))
+                for lo in range(0, len(ranks), _ROWS):
+                    best.add(ranks[lo:lo + _ROWS], stored[lo:lo + _ROWS] @ units.T, asked)
+                yield pd.DataFrame({"_q": names[best.q], id_col: ids[best.ids], "similarity": best.sim})
 
     joined = blocks.blocks.join(asked, "block").select("s_ids", "s_vecs", "q")
     return joined.mapInPandas(score, f"_q {kind}, {id_col} {blocks.id_type}, similarity double")
 
 
+def _shelf_searched(asked: DataFrame, blocks: Blocks, k: int) -> DataFrame:
+    """``_q, id, similarity``: of each query and shelf the best ``k`` that are not below the query's floor.
+
+    ``asked`` has ``_q, unit, floor, last, seeds``: the k-th best so far, and the blocks that the query has searched. A shelf and
+    the queries that reach it meet part by part in a group of their own. There each block is compared only with the
+    queries whose floor it can reach, and these carry their floors from block to block.
+    """
+    reached = settled(_bounded(asked, blocks.balls, None, shelves=True))
+    sent = _chunked(reached.join(asked, "_q"), ["shelf"], "_q", PART)
+    parts = reached.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    stored = blocks.blocks.join(blocks.balls, "block").join(parts, "shelf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    kind, id_col = asked.schema["_q"].dataType.simpleString(), blocks.id_col
+    schema = f"_q {kind}, {id_col} {blocks.id_type}, similarity double"
+
+    def score(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"_q": [], id_col: [], "similarity": []}, dtype=object)]
+        if not len(q) or not len(s):
+            return out[0]
+        names, units = q["_q"].to_numpy(dtype=object), np.stack(q["unit"])
+        floors = q["floor"].to_numpy(dtype=float, na_value=np.nan)
+        ids, ranks = np.unique(np.concatenate([np.array(list(x), dtype=object) for x in s["s_ids"]]), return_inverse=True)
+        has = ~np.isnan(floors)
+        last = np.full(len(q), np.iinfo(np.int64).max)
+        last[has] = np.searchsorted(ids, q["last"].to_numpy(dtype=object)[has], side="right") - 1
+        ends = np.cumsum([len(x) for x in s["s_ids"]])
+        held = [(ranks[e - len(v):e], np.stack(v)) for e, v in zip(ends, s["s_vecs"])]
+        open_ = _most(units, np.stack(s["centre"]), s["angle"].to_numpy()) >= np.where(has, floors, -2)[:, None]
+        at = {b: j for j, b in enumerate(s["block"])}
+        for i, seen in enumerate(q["seeds"]):
+            for b in seen if seen is not None else ():
+                if b in at:
+                    open_[i, at[b]] = False
+        for lo in range(0, len(q), QUERY_BLOCK):
+            part = slice(lo, lo + QUERY_BLOCK)
+            best = _Best(len(names[part]), k, np.where(has, floors, -np.inf)[part], last[part])
+            for (rank, vecs), to in zip(held, open_[part].T):
+                wanted = np.flatnonzero(to)
+                for row in range(0, len(rank) if len(wanted) else 0, _ROWS):
+                    best.add(rank[row:row + _ROWS], vecs[row:row + _ROWS] @ units[part][wanted].T, wanted)
+            out.append(pd.DataFrame({"_q": names[part][best.q], id_col: ids[best.ids], "similarity": best.sim}))
+        return pd.concat([x for x in out if len(x)] or out[:1])
+
+    key = ["shelf", "chunk"]
+    left = sent.select(*key, "_q", "unit", "floor", "last", "seeds").groupBy(*key)
+    return left.cogroup(stored.select(*key, "block", "s_ids", "s_vecs", "centre", "angle").groupBy(*key)).applyInPandas(score, schema)
+
+
 def topk_batch(
     stored: DataFrame | Blocks,
     queries: DataFrame,
@@ -254,9 +324,10 @@ def topk_batch(
 
     Exact, in two rounds. Stored vectors lie in blocks of similar ones. First each query is
     compared with the blocks' centres and searches the ``SEEDS`` most promising blocks; its
-    k-th best similarity there is its floor. Then it searches those other blocks that may
-    hold something above the floor. All else is never met. ``stored`` may be the blocks
-    themselves, to be used again. Nothing but the pivots passes through the driver.
+    k-th best there is its floor. Then it searches those other blocks that may hold
+    something above the floor, and gets back only what is. All else is never met.
+    ``stored`` may be the blocks themselves, to be used again. Nothing but the pivots
+    passes through the driver.
     """
     found, _ = topk_pairs(stored, queries, k, id_col, vec_col, query_id, query_vec, block)
     return found
@@ -273,10 +344,11 @@ def topk_pairs(
     best = lambda: F.row_number().over(W.partitionBy("_q").orderBy(F.desc("similarity"), held.id_col))
     seeds = settled(_bounded(asked, held.balls, SEEDS))
     first = settled(_searched(seeds, asked, held, k))
-    floors = first.withColumn("_r", best()).where(F.col("_r") == k).select("_q", F.col("similarity").alias("floor"))
-    rest = _bounded(asked.drop("floor").join(floors, "_q", "left"), held.balls, None).join(seeds.select("_q", "block"), ["_q", "block"], "left_anti")
-    rest = settled(rest)
-    found = first.unionByName(_searched(rest, asked, held, k))
+    floors = first.withColumn("_r", best()).where(F.col("_r") == k).select("_q", F.col("similarity").alias("floor"), F.col(held.id_col).alias("last"))
+    again = settled(
+        asked.drop("floor").join(floors, "_q", "left").join(seeds.groupBy("_q").agg(F.collect_set("block").alias("seeds")), "_q", "left"))
+    rest = _bounded(again, held.balls, None).join(seeds.select("_q", "block"), ["_q", "block"], "left_anti")
+    found = first.unionByName(settled(_shelf_searched(again, held, k)))
     ranked = found.withColumn("rank", best()).where(F.col("rank") <= k).withColumnRenamed("_q", query_id)
     return ranked.select(query_id, held.id_col, "similarity", "rank"), seeds.unionByName(rest)
 

@@ -155,3 +155,10 @@ def test_explained_rows(spark):
     intents = spark.createDataFrame(INTENTS[:2], "query_id int, location_state string, location_district string, min_trust_score int")
     rows = search.intent_rank(intents, raw, trust, structured, 3).where(F.col("query_id") == 1).collect()
     assert len(rows) == 3 and all(r.justification.startswith(r.facility_name + " in ") for r in rows)
+
+
+def test_equal_queries_are_asked_once(spark):
+    rows = [(1, "icu"), (2, "icu"), (3, "dialysis"), (4, None), (5, None), (6, "icu"), (6, "dialysis"), (7, "dialysis"), (7, "icu"), (8, "icu"), (8, "icu"), (None, "icu")]
+    asked, same = search.different(spark.createDataFrame(rows, "query_id int, query string"))
+    assert sorted((r.query_id, r.asked_id) for r in same.collect()) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6), (7, 6), (8, 8)]
+    assert sorted((r.query_id, r.query or "") for r in asked.collect()) == [(1, "icu"), (3, "dialysis"), (4, ""), (6, "dialysis"), (6, "icu"), (8, "icu"), (8, "icu")]

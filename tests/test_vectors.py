@@ -91,3 +91,22 @@ def test_pairs_that_cannot_win_are_dropped(spark):
     assert pairs.count() < 0.35 * len(queries) * blocks.blocks.count()
     empty = vectors.topk_batch(s.limit(0), q, 3)
     assert empty.collect() == [] and vectors.topk_batch(s, q.limit(0), 3).collect() == []
+
+
+def test_only_rows_that_reach_the_floor_come_back(spark, monkeypatch):
+    """The second round returns what may still be among the best, not the best of every block."""
+    rng = np.random.default_rng(4)
+    stored, queries = rng.integers(0, 4, (600, 6)).astype(float), rng.integers(0, 3, (30, 6)).astype(float) + [1, 0, 0, 0, 0, 0]
+    s = spark.createDataFrame([(f"f{i:03d}", v.tolist()) for i, v in enumerate(stored)], "facility_id string, embedding array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id int, query_vector array<double>")
+    written, kept = [], vectors.settled
+    monkeypatch.setattr(vectors, "settled", lambda df: written.append(kept(df)) or written[-1])
+    found, pairs = vectors.topk_pairs(vectors.Blocks(s, size=10), q, 5)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sims = np.round((queries / np.linalg.norm(queries, axis=1)[:, None]) @ (stored / np.linalg.norm(stored, axis=1)[:, None]).T, 12)
+    got = {(r.query_id, r["rank"]): r.facility_id for r in found.collect()}
+    for i in range(len(queries)):
+        order = sorted(np.flatnonzero(~np.isnan(sims[i])), key=lambda j: (-sims[i, j], j))[:5]
+        assert [got[i, r] for r in range(1, 6)] == [f"f{j:03d}" for j in order]
+    returned = written[-1]
+    assert returned.columns == ["_q", "facility_id", "similarity"] and returned.count() < pairs.count()

@@ -4,7 +4,8 @@ Documents are sets of word shingles. One run splits the documents recursively: i
 each of its shingles with probability about ``FAN / (threshold * |x|)``, by a hash that all sets of the node share, and
 goes to the child of every shingle it chose. Sets that reach the threshold share enough shingles to meet in some leaf
 with a known probability; runs are repeated, with other hashes, until the chance of missing a pair at the threshold is
-below what the target recall allows. A node with few sets is a leaf: its sets are compared with one another.
+below what the target recall allows. A node with few sets is a leaf: its sets are compared with one another. So is a
+node whose sets are alike, as a group of near copies: its children would each hold nearly all of them again.
 
 No list of all pairs is ever made. Sets that are equal stand for one another from the start. A leaf with many sets is
 cut into blocks, every pair of blocks is one row of work, and links are counted and united where they are found; a pair
@@ -151,8 +152,15 @@ def _children(nodes: DataFrame, docs: DataFrame, threshold: float, width: int) -
     return map_batches(rows, run, "node long, id long").distinct()
 
 
+def _alike() -> F.Column:
+    """Mean similarity of the pairs of a group's sets: signs from their sketches agree with that probability more often than not."""
+    digit = lambda p: F.substring(F.hex("sketch"), 2 * p + 2, 1)
+    signs = (F.sum(F.when(digit(p).isin(*"13579BDF"), 1).otherwise(-1)).cast("double") for p in range(SKETCH))
+    return sum((s * s for s in signs), F.lit(0.0)) / SKETCH / F.count("*") / F.count("*")
+
+
 def leaves(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """``node, id, m``: for each set of ``members`` (``id, row, nodes``) the leaves it shares with others, and their sizes.
+    """``node, id, m``: for each set of ``members`` (``id, row, sketch, nodes``) the leaves it shares with others, and their sizes.
 
     ``texts`` has ``doc_id, row, text`` of every member, for those that have to be split further.
     """
@@ -161,11 +169,14 @@ def leaves(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, w
     for d in range(1, depth + 1):
         sizes = level.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
         here = settled(level.join(sizes, "node"))
-        small = here if d == depth else here.where(F.col("m") <= leaf)
+        if d < depth:
+            large = here.where(F.col("m") > leaf)
+            mixed = settled(large.join(members.select("id", "sketch"), "id").groupBy("node").agg(_alike().alias("alike")).where(F.col("alike") < NEAR).select("node"))
+        small = here if d == depth else here.where(F.col("m") <= leaf).unionByName(large.join(mixed, "node", "left_anti").select(*here.columns))
         done = small.select("node", "id", "m") if done is None else done.unionByName(small.select("node", "id", "m"))
         if d == depth:
             break
-        large = here.where(F.col("m") > leaf).groupBy("id").agg(F.collect_list("node").alias("parents")).join(members.select("id", "row"), "id")
+        large = large.join(mixed, "node", "left_semi").groupBy("id").agg(F.collect_list("node").alias("parents")).join(members.select("id", "row"), "id")
         level = settled(_children(large, texts, threshold, width))
         if level.isEmpty():
             break

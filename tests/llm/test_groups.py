@@ -110,6 +110,19 @@ def test_near_duplicates_match_brute_force(docs, leaf, block):
     assert got == brute_links(rows)
 
 
+def test_nodes_of_near_copies_are_not_split(docs, monkeypatch):
+    rng = random.Random(6)
+    base, rows = text_of(rng, 150), []
+    for d in range(40):
+        w = list(base)
+        w[rng.randrange(150)] = f"u{d}"
+        rows.append((d, " ".join(w)))
+    split, children = [], jaccard._children
+    monkeypatch.setattr(jaccard, "_children", lambda nodes, *rest: split.append(nodes.count()) or children(nodes, *rest))
+    assert sorted(tuple(r) for r in jaccard.links(docs(*rows), leaf=8).collect()) == brute_links(rows)
+    assert sum(split) == 0
+
+
 def test_near_duplicates_of_awkward_rows(awkward, nothing):
     got = rows_of(jaccard.links(awkward))
     assert len(got) == 10 and [r for r in got if r[0] == 4] == [(4, 4, 4, 0)] * 2 and (None, None, None, 0) in got

@@ -1,25 +1,28 @@
 """Line deduplication by an exact set-similarity join.
 
-A line's tokens are its five-word shingles (fewer words: all of them as one). Tokens are ordered by how often the corpus
-has them, rarest first. Two lines whose Jaccard similarity reaches the threshold share a token within both prefixes;
-such pairs are kept if the lengths and the positions of the shared token allow the similarity, and are verified on whole
-token sets. A line is removed if an earlier line, by document id and line number, matches it.
-
-Not all pairs are formed. Lines with equal token sets are settled by one aggregation. The others first meet only the
-earliest line of each token, which settles members of large groups in one step; only lines that are still open then
-meet the remaining earlier lines of their tokens. Everything is DataFrame operations.
+A line's tokens are its five-word shingles (fewer words: all of them as one). Equal lines are settled first, by one
+aggregation that keeps the earliest. Two different lines whose Jaccard similarity reaches the threshold share ``MORE + 1`` of
+the tokens with the smallest hashes (as many as a similar line may miss, one, and ``MORE``), so lines that share fewer
+with lines of fitting length take no further part. For the others all tokens are counted: similar lines agree in the
+threshold's share of each, so a line needs as many tokens that other lines have. What is left is ordered by these counts, rarest first;
+such lines share a token within both prefixes, and pairs are kept if the lengths and the positions of the shared token
+allow the similarity, and are verified on whole token sets. A line is removed if an earlier line, by document id and
+line number, matches it.
+
+Not all pairs are formed. Lines first meet only the earliest line of each token, which settles members of large groups
+in one step; only lines that are still open then meet the remaining earlier lines of their tokens. Everything is
+DataFrame operations.
 """
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimscope.llm.shared import settled
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Tokens are counted by hash class; so many counts, whatever the corpus, come to the driver and go into the plan.
-CLASSES = 1 << 14
+#: Tokens beyond the prefix that lines are looked up by at first: each raises the number that must be shared by one.
+MORE = 3
+_AT = ("doc_id", "row", "line")
 
 
 def line_words(line: Column) -> Column:
@@ -35,50 +38,22 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _hashed(lines: DataFrame) -> DataFrame:
-    """``doc_id, row, line, h``: the hashes of a line's words."""
-    return lines.select("doc_id", "row", "line", F.transform(line_words(F.col("t")), lambda w: F.xxhash64(w)).alias("h"))
-
-
 def _shingle(i: Column) -> Column:
     return F.xxhash64(*(F.get("h", i + k) for k in range(SHINGLE)))
 
 
-def tokenized(lines: DataFrame) -> DataFrame:
-    """``doc_id, row, line, toks``: the hashes of a line's different shingles."""
+def tokenized(lines: DataFrame, *more: Column) -> DataFrame:
+    """``doc_id, row, line, toks``: the hashes of a line's different shingles, and ``more`` columns of ``lines``."""
     # One column for each step: an expression that a later one names several times would be computed as often.
+    rows = lines.select(*_AT, *more, F.transform(line_words(F.col("t")), lambda w: F.xxhash64(w)).alias("h"))
     last = F.greatest(F.size("h") - SHINGLE, F.lit(0))
-    return _hashed(lines).select("doc_id", "row", "line", F.array_distinct(F.transform(F.sequence(F.lit(0), last), _shingle)).alias("toks"))
-
-
-def _class(token: Column) -> Column:
-    return F.pmod(token, F.lit(CLASSES)).cast("int")
-
-
-def rarity(docs: DataFrame) -> Column:
-    """A function's table: for each hash class a grade, higher for classes with more tokens in the corpus."""
-    # Places are exploded and hashed as rows, which is compiled; only counts by class leave a task.
-    places = _hashed(lines_of(docs)).select("h", F.posexplode_outer("h").alias("i", "w"))
-    places = places.where((F.col("i") == 0) | (F.col("i") <= F.size("h") - SHINGLE))
-    seen = places.groupBy(_class(_shingle(F.col("i"))).alias("c")).count().collect()
-    grade = [0] * CLASSES
-    for r in seen:
-        grade[r.c] = min(126, int(6 * math.log2(r["count"])))
-    return F.split(F.lit(",".join(map(str, grade))), ",").cast("array<long>")
-
-
-def ordered(toks: Column, grades: Column) -> Column:
-    """Tokens as sortable numbers, rarest first: the grade above 56 bits of the hash."""
-    return F.sort_array(F.transform(toks, lambda t: F.shiftleft(F.get(grades, _class(t)), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
+    return rows.withColumn("toks", F.array_distinct(F.transform(F.sequence(F.lit(0), last), _shingle))).drop("h")
 
 
 def _prefix(n: Column) -> Column:
     return n - F.ceil(n * THRESHOLD - 1e-9) + 1
 
 
-_AT = ("doc_id", "row", "line")
-
-
 def _needed(n: Column, m: Column) -> Column:
     """Common tokens that sets of n and m tokens need."""
     return F.ceil((n + m) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9)
@@ -91,44 +66,80 @@ def _fits(n: Column, i: Column, m: Column, j: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Lines of ``a, b`` pairs (structs of ``doc_id, row, line``) whose token sets are similar: the different ``a``."""
-    a, b = (sets.select(F.struct(*_AT).alias(x), F.col("toks").alias(f"{x}_toks")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b")
+    """Lines of ``a, b`` pairs whose token sets are similar: the different ``a``. ``sets`` has ``a, n, toks`` of each."""
+    one, other = (sets.select(F.col("a").alias(x), F.col("n").alias(f"{x}_n"), F.col("toks").alias(f"{x}_toks")) for x in "ab")
+    both = pairs.join(one, "a").join(other, "b")
     common = F.size(F.array_intersect("a_toks", "b_toks"))
-    return both.where(common >= (F.size("a_toks") + F.size("b_toks") - common) * THRESHOLD - 1e-9).select("a").distinct()
+    return both.where(common >= (F.col("a_n") + F.col("b_n") - common) * THRESHOLD - 1e-9).select("a").distinct()
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, line`` of every line of ``docs`` that an earlier one matches."""
-    grades = rarity(docs)
-    lines = tokenized(lines_of(docs)).select(*_AT, ordered(F.col("toks"), grades).alias("toks"))
+def _kinds(docs: DataFrame) -> DataFrame:
+    """Different lines, two hashes standing for each: ``k1, k2``, the earliest place ``a``, ``copies``, ``n`` tokens and the smallest of them, ``few``."""
     n = F.size("toks")
-    # Equal lines: the earliest stays. Two hashes stand for the line.
-    kinds = settled(lines_of(docs).select(*_AT, F.xxhash64("t").alias("k1"), F.hash("t").alias("k2")))
-    first = kinds.groupBy("k1", "k2").agg(F.min(F.struct(*_AT)).alias("f"), F.count("*").alias("copies"))
-    again = settled(kinds.join(first.where("copies > 1"), ["k1", "k2"]).where(F.struct(*_AT) > F.col("f")).select(F.struct(*_AT).alias("a")))
-    rows = lines.select(F.struct(*_AT).alias("a"), n.alias("n"), F.posexplode_outer(F.slice("toks", F.lit(1), _prefix(n).cast("int"))).alias("i", "token"))
+    rows = tokenized(lines_of(docs), F.xxhash64("t").alias("k1"), F.hash("t").alias("k2"))
+    rows = rows.select("k1", "k2", F.struct(*_AT).alias("a"), n.alias("n"), F.slice(F.sort_array("toks"), F.lit(1), (_prefix(n) + MORE).cast("int")).alias("few"))
+    return rows.groupBy("k1", "k2").agg(F.min("a").alias("a"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("few").alias("few"))
+
+
+def _candidates(kinds: DataFrame) -> DataFrame:
+    """``k1`` of lines that share enough of their ``few`` tokens with other lines; where that is one line, its length must fit.
+
+    Of the tokens that similar lines have in common, the first ``MORE + 1`` (or all that a short line has room for) lie
+    within both lines' ``few``.
+    """
+    same = Window.partitionBy("token")
+    n = F.col("n")
+    met = kinds.select("k1", "n", F.explode("few").alias("token")).select(
+        "k1", "n", F.count("*").over(same).alias("lines"), (F.min("n").over(same) + F.max("n").over(same) - n).alias("m"))
+    fits = F.least(n, F.col("m")) >= F.greatest(n, F.col("m")) * THRESHOLD - 1e-9
+    met = met.where((F.col("lines") > 1) & ((F.col("lines") > 2) | fits)).groupBy("k1").agg(F.count("*").alias("hits"), F.min("n").alias("n"))
+    return met.where(F.col("hits") >= F.least(n, _prefix(n) + MORE) - _prefix(n) + 1).select("k1")
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """``a, n`` of lines whose tokens other lines have in the threshold's share, and ``toks``: those tokens, rarest first."""
+    places = sets.select("a.*", "n", F.explode("toks").alias("token"))
+    places = places.withColumn("lines", F.count("*").over(Window.partitionBy("token"))).where("lines > 1")
+    line = places.groupBy(*_AT, "n").agg(F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("toks"))
+    return line.where(F.size("toks") >= F.ceil(F.col("n") * THRESHOLD - 1e-9)).select(F.struct(*_AT).alias("a"), "n", F.col("toks.token").alias("toks"))
+
+
+def _matched(sets: DataFrame) -> DataFrame:
+    """``a`` of every line of ``sets`` (``a, n, toks``) that an earlier one matches; its other tokens come before ``toks``."""
+    alone = F.col("n") - F.size("toks")
+    first = F.slice("toks", F.lit(1), (_prefix(F.col("n")) - alone).cast("int"))
+    rows = sets.select("a", "n", alone.alias("alone"), F.posexplode(first).alias("at", "token")).select("a", "n", (F.col("alone") + F.col("at")).alias("i"), "token")
     earliest = rows.groupBy("token").agg(F.min(F.struct("a", "n", "i")).alias("b"), F.count("*").alias("lines")).where("lines > 1").drop("lines")
     # Every line of a token that several have, with the token's earliest line.
     shared = settled(rows.join(earliest, "token"))
-    led = shared.where((F.col("a") > F.col("b.a")) & _fits(F.col("n"), F.col("i"), F.col("b.n"), F.col("b.i"))).select("a", F.col("b.a").alias("b")).distinct()
-    wanted = settled(led.join(again, "a", "left_anti"))
-    needed = wanted.select("a").unionByName(wanted.select(F.col("b").alias("a"))).distinct()
-    # Texts of lines are shuffled and only those of pairs are tokenized: a line takes less room than its tokens.
-    sets = lambda of: tokenized(lines_of(docs).withColumn("a", F.struct(*_AT)).join(of, "a", "left_semi"))
-    done = settled(_verified(wanted, sets(needed)).unionByName(again))
+    later = shared.where(F.col("a") > F.col("b.a"))
+    led = later.where(_fits(F.col("n"), F.col("i"), F.col("b.n"), F.col("b.i"))).select("a", F.col("b.a").alias("b")).distinct()
+    done = settled(_verified(led, sets))
     # What is still open meets the other earlier lines of its tokens.
-    open_ = shared.select("token", "a", "n", "i", "b").join(done, "a", "left_anti").where(F.col("a") > F.col("b.a"))
-    # Later copies of a line cannot be the first to match another.
-    other = shared.where(F.col("a") > F.col("b.a")).join(again, "a", "left_anti").select("token", F.col("a").alias("c"), F.col("n").alias("m"), F.col("i").alias("j"))
+    open_ = later.select("token", "a", "n", "i").join(done, "a", "left_anti")
+    other = later.select("token", F.col("a").alias("c"), F.col("n").alias("m"), F.col("i").alias("j"))
     met = open_.join(other, "token").where((F.col("c") < F.col("a")) & _fits(F.col("n"), F.col("i"), F.col("m"), F.col("j")))
     # Of a pair that was not verified above, all tokens in both prefixes are here; none comes before the first of them.
     first_met = met.groupBy("a", F.col("c").alias("b")).agg(F.min(F.struct("i", "j", "n", "m")).alias("f"))
     possible = 1 + F.least(F.col("f.n") - F.col("f.i"), F.col("f.m") - F.col("f.j")) - 1
-    rest = settled(first_met.where(possible >= _needed(F.col("f.n"), F.col("f.m"))).select("a", "b"))
-    needed = rest.select("a").unionByName(rest.select(F.col("b").alias("a"))).distinct()
-    more = _verified(rest, sets(needed))
-    return done.unionByName(more).select("a.*")
+    rest = first_met.where(possible >= _needed(F.col("f.n"), F.col("f.m"))).select("a", "b")
+    return done.unionByName(_verified(rest, sets))
+
+
+def duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, row, line`` of every line of ``docs`` that an earlier one matches."""
+    kinds = settled(_kinds(docs))
+    some = settled(kinds.join(_candidates(kinds), "k1", "left_semi").select("a"))
+    # Rows that agree in id and text repeat a place.
+    lines = lines_of(docs).withColumn("a", F.struct(*_AT)).join(some, "a", "left_semi").dropDuplicates(["a"])
+    sets = settled(_shared(tokenized(lines, F.col("a")).select("a", F.size("toks").alias("n"), "toks")))
+    matched = settled(_matched(sets).withColumn("gone", F.lit(True)))
+    # Copies of the earliest line go, and it goes with them if it matches another.
+    firsts = kinds.select("k1", "k2", "a", "copies").join(matched, "a", "left")
+    alone = firsts.where("gone and copies = 1").select("a.*")
+    several = firsts.where("copies > 1").select("k1", "k2", F.col("a").alias("first"), "gone")
+    places = lines_of(docs).select(F.struct(*_AT).alias("a"), F.xxhash64("t").alias("k1"), F.hash("t").alias("k2"))
+    return alone.unionByName(places.join(several, ["k1", "k2"]).where(F.col("gone").isNotNull() | (F.col("a") > F.col("first"))).select("a.*"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

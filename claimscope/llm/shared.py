@@ -36,20 +36,25 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: later steps neither repeat its work nor lose it with an executor."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # What was shuffled for this table goes with the end of the job instead of waiting for the driver's garbage collection.
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 256):
-    """Arrow batches of at most so many rows for what runs inside: neither Spark nor Python holds thousands of whole texts at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+def _setting(spark: SparkSession, name: str, value: str):
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def small_batches(spark: SparkSession, rows: int = 256):
+    """Arrow batches of at most so many rows for what runs inside: neither Spark nor Python holds thousands of whole texts at once."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, block: int = 512) -> DataFrame:

@@ -53,6 +53,40 @@ def test_top_k_of_large_integers(spark):
     assert [r[2] for r in got] == [1, 2, 3] and all(r[3] == far for r in got)
 
 
+def test_top_k_sends_no_side_through_the_driver(spark, monkeypatch):
+    # Queries that go to every block were broadcast: few megabytes on disk, but times the number of blocks in the driver.
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-9, 10, 8).tolist()) for i in range(400)]
+    table, plans, written = spark.createDataFrame(rows, "id long, v array<long>"), [], topk.settled
+
+    def settled(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(topk, "settled", settled)
+    best = topk.top_k(table, table.where("id % 10 = 0"), 3, 8, 4)
+    plans.append(best._jdf.queryExecution().executedPlan().toString())
+    assert sorted(tuple(r) for r in best.collect()) == brute_top(rows, rows[::10], 3)
+    assert len(plans) > 2 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_top_k_keeps_the_best_over_blocks():
+    rng = np.random.default_rng(6)
+    for kind, most in ((np.float32, 30), (np.float64, 2**20), (object, 2**40)):
+        x, q = rng.integers(-most, most, (700, 5)), rng.integers(-most, most, (9, 5))
+        x[50:90], x[300:600:2], x[400:450, 1:] = x[50], q[0], 0
+        ids, own = rng.permutation(700), np.arange(9) * 70
+        assert topk.kind_of(float(np.abs(q).sum(axis=1).max()) * topk.peak(x)) == kind
+        for whole in (False, True):
+            best = topk.Best(len(q), 4)
+            for at in range(0, 700, 160):
+                topk.meet(q.astype(kind), own, ids[at : at + 160], topk.Lists(x[at : at + 160].astype(kind)), best, 0, whole)
+            rows = list(zip(ids.tolist(), x.tolist(), strict=True))
+            want = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), i, n) for n, (v, o) in enumerate(zip(q.tolist(), own.tolist(), strict=True)) for i, w in rows if i != o]
+            for n in range(len(q)):
+                assert [*zip((-best.scores[n]).tolist(), best.ids[n].tolist(), strict=True)] == [(s, i) for s, i, m in sorted(want) if m == n][:4]
+
+
 def test_embedding_search_skips_broken_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [0.5, -0.25], 1), (1, [1.0, 1.0], 1), (2, None, 1), (3, [nan, 0.0], 1), (4, [inf, 0.0], 1), (5, [None, 1.0], 1), (None, [1.0, 1.0], 1), (100, [0.5, -0.25], 1), (6, [1.0, 1.0], 2)]
